@@ -93,7 +93,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     out[full] = runs[at[full]]
     for d in np.flatnonzero((n > 0) & (n < k)):
         a = offsets[d]
-        out[out_offsets[d]] = np.append(words[a : a + n[d]] * _WEIGHTS[: n[d]], U(n[d] * int(_WEIGHTS[31]) % (1 << 64))).sum(dtype=U)
+        out[out_offsets[d]] = np.append(words[a : a + n[d]] * _WEIGHTS[: n[d]], U(int(n[d]) * int(_WEIGHTS[31]) % (1 << 64))).sum(dtype=U)
     return mix(out), out_offsets
 
 
