@@ -10,10 +10,12 @@ language at all every text is `und`. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 import regex
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_batches
@@ -81,24 +83,19 @@ class Encoder:
         return self.langs[best], max(0.0, min(1.0, (second - sizes[best]) / gain))
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id), lang_pred and score for each row; only text is looked at."""
-    arrow_batches(docs.sparkSession)
-    keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast({k: v.decode("utf-8", "ignore").lower().encode() for k, v in dictionaries.items()})
+def teller(spark: SparkSession, dictionaries: dict[str, bytes]):
+    """A column function: text -> struct(lang_pred, score)."""
+    arrow_batches(spark)
+    shared = spark.sparkContext.broadcast({k: v.decode("utf-8", "ignore").lower().encode() for k, v in dictionaries.items()})  # a few dozen KB a language
 
-    def run(batches):
+    @F.pandas_udf("lang_pred string, score double")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value)
-        for p in batches:
-            found = [encoder.classify(t) for t in p["text"]]
-            out = p[keep].copy()
-            out["lang_pred"] = pd.Series([x for x, _ in found], index=p.index, dtype=object)
-            out["score"] = pd.Series([float(x) for _, x in found], index=p.index, dtype="float64")
-            yield out
-
-    fields = docs.select(*keep)._jdf.schema().toDDL()
-    cols = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*cols).mapInPandas(run, f"{fields}, lang_pred string, score double")
+        for texts in batches:
+            found = [encoder.classify(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": pd.Series([x for x, _ in found], dtype=object), "score": pd.Series([float(x) for _, x in found], dtype="float64")})
+
+    return told
 
 
 def held_out():

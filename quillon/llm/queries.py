@@ -5,20 +5,105 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, superminhash
+from . import chunkdedup, crf, decontaminate, fingerprint, langid, linededup, packing, pii, superminhash, wrapper
 from .common import table
 
 
+def op1_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.articles(table(spark, sf_dir, "pages"))
+
+
+def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_study(table(spark, sf_dir, "documents"))
+
+
 def op3_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_groups(table(spark, sf_dir, "documents"), words=2, threshold=0.8)
 
 
+def op4_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = F.coalesce(langid.held_out(), F.lit(False))
-    dictionaries = langid.train(docs.where(~out))
-    return langid.predict(docs, dictionaries).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    told = langid.teller(spark, langid.train(docs.where(~out)))
+    return docs.select("doc_id", out.alias("held_out"), told("text").alias("t")).select("doc_id", "held_out", "t.lang_pred", "t.score")
+
+
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.changed(table(spark, sf_dir, "documents")).drop("source_hash")
+
+
+def op8_minhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs, counts=True)
+
+
+def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = F.coalesce(crf.held_out(), F.lit(False))
+    model = crf.train(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
+    return crf.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_wrapper_extraction,
+        op2_minhash_fingerprints,
+        op3_superminhash_dedup,
+        op4_cutting_stock_packing,
+        op5_compression_langid,
+        op6_chunk_dedup,
+        op7_pii_surrogates,
+        op8_minhash_decontamination,
+        op9_template_line_dedup,
+        op10_crf_toxicity,
+    )
+}
+
+#: The words of a text as decontaminate.words has them, and the distinct runs of five.
+_RUNS = """
+SELECT {key}, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS runs
+FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM {table} WHERE {key} IS NOT NULL AND text IS NOT NULL)
+"""
+
+_OP8 = f"""
+WITH i AS ({_RUNS.format(key="item_id", table="benchmark")}), d AS ({_RUNS.format(key="doc_id", table="documents")}),
+iu AS (SELECT item_id, len(runs) AS n, unnest(runs) AS r FROM i), du AS (SELECT doc_id, unnest(runs) AS r FROM d)
+SELECT item_id, doc_id, CAST(n AS BIGINT) AS n_shingles, count(DISTINCT r) AS n_shared, count(DISTINCT r) / n AS containment
+FROM iu JOIN du USING (r) GROUP BY item_id, doc_id, n HAVING 100 * count(DISTINCT r) >= 80 * n
+"""
 
+#: Templates of a line: its tokens with digit fields generalised, whole and without each block.
+_OP9 = """
+WITH doc AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM doc),
+tok AS (SELECT doc_id, text, place, list_transform(list_filter(string_split_regex(l[place], '[ \\t\\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM line),
+num AS (SELECT *, len(t) AS n, CAST(ceil((len(t) - 3) / 4.0) AS BIGINT) AS w FROM tok WHERE len(t) > 0),
+key AS (
+  SELECT doc_id, text, place, n, -1 AS j, t AS head, [] AS tail FROM num
+  UNION ALL
+  SELECT doc_id, text, place, n, j, t[1:3 + j * w], t[4 + (j + 1) * w:] FROM num, (SELECT unnest([0, 1, 2, 3]) AS j) WHERE n - 3 >= 2 AND n - 3 > j * w
+),
+met AS (SELECT n, j, head, tail, min({'d': doc_id, 'p': place}) AS first FROM key GROUP BY ALL HAVING count(DISTINCT {'d': doc_id, 't': text}) >= 5),
+gone AS (SELECT DISTINCT k.doc_id, k.text, k.place FROM key k JOIN met m USING (n, j, head, tail) WHERE k.doc_id <> m.first.d OR k.place <> m.first.p),
+per AS (SELECT doc_id, text, list(place) AS places, count(*) AS c FROM gone GROUP BY ALL),
+kept AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS l, places, coalesce(c, 0) AS c FROM documents d LEFT JOIN per USING (doc_id, text)),
+out AS (SELECT *, list_filter(l, lambda x, i: NOT list_contains(places, i)) AS rest FROM kept)
+SELECT doc_id, CASE WHEN places IS NULL THEN text WHEN len(list_filter(rest, lambda x: length(trim(x)) > 0)) > 0 THEN array_to_string(rest, chr(10)) ELSE '' END AS text,
+       CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(c AS BIGINT) AS n_dropped FROM out
+"""
 
-QUERIES = {f.__name__: f for f in (op3_superminhash_dedup, op5_compression_langid)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_minhash_decontamination": _OP8, "op9_template_line_dedup": _OP9}

@@ -136,10 +136,27 @@ def _verify(words: int, threshold: float):
 
 
 def _blocks(members: DataFrame, size: int) -> DataFrame:
-    """Deal members(key, rep, n, ...) into pairs of blocks: every two members of a key meet in exactly one group or more."""
-    members = members.withColumn("many", F.ceil(F.col("n") / size).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("many")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    return members.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "many")
+    """Deal members(key, rep, comp, ...) so that every two of a key that are apart meet in a group (key, lo, hi).
+
+    Members of the key's largest component need not meet each other: they are dealt to
+    blocks once for each block of the others, and those to each block of the largest.
+    """
+    sizes = members.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n"))
+    sizes = sizes.select("key", F.col("m.comp").alias("main"), F.ceil(F.col("m.count") / size).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.count")) / size).cast("int").alias("others")).where("others > 0")
+    dealt = members.join(sizes, "key")
+
+    def block(many):
+        return F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
+
+    def upto(many):
+        return F.sequence(F.lit(0), F.col(many) - 1)
+
+    own = F.transform(upto("others"), lambda i: F.struct(i.alias("lo"), block("mains").alias("hi")))
+    meets = F.transform(upto("mains"), lambda j: F.struct(block("others").alias("lo"), j.alias("hi")))
+    beside = F.filter(upto("others"), lambda i: i != block("others"))
+    beside = F.transform(beside, lambda i: F.struct(F.least(i, block("others")).alias("lo"), (F.col("mains") + F.greatest(i, block("others"))).alias("hi")))
+    groups = F.when(F.col("comp") == F.col("main"), own).otherwise(F.concat(meets, beside))
+    return dealt.withColumn("g", F.explode(groups)).select(*members.columns, "g.lo", "g.hi")
 
 
 def _flag(floor: float):
@@ -220,11 +237,10 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block:
     apart = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("of")).where("lo <> hi")
     apart = apart.groupBy("of").agg(F.min("key").alias("key")).select("key")  # buckets of the same members count once
     inside = stash(inside.join(apart, "key").join(sigs, "rep"))
-    flagged = _blocks(inside, block).groupBy("key", "lo", "hi").applyInPandas(_flag(floor), "key long, rep long").distinct()
+    flagged = _blocks(inside, 4 * block).groupBy("key", "lo", "hi").applyInPandas(_flag(floor), "key long, rep long").distinct()
     inside = inside.join(flagged, ["key", "rep"])
-    sized = stash(inside.drop("n").join(inside.groupBy("key").agg(F.count("*").alias("n")), "key"))
-    sized = sized.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    more = _blocks(sized, block).groupBy("key", "lo", "hi").applyInPandas(_join_apart(words, threshold, floor), "a long, b long")
+    inside = inside.drop("n").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    more = _blocks(inside, block).groupBy("key", "lo", "hi").applyInPandas(_join_apart(words, threshold, floor), "a long, b long")
     found = components(links.union(more)).withColumnRenamed("vertex", "rep")
 
     named = sketch.select("doc_id", "n_shingles", "digest")
