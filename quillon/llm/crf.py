@@ -28,7 +28,7 @@ from .hashing import PUNCTUATION, SPACE, U, Words, chunks, mix
 
 BITS = 18
 SIZE = 1 << BITS
-SAMPLE = 2500
+SAMPLE = 1000
 #: Token features: whole word, first 4 and 5 bytes, last 4 bytes, previous word, next word.
 KINDS = 6
 _STOP = np.zeros(256, dtype=bool)
@@ -134,9 +134,9 @@ def label_tokens(tok: Tokens, toxic: np.ndarray) -> np.ndarray:
     out = np.zeros(len(tok.whole), dtype=bool)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     for h in (tok.whole, tok.features[:, 1].astype(U)):
-        key = np.unique(np.stack([h, tok.doc.astype(U)]), axis=1)
-        word, at, counts = np.unique(key[0], return_inverse=True, return_counts=True)
-        bad = np.bincount(at, weights=toxic[key[1].astype(np.int64)], minlength=len(word))
+        once = np.unique(mix(h + mix(tok.doc.astype(U))), return_index=True)[1]  # each word once a document
+        word, at, counts = np.unique(h[once], return_inverse=True, return_counts=True)
+        bad = np.bincount(at, weights=toxic[tok.doc[once]], minlength=len(word))
         share = ((bad + 0.1) / n1) / ((bad + 0.1) / n1 + (counts - bad + 0.5) / n0)
         listed = word[(bad >= max(3.0, 0.004 * n1)) & (share >= 0.95)]
         out |= np.isin(h, listed)
