@@ -4,7 +4,589 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import vectors as V
+from .functions.ordering import with_position
+from .operators import classifiers, cpd, features, kge, ledger, ranking, splits, subgraph, vocab
+from .plans import graph
+from .plans.graph import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+CLASSES = 100
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+# ---- vocabularies and triples
+
+
+@query(sql("SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS idx FROM (SELECT src AS entity FROM kg_edges UNION SELECT dst FROM kg_edges)", "kg_edges"))
+def kg_vocab_entities(spark, d):
+    return vocab.dense_index(vocab.entity_set(graph.edges(spark, d).toDF("head", "relation", "tail")), "entity")
+
+
+@query(sql("SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS idx FROM (SELECT DISTINCT relation FROM kg_edges)", "kg_edges"))
+def kg_vocab_relations(spark, d):
+    return vocab.dense_index(graph.edges(spark, d), "relation")
+
+
+@query(
+    sql(
+        """, e AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS idx FROM (SELECT src AS entity FROM kg_edges UNION SELECT dst FROM kg_edges)),
+        r AS (SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS idx FROM (SELECT DISTINCT relation FROM kg_edges))
+        SELECT r.idx AS r, count(*) AS n, CAST(sum(h.idx) AS BIGINT) AS sum_h, CAST(sum(t.idx) AS BIGINT) AS sum_t
+        FROM kg_edges k JOIN e h ON h.entity = k.src JOIN e t ON t.entity = k.dst JOIN r ON r.relation = k.relation GROUP BY 1""",
+        "kg_edges",
+    )
+)
+def kg_triples_indexed(spark, d):
+    t = graph.edges(spark, d).toDF("head", "relation", "tail")
+    out = vocab.indexed(t, vocab.dense_index(vocab.entity_set(t), "entity"), vocab.dense_index(t, "relation"))
+    return out.groupBy("r").agg(F.count("*").alias("n"), F.sum("h").alias("sum_h"), F.sum("t").alias("sum_t"))
+
+
+_ORDERED = "kg_ordered AS (SELECT row_number() OVER (ORDER BY src, relation, dst) - 1 AS pos, src AS head, relation, dst AS tail FROM kg_edges)"
+
+
+def _ordered(spark, d):
+    return with_position(graph.edges(spark, d), ["src", "relation", "dst"], "pos").toDF("head", "relation", "tail", "pos")
+
+
+@query(
+    sql(
+        f""", {_ORDERED}, s AS (SELECT entity, min(o) AS o FROM (SELECT head AS entity, 2 * pos AS o FROM kg_ordered UNION ALL SELECT tail, 2 * pos + 1 FROM kg_ordered) GROUP BY 1)
+        SELECT entity, row_number() OVER (ORDER BY o) - 1 AS idx FROM s""",
+        "kg_edges",
+    )
+)
+def kg_first_seen_index(spark, d):
+    return vocab.first_seen_index(_ordered(spark, d))
+
+
+@query(
+    sql(
+        """, e AS (SELECT head AS entity FROM kg_triples WHERE split = 'train' UNION SELECT tail FROM kg_triples WHERE split = 'train')
+        SELECT split, count(*) AS total, count(*) FILTER (head NOT IN (FROM e) OR tail NOT IN (FROM e)) AS skipped FROM kg_triples GROUP BY 1""",
+        "kg_triples",
+    )
+)
+def kg_unknown_endpoint_skips(spark, d):
+    t = graph.triples(spark, d)
+    known = vocab.entity_set(t.where("split = 'train'"))
+    lost = vocab.unknown(t, known).groupBy("split").agg(F.count("*").alias("skipped"))
+    return t.groupBy("split").agg(F.count("*").alias("total")).join(lost, "split", "left").select("split", "total", F.coalesce("skipped", F.lit(0)).alias("skipped"))
+
+
+@query(sql("SELECT count(*) / (n * CAST(n AS DOUBLE)) AS density FROM kg_triples, (SELECT count(*) AS n FROM kg_entities) GROUP BY n", "kg_triples", "kg_entities"))
+def matrix_density(spark, d):
+    return vocab.density(graph.triples(spark, d), graph.entities(spark, d).count())
+
+
+# ---- splits
+
+
+@query(sql("SELECT split, count(*) AS n FROM kg_triples GROUP BY 1", "kg_triples"))
+def split_sizes(spark, d):
+    return graph.triples(spark, d).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(
+    sql(
+        f""", {_ORDERED}, t AS (SELECT *, CASE pos % 10 WHEN 0 THEN 'valid' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM kg_ordered),
+        o AS (SELECT *, (CASE split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END) * 1000000000 + pos AS ord FROM t),
+        f AS (SELECT kind, elem, min(ord) AS ord FROM (SELECT 'e' AS kind, head AS elem, ord FROM o UNION ALL SELECT 'e', tail, ord FROM o UNION ALL SELECT 'r', relation, ord FROM o) GROUP BY ALL),
+        m AS (SELECT o.*, split <> 'train' AND ord IN (SELECT ord FROM f) AS moved FROM o)
+        SELECT split, CASE WHEN moved THEN 'train' ELSE split END AS new_split, count(*) AS n FROM m GROUP BY ALL""",
+        "kg_edges",
+    )
+)
+def split_clean_moved(spark, d):
+    pos = F.col("pos") % 10
+    t = _ordered(spark, d).withColumn("split", F.when(pos == 0, "valid").when(pos == 1, "test").otherwise("train"))
+    return splits.cleaned(t).groupBy("split", "new_split").agg(F.count("*").alias("n"))
+
+
+_VERSIONED = "SELECT *, 'v' || (relation % 3) AS version, relation // 10 AS seed FROM kg_triples"
+
+
+def _versioned(spark, d):
+    return graph.triples(spark, d).withColumn("version", F.concat(F.lit("v"), (F.col("relation") % 3).cast("string"))).withColumn("seed", F.floor(F.col("relation") / 10).cast("int"))
+
+
+_STATS = f""", t AS ({_VERSIONED}), e AS (SELECT version, seed, split, count(DISTINCT x) AS entities FROM (SELECT version, seed, split, head AS x FROM t UNION ALL SELECT version, seed, split, tail FROM t) GROUP BY ALL),
+    s AS (SELECT version, seed, split, count(DISTINCT relation) AS relations, count(*) AS triples FROM t GROUP BY ALL), st AS (SELECT * FROM s JOIN e USING (version, seed, split)),
+    ok AS (SELECT version, seed FROM st GROUP BY ALL HAVING count(DISTINCT split) = 3), full_st AS (SELECT st.* FROM st JOIN ok USING (version, seed))"""
+
+
+@query(sql(f"{_STATS} SELECT version, CAST(seed AS INT) AS seed, split, relations, triples, entities FROM full_st", "kg_triples"))
+def split_statistics(spark, d):
+    return splits.complete(splits.statistics(_versioned(spark, d), ["version", "seed", "split"]), ["version", "seed"])
+
+
+@query(
+    sql(
+        f"""{_STATS} SELECT version, split, count(DISTINCT seed) AS seeds, printf('%.0f', avg(triples)) || ' +/- ' || coalesce(printf('%.0f', stddev_samp(triples)), 'nan') AS triples,
+        round(avg(entities), 6) AS entities_mean, round(stddev_samp(entities), 6) AS entities_std FROM full_st GROUP BY ALL""",
+        "kg_triples",
+    )
+)
+def split_statistics_summary(spark, d):
+    st = splits.complete(splits.statistics(_versioned(spark, d), ["version", "seed", "split"]), ["version", "seed"])
+    g = st.groupBy("version", "split").agg(F.count_distinct("seed").alias("seeds"), *splits.mean_std("triples"), *splits.mean_std("entities"))
+    return g.select("version", "split", "seeds", splits.formatted("triples_mean", "triples_std").alias("triples"), F.round("entities_mean", 6).alias("entities_mean"), F.round("entities_std", 6).alias("entities_std"))
+
+
+@query()
+def split_hash_seeds(spark, d):
+    """80/10/10 sizes for three seeds in one job."""
+    return splits.hash_split(graph.triples(spark, d).drop("split"), [7001, 7002, 7003]).groupBy("seed", "split").agg(F.count("*").alias("n"))
+
+
+# ---- features
+
+_SCALED = """, x AS (SELECT entity, unnest(features) AS x, generate_subscripts(features, 1) - 1 AS pos FROM kg_entities),
+    sc AS (SELECT pos, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS std FROM x GROUP BY 1),
+    scaled AS (SELECT entity, list((x - mean) / std ORDER BY pos) AS f FROM x JOIN sc USING (pos) GROUP BY 1)"""
+
+
+@query(sql(f"{_SCALED} SELECT CAST(pos AS INT) AS pos, round(mean, 9) AS mean, round(std, 9) AS std FROM sc", "kg_entities"))
+def feature_scaler_stats(spark, d):
+    return features.scaler(graph.entities(spark, d)).select("pos", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+def _norm(x: str) -> str:
+    return f"sqrt(list_inner_product({x}, {x}))"
+
+
+@query(sql(f"{_SCALED} SELECT entity, round({_norm('f')}, 6) AS norm FROM scaled", "kg_entities"))
+def feature_standardized_norms(spark, d):
+    return features.standardised(graph.entities(spark, d)).select("entity", F.round(V.norm("features"), 6).alias("norm"))
+
+
+@query(sql(f"{_SCALED} SELECT entity, CAST(len(f) + 8 AS INT) AS width, round(sqrt(list_inner_product(f, f) + 8), 6) AS norm FROM scaled", "kg_entities"))
+def feature_bias_columns(spark, d):
+    return features.standardised(graph.entities(spark, d), bias=8).select("entity", F.size("features").alias("width"), F.round(V.norm("features"), 6).alias("norm"))
+
+
+@query(
+    sql(
+        """SELECT n_nationkey AS entity, coalesce(len(features), 64) AS width, features IS NULL AS filled, round(coalesce(list_sum(features), 0), 6) AS total
+        FROM nation LEFT JOIN (SELECT * FROM kg_entities WHERE label < 5) e ON e.entity = n_nationkey""",
+        "kg_entities",
+    )
+)
+def feature_imputation(spark, d):
+    have = graph.entities(spark, d).where("label < 5")
+    e = graph.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("entity"))
+    out = features.with_features(e, have, 64).join(have.select("entity", F.lit(False).alias("f")), "entity", "left")
+    return out.select(F.col("entity").cast("int").alias("entity"), F.size("features").cast("long").alias("width"), F.coalesce("f", F.lit(True)).alias("filled"), F.round(V.total("features"), 6).alias("total"))
+
+
+def _pair_query(how: str, expression: str):
+    @query(sql(f"SELECT relation, count(*) AS n, round(avg({_norm(expression)}), 6) AS mean_norm FROM kg_triples JOIN kg_entities h ON h.entity = head JOIN kg_entities t ON t.entity = tail GROUP BY 1", "kg_triples", "kg_entities"))
+    def run(spark, d):
+        x = features.pairs(graph.triples(spark, d), graph.entities(spark, d), how)
+        return x.groupBy("relation").agg(F.count("*").alias("n"), F.round(F.avg(V.norm("x")), 6).alias("mean_norm"))
+
+    name = f"pair_{how}_norms"
+    QUERIES[name] = QUERIES.pop("run")
+    ORACLE_SQL[name] = ORACLE_SQL.pop("run")
+
+
+_pair_query("concat", "list_concat(h.features, t.features)")
+_pair_query("subtract", "list_transform(list_zip(h.features, t.features), lambda p: p[1] - p[2])")
+_pair_query("hadamard", "list_transform(list_zip(h.features, t.features), lambda p: p[1] * p[2])")
+
+TEMPLATES = ["[1] is a type of [2].", "[1] is located in [2].", "[1] is member of [2].", "[1] is equivalent to [2].", "[1] is different from [2].", "[1] is similar to [2]."]
+_TEMPLATES = "SELECT unnest(range(6)) AS template, unnest([" + ", ".join(f"'{t}'" for t in TEMPLATES) + "]) AS p"
+
+
+@query(f"WITH t AS ({_TEMPLATES}) SELECT 'n' || n_nationkey AS entity, CAST(template AS INT) AS template, replace(replace(p, '[1]', n_name), '[2]', '<mask>') AS masked, trim(split_part(replace(p, '[1]', n_name), '[2]', 1)) || ':' AS causal FROM nation, t")
+def prompt_texts(spark, d):
+    e = graph.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity"), F.col("n_name").alias("label"))
+    masked, causal = features.prompts(e, TEMPLATES, True), features.prompts(e, TEMPLATES, False)
+    return masked.withColumnRenamed("text", "masked").join(causal.withColumnRenamed("text", "causal"), ["entity", "template"])
+
+
+_STATES = "s AS (SELECT entity, features[1:16] AS a, features[17:32] AS b, features[33:48] AS c, features[49:64] AS d FROM kg_entities)"
+_POOLS = {
+    "sum": "list_transform(range(1, 17), lambda i: a[i] + b[i] + c[i] + d[i])",
+    "mean": "list_transform(range(1, 17), lambda i: (a[i] + b[i] + c[i] + d[i]) / 4)",
+    "concat": "list_concat(list_concat(a, b), list_concat(c, d))",
+    "attn": "list_transform(range(1, 17), lambda i: a[i] + (wb * b[i] + wc * c[i] + wd * d[i]) / (wb + wc + wd))",
+}
+
+
+def _pool_query(how: str):
+    name = f"prompt_pool_{how}"
+
+    def run(spark, d):
+        states = F.array(*[F.slice("features", 16 * i + 1, 16) for i in range(4)])
+        out = features.pooled(graph.entities(spark, d).select("entity", states.alias("states")), how)
+        return out.select("entity", F.size("pooled").cast("long").alias("width"), F.round(V.total("pooled"), 6).alias("total"), F.round(V.norm("pooled"), 6).alias("norm"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql(f", {_STATES}, w AS (SELECT *, exp(list_inner_product(a, b)) AS wb, exp(list_inner_product(a, c)) AS wc, exp(list_inner_product(a, d)) AS wd FROM s), p AS (SELECT entity, {_POOLS[how]} AS p FROM w) SELECT entity, len(p) AS width, round(list_sum(p), 6) AS total, round({_norm('p')}, 6) AS norm FROM p", "kg_entities")
+
+
+for _how in _POOLS:
+    _pool_query(_how)
+
+# ---- ranking and conformal sets
+
+
+def _scored(spark, d, split):
+    """Scaled features, class vectors of the training split, scores of another split."""
+    t = graph.triples(spark, d)
+    f = features.standardised(graph.entities(spark, d)).persist()
+    vectors = ranking.translation_vectors(t.where("split = 'train'"), f, spark.range(CLASSES).select(F.col("id").cast("int").alias("relation")))
+    g = f.select("entity", "features")
+    ends = t.where(F.col("split").isin(split)).join(g.toDF("head", "fh"), "head").join(g.toDF("tail", "ft"), "tail")
+    return ranking.translation_scores(ends, vectors), vectors
+
+
+_VECTORS = (
+    _SCALED
+    + """, mv AS (SELECT k.*, h.f AS fh, t.f AS ft FROM kg_triples k JOIN scaled h ON h.entity = head JOIN scaled t ON t.entity = tail),
+    dx AS (SELECT relation, split, head, tail, unnest(ft) - unnest(fh) AS x, generate_subscripts(ft, 1) AS pos FROM mv),
+    av AS (SELECT relation, pos, avg(x) AS x FROM dx WHERE split = 'train' GROUP BY ALL),
+    vec AS (SELECT CAST(r AS INT) AS relation, coalesce(v, list_transform(range(64), lambda i: CAST(0 AS DOUBLE))) AS v FROM range(100) g(r) LEFT JOIN (SELECT relation, list(x ORDER BY pos) AS v FROM av GROUP BY 1) a ON a.relation = r)"""
+)
+_SCORES = _VECTORS + ", mm AS (SELECT head, tail, relation, split, list(x ORDER BY pos) AS m FROM dx WHERE split <> 'train' GROUP BY ALL), lg AS (SELECT head, tail, mm.relation AS truth, split, vec.relation AS r, -list_distance(m, v) AS s FROM mm, vec)"
+_RANKS = _SCORES + ", rk AS (SELECT head, tail, truth, split, (SELECT 1) AS one, count(*) FILTER (s >= st) AS rank FROM (SELECT *, max(s) FILTER (r = truth) OVER (PARTITION BY head, tail, truth) AS st FROM lg) GROUP BY ALL)"
+_METRICS = "count(*) AS n, round(avg(1.0 / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hits_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS hits_3, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS hits_10"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(sql(f"{_VECTORS} SELECT relation, round({_norm('v')}, 6) AS norm FROM vec", "kg_entities", "kg_triples"))
+def translation_vectors(spark, d):
+    return _scored(spark, d, ["train"])[1].select("relation", F.round(V.norm("vector"), 6).alias("norm"))
+
+
+@query(sql(f"{_RANKS} SELECT {_METRICS} FROM rk WHERE split = 'test'", "kg_entities", "kg_triples"))
+def feature_translation_metrics(spark, d):
+    scored, _ = _scored(spark, d, ["test"])
+    return _rounded(ranking.metrics(scored.select(V.rank_of(F.col("scores"), F.col("relation")).alias("rank"))))
+
+
+@query(sql(f"{_SCORES}, o AS (SELECT *, row_number() OVER (PARTITION BY head, tail, truth ORDER BY s DESC, r DESC) AS place FROM lg WHERE split = 'test') SELECT head, tail, r AS relation, round(s, 6) AS score, CAST(place AS INT) AS place FROM o WHERE place <= 3", "kg_entities", "kg_triples"))
+def feature_translation_topk(spark, d):
+    scored, _ = _scored(spark, d, ["test"])
+    long = scored.select("head", "tail", F.posexplode("scores").alias("relation", "score"))
+    top = ranking.top_k(long, ["head", "tail"], 3)
+    return top.select("head", "tail", "relation", F.round("score", 6).alias("score"), "place")
+
+
+@query(sql(f"{_SCORES}, a AS (SELECT split, truth, arg_max(r, s) AS p FROM lg GROUP BY split, head, tail, truth) SELECT split, round(avg(CASE WHEN p = truth THEN 1.0 ELSE 0 END), 6) AS accuracy FROM a GROUP BY 1", "kg_entities", "kg_triples"))
+def accuracy_argmax(spark, d):
+    scored, _ = _scored(spark, d, ["valid", "test"])
+    return scored.groupBy("split").agg(F.round(F.avg((V.argmax("scores") == F.col("relation")).cast("double")), 6).alias("accuracy"))
+
+
+@query(
+    sql(
+        """, s AS (SELECT head, tail, relation % 10 AS truth, r, (head * 31 + tail * 17 + r * 7) % 5 AS s FROM kg_triples, range(10) g(r) WHERE split = 'test'),
+        t AS (SELECT *, max(s) FILTER (r = truth) OVER (PARTITION BY head, tail) AS st FROM s)
+        SELECT count(DISTINCT (head, tail)) AS n, sum(CASE WHEN s >= st THEN 1 ELSE 0 END) AS pessimistic, sum(CASE WHEN s > st OR r = truth THEN 1 ELSE 0 END) AS optimistic,
+               sum(CASE WHEN s > st OR (s = st AND r <= truth) THEN 1 ELSE 0 END) AS lower_index, sum(CASE WHEN s > st OR (s = st AND r >= truth) THEN 1 ELSE 0 END) AS higher_index FROM t""",
+        "kg_triples",
+    )
+)
+def rank_tie_rules(spark, d):
+    t = graph.triples(spark, d).where("split = 'test'").withColumn("truth", F.col("relation") % 10)
+    t = t.withColumn("scores", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda r: (F.col("head") * 31 + F.col("tail") * 17 + r * 7) % 5))
+    rules = ["pessimistic", "optimistic", "lower_index", "higher_index"]
+    return t.agg(F.count("*").alias("n"), *[F.sum(V.rank_of(F.col("scores"), F.col("truth"), r)).alias(r) for r in rules])
+
+
+_ALPHAS = [0.01, 0.05, 0.1]
+_PROBS = _SCORES + ", pr AS (SELECT head, tail, truth, split, r, exp(s) / sum(exp(s)) OVER (PARTITION BY head, tail, truth) AS p FROM lg)"
+_QUANTILES = _PROBS + """, cal AS (SELECT 1 - p AS sc, row_number() OVER (ORDER BY 1 - p) - 1 AS place, count(*) OVER () AS n FROM pr WHERE split = 'valid' AND r = truth),
+    al AS (SELECT unnest([0.01, 0.05, 0.1]::DOUBLE[]) AS alpha), q AS (SELECT alpha, n, sc AS q_hat FROM al, cal WHERE place = least(CAST(ceil(round((n + 1) * (1 - alpha), 9)) AS BIGINT), n - 1))"""
+
+
+def _conformal(spark, d):
+    scored, _ = _scored(spark, d, ["valid", "test"])
+    p = scored.select("split", F.col("relation").alias("label"), V.softmax(F.col("scores")).alias("probs")).persist()
+    cal = p.where("split = 'valid'").select((1 - F.element_at("probs", F.col("label") + 1)).alias("score"))
+    return p, ranking.quantiles(cal, _ALPHAS)
+
+
+@query(sql(f"{_QUANTILES} SELECT alpha, n, round(q_hat, 6) AS q_hat FROM q", "kg_entities", "kg_triples"))
+def conformal_quantiles(spark, d):
+    return _conformal(spark, d)[1].select("alpha", "n", F.round("q_hat", 6).alias("q_hat"))
+
+
+@query(sql(f"{_QUANTILES}, c AS (SELECT alpha, head, tail, truth, max(CASE WHEN r = truth AND p >= 1 - q_hat THEN 1.0 ELSE 0 END) AS hit, count(*) FILTER (p >= 1 - q_hat) AS size FROM pr, q WHERE split = 'test' GROUP BY ALL) SELECT alpha, round(avg(hit), 4) AS coverage, round(avg(size), 2) AS mean_size FROM c GROUP BY 1", "kg_entities", "kg_triples"))
+def conformal_metrics(spark, d):
+    p, q = _conformal(spark, d)
+    out = ranking.coverage(p.where("split = 'test'"), q)
+    return out.select("alpha", F.round("coverage", 4).alias("coverage"), F.round("mean_size", 2).alias("mean_size"))
+
+
+# ---- tensor model and embedding scores
+
+_K = 4
+
+
+def _factor_sql() -> str:
+    i, r, lo = "range(64) a(i)", f"range({CLASSES}) b(r)", f"range({_K}) c(l)"
+    return f""", pj AS (SELECT entity, l, sum(features[i + 1] * sin(31 * i + l) / 8) AS xw, sum(features[i + 1] * cos(17 * l + i) / 8) AS yh FROM kg_entities, {i}, {lo} GROUP BY ALL),
+    z AS (SELECT head, tail, relation, split, h.l AS l, h.xw * t.yh AS z FROM kg_triples JOIN pj h ON h.entity = head JOIN pj t ON t.entity = tail AND t.l = h.l),
+    cc AS (SELECT l, CAST(r AS INT) AS r, sin(7 * l + 13 * r) / 8 AS c FROM {lo}, {r}),
+    lo AS (SELECT head, tail, relation, split, r, sum(z * c) AS s FROM z JOIN cc USING (l) GROUP BY ALL)"""
+
+
+def _pairs(spark, d, split):
+    t = graph.triples(spark, d)
+    f = graph.entities(spark, d).select("entity", "features")
+    return t.where(F.col("split").isin(split)).join(f.toDF("head", "fh"), "head").join(f.toDF("tail", "ft"), "tail").withColumn("label", F.col("relation"))
+
+
+def _factors():
+    return cpd.closed_form(64, _K, CLASSES)
+
+
+@query(sql(f"{_factor_sql()}, p AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY head, tail, relation) AS p FROM lo WHERE split = 'test') SELECT relation, count(*) AS n, round(avg(p), 6) AS mean_p FROM p WHERE r = relation GROUP BY 1", "kg_entities", "kg_triples"))
+def cpd_scores(spark, d):
+    out = cpd.scores(_pairs(spark, d, ["test"]).select("relation", "fh", "ft"), _factors())
+    return out.groupBy("relation").agg(F.count("*").alias("n"), F.round(F.avg(F.element_at("probs", F.col("relation") + 1)), 6).alias("mean_p"))
+
+
+@query(sql(f"{_factor_sql()}, rk AS (SELECT head, tail, relation, count(*) FILTER (s >= st) AS rank FROM (SELECT *, max(s) FILTER (r = relation) OVER (PARTITION BY head, tail, relation) AS st FROM lo WHERE split = 'test') GROUP BY ALL) SELECT {_METRICS} FROM rk", "kg_entities", "kg_triples"))
+def cpd_metrics(spark, d):
+    out = cpd.scores(_pairs(spark, d, ["test"]).select("relation", "fh", "ft"), _factors())
+    return _rounded(ranking.metrics(out.select(V.rank_of(F.col("probs"), F.col("relation")).alias("rank"))))
+
+
+@query(sql(f"{_factor_sql()}, p AS (SELECT *, exp(s - max(s) OVER w) AS e, sum(exp(s - m)) OVER w AS t FROM (SELECT *, max(s) OVER (PARTITION BY head, tail, relation) AS m FROM lo WHERE split = 'train') WINDOW w AS (PARTITION BY head, tail, relation)) SELECT round(-sum(ln(e / (t + 1e-10) + 1e-10)), 4) AS loss FROM p WHERE r = relation", "kg_entities", "kg_triples"))
+def cpd_loss(spark, d):
+    f = _factors()
+    total = cpd.matrix_sum(_pairs(spark, d, ["train"]), lambda x, y, r: cpd.block_loss(x, y, r, f))
+    return spark.createDataFrame([(round(float(total[0]), 4),)], "loss double")
+
+
+@query(
+    sql(
+        f"""{_factor_sql()}, p AS (SELECT *, exp(s - m) / (sum(exp(s - m)) OVER (PARTITION BY head, tail, relation) + 1e-10) - CASE WHEN r = relation THEN 1 ELSE 0 END AS dl FROM (SELECT *, max(s) OVER (PARTITION BY head, tail, relation) AS m FROM lo WHERE split = 'train')),
+        g AS (SELECT l, r, sum(z * dl) AS g FROM p JOIN z USING (head, tail, relation) GROUP BY ALL) SELECT CAST(l AS INT) AS l, round(sqrt(sum(g * g)), 4) AS norm FROM g GROUP BY 1""",
+        "kg_entities",
+        "kg_triples",
+    )
+)
+def cpd_grad_c_norm(spark, d):
+    f = _factors()
+    g = cpd.matrix_sum(_pairs(spark, d, ["train"]), lambda x, y, r: cpd.block_gradient(x, y, r, f, "c")).reshape(_K, CLASSES)
+    return spark.createDataFrame([(i, round(float(np.linalg.norm(g[i])), 4)) for i in range(_K)], "l int, norm double")
+
+
+@query()
+def cpd_grad_hvp_norms(spark, d):
+    """Norms of all gradients and of the Hessian products with the factors themselves."""
+    f = _factors()
+    p = _pairs(spark, d, ["train"]).select("fh", "ft", "label").persist()
+    rows = []
+    for b in "whc":
+        own = getattr(f, b)
+        g = cpd.matrix_sum(p, lambda x, y, r, b=b: cpd.block_gradient(x, y, r, f, b))
+        h = cpd.matrix_sum(p, lambda x, y, r, b=b, own=own: cpd.block_hessian(x, y, r, f, b, own))
+        rows.append((b, round(float(np.linalg.norm(g)), 3), round(float(np.linalg.norm(h)), 3)))
+    p.unpersist()
+    return spark.createDataFrame(rows, "factor string, gradient double, hessian double")
+
+
+@query()
+def cpd_training(spark, d):
+    """One configuration trained whole in a task: first and last loss, validation and test MRR."""
+    p = _pairs(spark, d, ["train", "valid", "test"]).select("fh", "ft", "label", "split")
+    return cpd.fit_groups(p, ledger.grid(spark, k=[8], penalty=[10.0], bias=[4], seed=[7001]), CLASSES, rounds=1)
+
+
+@query()
+def cpd_grid_search(spark, d):
+    """A grid of configurations and seeds, a task each, best mean validation MRR first."""
+    p = _pairs(spark, d, ["train", "valid", "test"]).select("fh", "ft", "label", "split")
+    g = ledger.grid(spark, k=[2, 4], penalty=[10.0], bias=[1], seed=[1, 2])
+    return ledger.best(cpd.fit_groups(p, g, CLASSES, rounds=1).join(F.broadcast(g), "config"), ["k", "penalty", "bias"], "valid_mrr", 5)
+
+
+_KGE = {
+    "distmult": ("sum(h.features[i + 1] * t.features[i + 1] * sin(5 * r + 3 * i))", 64),
+    "complex": ("sum((h.features[i + 1] * t.features[i + 1] - h.features[i + 33] * t.features[i + 33]) * sin(5 * r + 3 * i) + (h.features[i + 1] * t.features[i + 33] + h.features[i + 33] * t.features[i + 1]) * cos(2 * r + 7 * i))", 32),
+    "rotate": ("sum((h.features[i + 1] * t.features[i + 1] - h.features[i + 33] * t.features[i + 33]) * cos(sin(5 * r + 3 * i) * pi()) + (h.features[i + 1] * t.features[i + 33] + h.features[i + 33] * t.features[i + 1]) * sin(sin(5 * r + 3 * i) * pi()))", 32),
+}
+
+
+def _kge_query(kind: str, expression: str, n: int):
+    def run(spark, d):
+        return _rounded(ranking.metrics(kge.ranks(_pairs(spark, d, ["test"]), kind, kge.closed_form(kind, CLASSES, 64))))
+
+    name = f"{kind}_metrics"
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql(
+        f""", s AS (SELECT head, tail, relation, r, {expression} AS s FROM kg_triples JOIN kg_entities h ON h.entity = head JOIN kg_entities t ON t.entity = tail, range({CLASSES}) a(r), range({n}) b(i) WHERE split = 'test' GROUP BY ALL),
+        rk AS (SELECT head, tail, relation, count(*) FILTER (s >= st) AS rank FROM (SELECT *, max(s) FILTER (r = relation) OVER (PARTITION BY head, tail, relation) AS st FROM s) GROUP BY ALL) SELECT {_METRICS} FROM rk""",
+        "kg_entities",
+        "kg_triples",
+    )
+
+
+for _kind, _x in _KGE.items():
+    _kge_query(_kind, *_x)
+
+
+@query()
+def kge_training(spark, d):
+    """DistMult, ComplEx and RotatE trained side by side, a task each."""
+    return kge.fit_groups(_pairs(spark, d, ["train", "valid", "test"]).select("fh", "ft", "label", "split"), ["distmult", "complex", "rotate"], CLASSES, dim=32, epochs=5)
+
+
+def _classifier_query(method: str, classes: int, build=None):
+    def run(spark, d):
+        t = graph.triples(spark, d).withColumn("label", F.col("relation") if classes == CLASSES else F.floor(F.col("relation") / 10).cast("int"))
+        how, make = classifiers.METHODS[method]
+        data = classifiers.prepared(t, graph.entities(spark, d), how).persist()
+        out = classifiers.fit_scores(data, (build or make)(data.count()), classes).where("split = 'test'")
+        return _rounded(ranking.metrics(out.select(V.rank_of(F.col("probs"), F.col("label")).alias("rank"))))
+
+    QUERIES[f"{method}_metrics"] = run
+
+
+_classifier_query("lr_concat", CLASSES, lambda n: classifiers.logistic(n, iterations=20))
+_classifier_query("lr_subtract", CLASSES, lambda n: classifiers.logistic(n, iterations=20))
+_classifier_query("rf_concat", CLASSES, lambda n: classifiers.forest(trees=10, depth=8))
+_classifier_query("rf_subtract", CLASSES, lambda n: classifiers.forest(trees=10, depth=8))
+_classifier_query("gbt_subtract", 10, lambda n: classifiers.boosted(rounds=3, depth=3))
+
+# ---- ledger
+
+_NEW = "new_runs AS (SELECT method, model, aggregation, version, round(mrr + 1, 6) AS mrr, CAST(length(version) AS DOUBLE) AS hits_1 FROM runs WHERE model = 'm1')"
+
+
+def _new(spark, d):
+    return graph.runs(spark, d).where("model = 'm1'").select("method", "model", "aggregation", "version", F.round(F.col("mrr") + 1, 6).alias("mrr"), F.length("version").cast("double").alias("hits_1"))
+
+
+@query(sql(f", {_NEW} SELECT method, model, aggregation, version, mrr, CAST(NULL AS DOUBLE) AS hits_1 FROM runs r WHERE NOT EXISTS (FROM new_runs n WHERE (n.method, n.model, n.aggregation, n.version) = (r.method, r.model, r.aggregation, r.version)) UNION ALL FROM new_runs", "runs"))
+def ledger_upsert(spark, d):
+    return ledger.upsert(graph.runs(spark, d), _new(spark, d))
+
+
+@query(sql(", w AS (SELECT DISTINCT m.method, r.model, r.aggregation, r.version FROM runs r, (SELECT DISTINCT method FROM runs UNION SELECT 'IMC') m) SELECT * FROM w WHERE NOT EXISTS (FROM runs r WHERE (w.method, w.model, w.aggregation, w.version) = (r.method, r.model, r.aggregation, r.version))", "runs"))
+def ledger_pending(spark, d):
+    runs = graph.runs(spark, d)
+    methods = runs.select("method").distinct().union(spark.createDataFrame([("IMC",)], "method string"))
+    wanted = runs.select("model", "aggregation", "version").distinct().crossJoin(F.broadcast(methods))
+    return ledger.pending(wanted.select(*ledger.KEYS), runs)
+
+
+@query(sql(", m AS (SELECT count(DISTINCT method) AS k FROM runs) SELECT model, aggregation, version FROM (SELECT DISTINCT model, aggregation, version FROM runs) w WHERE NOT EXISTS (SELECT 1 FROM runs r, m WHERE (r.model, r.aggregation, r.version) = (w.model, w.aggregation, w.version) GROUP BY k HAVING count(DISTINCT method) = k)", "runs"))
+def ledger_pending_families(spark, d):
+    runs = graph.runs(spark, d)
+    methods = [r["method"] for r in runs.select("method").distinct().collect()]
+    return ledger.pending_families(runs.select("model", "aggregation", "version").distinct(), runs, methods)
+
+
+_BASE = "CASE WHEN regexp_extract(version, '^(.+_ind)_seed\\d+$', 1) <> '' THEN regexp_extract(version, '^(.+_ind)_seed\\d+$', 1) ELSE version END"
+_SUMMARY = f"su AS (SELECT method, model, aggregation, {_BASE} AS base_version, count(DISTINCT version) AS n_seeds, avg(mrr) AS mean, CASE WHEN count(mrr) = 1 THEN 0 ELSE stddev_samp(mrr) END AS std FROM runs GROUP BY ALL)"
+
+
+@query(sql(f", {_SUMMARY} SELECT method, model, aggregation, base_version, n_seeds, round_even(mean, 6) AS mrr_mean, round_even(std, 6) AS mrr_std FROM su", "runs"))
+def ledger_summary(spark, d):
+    return ledger.summary(graph.runs(spark, d))
+
+
+_PLACE = {"click": 0, "view": 1, "purchase": 2}
+
+
+@query(sql(f", {_SUMMARY} SELECT base_version, model, method, CASE method WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 99 END AS place, n_seeds, printf('%.4f', round_even(mean, 6)) || '+/-' || printf('%.4f', round_even(std, 6)) AS mrr FROM su", "runs"))
+def ledger_report(spark, d):
+    out = ledger.report(ledger.summary(graph.runs(spark, d)), ["mrr"], order=_PLACE)
+    return out.orderBy("base_version", "model", "place", "method")
+
+
+@query("SELECT row_number() OVER (ORDER BY k, penalty, bias) - 1 AS config, k, penalty, bias FROM (SELECT unnest([50, 70, 100, 150, 200]) AS k), (SELECT unnest([1.0, 10.0, 100.0]::DOUBLE[]) AS penalty), (SELECT unnest([32, 48, 64]) AS bias)")
+def grid_configs(spark, d):
+    return ledger.grid(spark, k=[50, 70, 100, 150, 200], penalty=[1.0, 10.0, 100.0], bias=[32, 48, 64]).select("config", F.col("k").cast("int").alias("k"), "penalty", F.col("bias").cast("int").alias("bias"))
+
+
+@query(sql("SELECT method, model, round(avg(mrr), 6) AS mrr_mean, count(mrr) AS runs FROM runs GROUP BY ALL ORDER BY avg(mrr) DESC, method, model LIMIT 5", "runs"))
+def grid_best(spark, d):
+    return ledger.best(graph.runs(spark, d), ["method", "model"], "mrr", 5).withColumn("mrr_mean", F.round("mrr_mean", 6))
+
+
+@query(sql("SELECT method, model, version, mrr, coalesce(mrr > max(mrr) OVER (PARTITION BY method, model ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS improved FROM runs", "runs"))
+def running_best(spark, d):
+    return ledger.running_best(graph.runs(spark, d), ["method", "model"], "version", "mrr").drop("aggregation")
+
+
+# ---- graph extraction
+
+_ADJ = "adj AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM kg_edges UNION ALL SELECT dst, src FROM kg_edges)), pairs AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS pair, src AS head, dst AS tail FROM kg_edges WHERE relation = 'part_of')"
+
+
+def _level_sql(name: str, end: str) -> str:
+    return f"""{name}1 AS (SELECT DISTINCT pair, dst AS node FROM pairs JOIN adj ON src = {end} WHERE dst <> {end}),
+    {name}2 AS (SELECT DISTINCT l.pair, dst AS node FROM {name}1 l JOIN pairs p USING (pair) JOIN adj ON src = node WHERE dst <> p.{end} AND NOT EXISTS (FROM {name}1 x WHERE x.pair = l.pair AND x.node = dst)),
+    {name} AS (SELECT pair, node, 1 AS hop FROM {name}1 UNION ALL SELECT pair, node, 2 FROM {name}2)"""
+
+
+def _graph(spark, d):
+    e = graph.edges(spark, d)
+    pairs = with_position(e.where("relation = 'part_of'").select(F.col("src").alias("head"), F.col("dst").alias("tail")), ["head", "tail"], "pair")
+    return e.withColumnRenamed("relation", "type"), pairs, subgraph.symmetric(e.withColumnRenamed("relation", "type")).persist()
+
+
+@query(sql(f", {_ADJ}, {_level_sql('h', 'head')} SELECT pair, CAST(hop AS INT) AS hop, count(*) AS n FROM h GROUP BY ALL", "kg_edges"))
+def khop_neighbors(spark, d):
+    _, pairs, adj = _graph(spark, d)
+    return subgraph.levels(pairs.select("pair", F.col("head").alias("node")), adj, 2).groupBy("pair", "hop").agg(F.count("*").alias("n"))
+
+
+_NODES = "inn AS (SELECT DISTINCT h.pair, h.node FROM h JOIN t USING (pair, node) JOIN pairs p USING (pair) WHERE h.node NOT IN (p.head, p.tail)), un AS (SELECT DISTINCT pair, node FROM (FROM h UNION ALL FROM t) JOIN pairs p USING (pair) WHERE node NOT IN (p.head, p.tail))"
+
+
+@query(sql(f", {_ADJ}, {_level_sql('h', 'head')}, {_level_sql('t', 'tail')}, {_NODES}, a AS (SELECT pair, count(*) AS n FROM inn GROUP BY 1), b AS (SELECT pair, count(*) AS n FROM un GROUP BY 1) SELECT pair, coalesce(a.n, 0) + 2 AS enclosing, coalesce(b.n, 0) + 2 AS whole FROM pairs LEFT JOIN a USING (pair) LEFT JOIN b USING (pair)", "kg_edges"))
+def enclosing_subgraph_sizes(spark, d):
+    _, pairs, adj = _graph(spark, d)
+    size = lambda name, union: subgraph.enclosing(pairs, adj, 2, union).groupBy("pair").agg(F.count("*").alias(name))
+    return size("enclosing", False).join(size("whole", True), "pair")
+
+
+_DRNL = """sub AS (SELECT pair, node FROM un UNION SELECT pair, head FROM pairs UNION SELECT pair, tail FROM pairs),
+    se AS (SELECT a.pair, e.src, e.dst FROM sub a JOIN adj e ON e.src = a.node JOIN sub b ON b.pair = a.pair AND b.node = e.dst),
+    eh AS (SELECT se.* FROM se JOIN pairs p USING (pair) WHERE src <> p.tail AND dst <> p.tail), et AS (SELECT se.* FROM se JOIN pairs p USING (pair) WHERE src <> p.head AND dst <> p.head),
+    h1 AS (SELECT DISTINCT pair, dst AS node FROM eh JOIN pairs p USING (pair) WHERE src = p.head), h2 AS (SELECT DISTINCT eh.pair, dst AS node FROM eh JOIN h1 ON h1.pair = eh.pair AND h1.node = eh.src),
+    t1 AS (SELECT DISTINCT pair, dst AS node FROM et JOIN pairs p USING (pair) WHERE src = p.tail), t2 AS (SELECT DISTINCT et.pair, dst AS node FROM et JOIN t1 ON t1.pair = et.pair AND t1.node = et.src),
+    dh AS (SELECT pair, node, min(d) AS d FROM (SELECT *, 1 AS d FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL), dt AS (SELECT pair, node, min(d) AS d FROM (SELECT *, 1 AS d FROM t1 UNION ALL SELECT *, 2 FROM t2) GROUP BY ALL),
+    lab AS (SELECT un.pair, un.node, dt.d AS first, dh.d AS second FROM un JOIN dh USING (pair, node) JOIN dt USING (pair, node) UNION ALL SELECT pair, head, 0, 1 FROM pairs UNION ALL SELECT pair, tail, 1, 0 FROM pairs)"""
+
+
+@query(sql(f", {_ADJ}, {_level_sql('hh', 'head')}, {_level_sql('tt', 'tail')}, un AS (SELECT DISTINCT pair, node FROM (FROM hh UNION ALL FROM tt) JOIN pairs p USING (pair) WHERE node NOT IN (p.head, p.tail)), {_DRNL} SELECT pair, CAST(first AS INT) AS first, CAST(second AS INT) AS second, count(*) AS n FROM lab GROUP BY ALL", "kg_edges"))
+def drnl_labels(spark, d):
+    e, pairs, adj = _graph(spark, d)
+    nodes = subgraph.enclosing(pairs, adj, 2, union=True)
+    return subgraph.labelled(nodes, e.select("src", "dst"), 2).groupBy("pair", "first", "second").agg(F.count("*").alias("n"))
+
+
+@query(sql(", r AS (SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS t FROM (SELECT DISTINCT relation FROM kg_edges)), e AS (SELECT src, dst, t FROM kg_edges JOIN r USING (relation)), k AS (SELECT count(*) AS k FROM r) SELECT type, count(*) AS n, count(DISTINCT src) AS sources FROM (SELECT src, dst, t AS type FROM e UNION ALL SELECT dst, src, t + k FROM e, k) GROUP BY 1", "kg_edges"))
+def inverse_edges(spark, d):
+    e = graph.edges(spark, d)
+    r = vocab.dense_index(e, "relation", "type")
+    out = subgraph.inverse(e.join(F.broadcast(r), "relation"), r.count())
+    return out.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))

@@ -75,3 +75,26 @@ def coverage(scored: DataFrame, q: DataFrame) -> DataFrame:
 
 def accuracy(scored: DataFrame) -> DataFrame:
     return scored.agg(F.coalesce(F.avg((V.argmax("probs") == F.col("label")).cast("double")), F.lit(0.0)).alias("accuracy"))
+
+
+def translation_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs(fh, ft, ...) with scores: minus the distance of tail - head to each class vector, in order of class; feature columns are dropped.
+
+    The class vectors (one row a relation) go to the tasks; pairs are scored in Arrow batches.
+    """
+    import numpy as np
+
+    rows = vectors.orderBy("relation").collect()  # the class vocabulary
+    v = np.array([r["vector"] for r in rows], dtype=float)
+    keep = [c for c in pairs.columns if c not in ("fh", "ft")]
+    shared = pairs.sparkSession.sparkContext.broadcast((v, (v**2).sum(axis=1)))
+
+    def run(batches):
+        v, square = shared.value
+        for p in batches:
+            if len(p):
+                m = np.array(p["ft"].tolist(), dtype=float) - np.array(p["fh"].tolist(), dtype=float)
+                d = (m**2).sum(axis=1)[:, None] - 2 * m @ v.T + square
+                yield p[keep].assign(scores=list(-np.sqrt(np.maximum(d, 0))))
+
+    return pairs.mapInPandas(run, pairs.select(*keep)._jdf.schema().toDDL() + ", scores array<double>")
