@@ -42,7 +42,7 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
     """item_id, doc_id, n_shingles (of the item), n_shared, containment: one row for each leaked item of a document."""
     percent = round(100 * threshold)
-    sets = items.where("item_id is not null").select("item_id", F.array_distinct(_runs(words("text"), k, lambda r: F.array_join(r, " "))).alias("runs")).where(F.size("runs") > 0)
+    sets = items.where("item_id is not null").select("item_id", F.array_distinct(_runs(words("text"), k, lambda r: r)).alias("runs")).where(F.size("runs") > 0)
     sets = stash(sets.withColumn("n_shingles", F.size("runs").cast("long")))
     need = F.expr(f"cast((n_shingles * {percent} + 99) div 100 as int)")
     hashed = F.array_sort(F.transform("runs", lambda r: F.xxhash64(r)))
@@ -55,13 +55,14 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: in
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     w = docs.select("doc_id", words("text").alias("w"))
-    joined = w.select("doc_id", F.greatest(F.size("w") - k + 1, F.least(F.size("w"), F.lit(1))).alias("size"), F.explode(_runs(F.col("w"), k, lambda r: F.xxhash64(F.array_join(r, " ")))).alias("h"))
-    joined = joined.where((F.col("h") <= top) & (F.col("size") >= least))
+    w = w.select("doc_id", F.greatest(F.size("w") - k + 1, F.least(F.size("w"), F.lit(1))).alias("size"), _runs(F.col("w"), k, F.xxhash64).alias("runs"))
+    joined = w.where(F.col("size") >= least).select("doc_id", "size", F.explode("runs").alias("h"))
+    joined = joined.where(F.col("h") <= top)
     pairs = joined.join(_bounded(sketch, rows), "h").where("size >= need").select("item_id", "doc_id").distinct()
     pairs = stash(pairs)
     wanted = pairs.select("doc_id").distinct()
     held = docs.join(_bounded(wanted, wanted.count()), "doc_id", "left_semi")
-    held = held.select("doc_id", F.array_distinct(_runs(words("text"), k, lambda r: F.array_join(r, " "))).alias("held"))
+    held = held.select("doc_id", F.array_distinct(_runs(words("text"), k, lambda r: r)).alias("held"))
     found = pairs.join(held, "doc_id").join(_bounded(sets, rows), "item_id")
     found = found.withColumn("n_shared", F.size(F.array_intersect("runs", "held")).cast("long"))
     found = found.where(F.col("n_shared") >= need)

@@ -47,7 +47,8 @@ def template_keys(lines: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """row (see _row), places: the 0-based lines that go, for each document that loses some."""
-    lines = docs.select("doc_id", _row().alias("row"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    # the row's hash is taken before its lines part, so that no line carries the text
+    lines = docs.select("doc_id", _row().alias("row"), F.split("text", "\n").alias("lines")).select("doc_id", "row", F.posexplode("lines").alias("place", "line"))
     keys = template_keys(lines).select("doc_id", "row", "place", F.explode("keys").alias("key"))
     keys = stash(keys)
     first = F.min(F.struct("doc_id", "row", "place")).alias("first")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,6 @@ from pyspark.sql.window import Window
 from .common import arrow_batches, stash
 
 CAPACITY, END_ID, TOKENIZER = 2048, 1, "byte_bpe_50k.json"
-#: Distinct runs of text kept with their ids in each Python worker; then the store starts anew.
-STORE = 250_000
 
 
 def class_lengths(capacity: int) -> np.ndarray:
@@ -39,43 +38,51 @@ def class_lengths(capacity: int) -> np.ndarray:
     return np.array([*range(1, min(65, capacity // 2)), *range(72, capacity // 2, 8), capacity // 2])
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each printable stand-in of a byte-level vocabulary means."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
+#: Splitter of byte-level vocabularies.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
-    """Token ids of whole texts by the tokenizers library.
+    """The token ids that the tokenizers library gives for whole texts, strings of special tokens being ordinary text.
 
-    The byte-level splitter never joins text across a lone space that follows a non-space, so
-    runs between such spaces are encoded alone and their ids are kept; texts with two spaces
-    in a row are encoded whole.
+    Where the vocabulary is byte-level and its merges are in order of id, texts go through
+    the same ranks in tiktoken, which gives the same ids sooner; any other vocabulary goes
+    through tokenizers.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec.get("pre_tokenizer") or {}
-        self._by_run = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
-        self._ids: dict[str, bytes] = {}
+        split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        byte_level = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        vocab = model.get("vocab", {})
+        order = [vocab["".join(m)] for m in merges] if byte_level else [1, 0]
+        if all(x < y for x, y in zip(order, order[1:], strict=False)):
+            import tiktoken
+
+            byte, special = _byte_of(), {t["content"] for t in spec.get("added_tokens", [])}
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+            encode = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self._encode = lambda texts: [array("I", encode(t)).tobytes() for t in texts]
+        else:
+            from tokenizers import Tokenizer
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self._encode = lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        plain = [t for t in texts if self._by_run and "  " not in t]
-        runs = []
-        for t in plain:
-            r = t.split(" ")
-            runs.append([r[0], *[" " + x for x in r[1:]]])
-        if len(self._ids) > STORE:
-            self._ids.clear()
-        new = list({x for r in runs for x in r} - self._ids.keys())
-        self._ids.update(zip(new, self._encode(new), strict=True))
-        known = iter([b"".join(map(self._ids.__getitem__, r)) for r in runs])
-        rest = iter(self._encode([t for t in texts if not (self._by_run and "  " not in t)]))
-        return [next(known) if self._by_run and "  " not in t else next(rest) for t in texts]
+        return self._encode(texts)
 
 
 _encoders: dict[str, Encoder] = {}
