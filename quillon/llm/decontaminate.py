@@ -30,11 +30,21 @@ def words(text: str):
     return F.array_remove(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), "")
 
 
+def once(value, f):
+    """f of a value that is worked out once: the optimizer may copy a plain expression into every element's lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _runs(w, k: int, make):
     n = F.size(w)
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: make(F.slice(w, i, k)))).when(n > 0, F.array(make(w)))
 
 
+def shingles(text, k: int):
+    """The distinct runs of k words, as strings: words hold no blank."""
+    return once(words(text), lambda w: F.array_distinct(_runs(w, k, lambda r: F.array_join(r, " "))))
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -42,7 +52,7 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
     """item_id, doc_id, n_shingles (of the item), n_shared, containment: one row for each leaked item of a document."""
     percent = round(100 * threshold)
-    sets = items.where("item_id is not null").select("item_id", F.array_distinct(_runs(words("text"), k, lambda r: r)).alias("runs")).where(F.size("runs") > 0)
+    sets = items.where("item_id is not null").select("item_id", shingles("text", k).alias("runs")).where(F.size("runs") > 0)
     sets = stash(sets.withColumn("n_shingles", F.size("runs").cast("long")))
     need = F.expr(f"cast((n_shingles * {percent} + 99) div 100 as int)")
     hashed = F.array_sort(F.transform("runs", lambda r: F.xxhash64(r)))
@@ -54,15 +64,15 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: in
         return sets.select("item_id", F.col("item_id").alias("doc_id"), "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("containment")).limit(0)
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    w = docs.select("doc_id", words("text").alias("w"))
-    w = w.select("doc_id", F.greatest(F.size("w") - k + 1, F.least(F.size("w"), F.lit(1))).alias("size"), _runs(F.col("w"), k, F.xxhash64).alias("runs"))
-    joined = w.where(F.col("size") >= least).select("doc_id", "size", F.explode("runs").alias("h"))
-    joined = joined.where(F.col("h") <= top)
+    hashes = once(words("text"), lambda w: _runs(w, k, lambda r: F.xxhash64(F.array_join(r, " "))))
+    # an outer explode: for a plain one the optimizer works out the array a second time, to filter on its size
+    joined = docs.select("doc_id", hashes.alias("runs")).select("doc_id", F.size("runs").alias("size"), F.explode_outer("runs").alias("h"))
+    joined = joined.where((F.col("h") <= top) & (F.col("size") >= least))
     pairs = joined.join(_bounded(sketch, rows), "h").where("size >= need").select("item_id", "doc_id").distinct()
     pairs = stash(pairs)
     wanted = pairs.select("doc_id").distinct()
     held = docs.join(_bounded(wanted, wanted.count()), "doc_id", "left_semi")
-    held = held.select("doc_id", F.array_distinct(_runs(words("text"), k, lambda r: r)).alias("held"))
+    held = held.select("doc_id", shingles("text", k).alias("held"))
     found = pairs.join(held, "doc_id").join(_bounded(sets, rows), "item_id")
     found = found.withColumn("n_shared", F.size(F.array_intersect("runs", "held")).cast("long"))
     found = found.where(F.col("n_shared") >= need)
