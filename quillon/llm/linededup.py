@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
+from .decontaminate import once
 
 DEPTH, BLOCKS, MIN_DOCS = 3, 4, 5
 FIELD = "<*>"
@@ -31,25 +32,29 @@ def _row():
 def template_keys(lines: DataFrame) -> DataFrame:
     """lines(line, ...) with `keys`: hashes of the templates of the line, or null for a blank line."""
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _DIGITS, FIELD)).otherwise(F.col("line"))
-    t = lines.withColumn("t", F.array_remove(F.split(masked, r"[ \t\r]+"), ""))
-    n = F.size("t")
-    rest = n - DEPTH
-    exact = F.xxhash64(n, F.lit(-1), F.col("t"))
-    width = F.ceil(rest / BLOCKS).cast("int")
 
-    def without(j: int):
-        # tokens before and after block j; both keep their places, as the block's width follows from n
-        return F.xxhash64(n, F.lit(j), F.slice("t", F.lit(1), DEPTH + j * width), F.slice("t", DEPTH + (j + 1) * width + 1, n))
+    def keys(t):
+        n = F.size(t)
+        rest = n - DEPTH
+        exact = F.xxhash64(n, F.lit(-1), t)
+        width = F.ceil(rest / BLOCKS).cast("int")
 
-    blocks = [F.when((rest >= 2) & (rest > j * width), without(j)) for j in range(BLOCKS)]
-    return t.withColumn("keys", F.when(n > 0, F.array_compact(F.array(exact, *blocks)))).drop("t")
+        def without(j: int):
+            # tokens before and after block j; both keep their places, as the block's width follows from n
+            return F.xxhash64(n, F.lit(j), F.slice(t, F.lit(1), DEPTH + j * width), F.slice(t, DEPTH + (j + 1) * width + 1, n))
+
+        blocks = [F.when((rest >= 2) & (rest > j * width), without(j)) for j in range(BLOCKS)]
+        return F.when(n > 0, F.array_compact(F.array(exact, *blocks)))
+
+    return lines.withColumn("keys", once(F.array_remove(F.split(masked, r"[ \t\r]+"), ""), keys))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """row (see _row), places: the 0-based lines that go, for each document that loses some."""
     # the row's hash is taken before its lines part, so that no line carries the text
-    lines = docs.select("doc_id", _row().alias("row"), F.split("text", "\n").alias("lines")).select("doc_id", "row", F.posexplode("lines").alias("place", "line"))
-    keys = template_keys(lines).select("doc_id", "row", "place", F.explode("keys").alias("key"))
+    lines = docs.select("doc_id", _row().alias("row"), F.split("text", "\n").alias("lines")).select("doc_id", "row", F.posexplode_outer("lines").alias("place", "line"))
+    # outer explodes: for plain ones the optimizer works out the arrays a second time, to filter on their size
+    keys = template_keys(lines).select("doc_id", "row", "place", F.explode_outer("keys").alias("key")).where("key is not null")
     keys = stash(keys)
     first = F.min(F.struct("doc_id", "row", "place")).alias("first")
     met = keys.groupBy("key", "row").agg(first).groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("first"))
