@@ -56,8 +56,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # outer explodes: for plain ones the optimizer works out the arrays a second time, to filter on their size
     keys = template_keys(lines).select("doc_id", "row", "place", F.explode_outer("keys").alias("key")).where("key is not null")
     keys = stash(keys)
-    first = F.min(F.struct("doc_id", "row", "place")).alias("first")
-    met = keys.groupBy("key", "row").agg(first).groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    # a flat minimum is hashed, not sorted: rows of a document stay side by side and shuffle small
+    own = keys.groupBy("key", "row", "doc_id").agg(F.min("place").alias("place"))
+    met = own.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("first"))
     met = met.where(F.col("n") >= min_docs).select("key", "first.row", "first.place")
     again = keys.alias("k").join(met.alias("m"), "key").where("k.row <> m.row or k.place <> m.place")
     return again.groupBy("k.row").agg(F.collect_set("k.place").alias("places"))
