@@ -7,6 +7,7 @@ folded name), and its surrogate derives from an HMAC of kind, value and attempt:
 length and format, valid check digits, gender of the title, script of the name. One value has
 one surrogate in all documents, however it is written; two values never share one, and no
 surrogate is a value of the corpus: colliding values take further attempts until none collide.
+Where a format of digits has no free value left, the surrogate is longer by a digit.
 
 Null and empty texts have no entities. Repeated rows are changed alike. Documents without
 entities are left as they are; extra columns pass through surrogates() unchanged.
@@ -48,6 +49,8 @@ PATTERNS = {
     "person": re.compile(rf"(?<!\w)({_TITLE})\.? ({_WORD}(?: {_WORD})?)"),
 }
 _DIGIT = re.compile(r"[0-9]")
+#: A phone or social security number that still collides after so many attempts gets a digit more.
+WIDEN = 8
 
 
 def luhn(digits: str) -> bool:
@@ -152,7 +155,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return value[:2] + f"{98 - mod97(value[:2] + '00' + body):02d}" + body
     if kind in ("phone", "ssn"):
         keep = max(0, len(value) - 10)  # country code
-        return value[:keep] + "".join(str(2 + s.below(8)) if i == 0 else str(s.below(10)) for i in range(len(value) - keep))
+        more = attempt // WIDEN  # digits beyond the format, where it has no value left
+        return value[:keep] + "".join(str(2 + s.below(8)) if i == 0 else str(s.below(10)) for i in range(len(value) - keep + more))
     gender, _, name = value.partition(":")
     script = "cyrillic" if "CYRILLIC" in unicodedata.name(name[0], "") else "latin"
     given = GIVEN[script, gender if gender != "u" else "mf"[s.below(2)]]
@@ -164,7 +168,7 @@ def render(kind: str, original: str, replacement: str) -> str:
     """The replacement written the way this occurrence is."""
     if kind in ("card", "phone", "ssn"):
         d = iter(replacement)
-        return "".join(next(d) if c in "0123456789" else c for c in original)
+        return "".join(next(d) if c in "0123456789" else c for c in original) + "".join(d)
     if kind == "iban":
         d = iter(replacement)
         return "".join(c if c == " " else next(d) for c in original)
