@@ -41,6 +41,8 @@ CONTENT_WORDS = frozenset("article articlebody story content post entry main mai
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
 BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 STOPS = {"li": {"ul", "ol", "menu"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "dt": {"dl"}, "dd": {"dl"}}
+#: Skeletons or partial wrappers of a host that one task aligns.
+FAN = 16
 HEADING = re.compile(r">h[1-6]\b[^>]*$")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:\"[^\"]*\"|'[^']*'|[^'\">])*)?/?)>|<[!?][^>]*>", re.S | re.I)
@@ -162,6 +164,18 @@ class Page:
 
 
 # Wrapper nodes are tags, "#" for a text slot, ("+", body) for a repeated and ("?", body) for an optional group.
+# A group closes what it opens and nothing else, so every slot keeps the path that it has in its pages.
+
+
+def balanced(nodes) -> bool:
+    """Whether a run closes each element that it opens, and no other."""
+    depth = 0
+    for n in nodes:
+        if isinstance(n, str) and n != "#":
+            depth += -1 if n.startswith("/") else 1
+            if depth < 0:
+                return False
+    return depth == 0
 
 
 def fold(nodes: list, longest: int = 40) -> list:
@@ -175,7 +189,7 @@ def fold(nodes: list, longest: int = 40) -> list:
             k = i + period
             while len(body) == period and nodes[k : k + period] == body:
                 k += period
-            if k > i + period:
+            if k > i + period and balanced(body):
                 group = ("+", tuple(body))
                 if period == 1 and isinstance(body[0], tuple) and body[0][0] == "+":
                     group = body[0]
@@ -195,20 +209,39 @@ def fold(nodes: list, longest: int = 40) -> list:
     return nodes
 
 
-def _plain(node):
-    return node[1] if isinstance(node, tuple) else (node,)
+def _items(nodes: list) -> list[list]:
+    """The siblings of a balanced run: elements from tag to end tag, slots and groups."""
+    out: list[list] = []
+    depth = 0
+    for n in nodes:
+        if depth == 0:
+            out.append([])
+        out[-1].append(n)
+        if isinstance(n, str) and n != "#":
+            depth += -1 if n.startswith("/") else 1
+    return out
 
 
-def align(a: list, b: list) -> list:
-    """The smallest wrapper of this kind that covers both: matches stay, mismatches become repeated or optional groups."""
+class _Pair:
+    """Children of two like elements, still to be aligned."""
+
+    def __init__(self, a: list, b: list):
+        self.a, self.b = a, b
+
+
+def _siblings(a: list, b: list) -> list:
+    """Nodes that cover both runs, with a pair in place of the children of elements that both have."""
     if a == b:
         return a
+    left_items, right_items = _items(a), _items(b)
     out: list = []
-    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        left, right = a[i:j], b[k:m]
+    for op, i, j, k, m in SequenceMatcher(None, [x[0] for x in left_items], [x[0] for x in right_items], autojunk=False).get_opcodes():
         if op == "equal":
-            out += left
-        elif len(left) == 1 and isinstance(left[0], tuple) and (not right or tuple(fold(right)) in (left[0][1], (left[0],))):
+            for x, y in zip(left_items[i:j], right_items[k:m], strict=True):
+                out += x if x == y else [x[0], _Pair(x[1:-1], y[1:-1]), x[-1]]
+            continue
+        left, right = [[n for x in side for n in x] for side in (left_items[i:j], right_items[k:m])]
+        if len(left) == 1 and isinstance(left[0], tuple) and (not right or tuple(fold(right)) in (left[0][1], (left[0],))):
             out += left if right else [left[0] if left[0][0] == "?" else ("?", (left[0],))]
         elif len(right) == 1 and isinstance(right[0], tuple) and (not left or tuple(fold(left)) in (right[0][1], (right[0],))):
             out += right if left else [right[0] if right[0][0] == "?" else ("?", (right[0],))]
@@ -218,6 +251,21 @@ def align(a: list, b: list) -> list:
                     group = side[0] if len(side) == 1 and isinstance(side[0], tuple) and side[0][0] == "?" else ("?", tuple(side))
                     if not (out and out[-1] == group):
                         out.append(group)
+    return out
+
+
+def align(a: list, b: list) -> list:
+    """A wrapper of this kind that covers both: like elements are aligned within, mismatches become repeated or optional groups."""
+    if a == b:
+        return a
+    out: list = []
+    todo: list = [_Pair(a, b)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Pair):
+            todo += reversed(_siblings(x.a, x.b))
+        else:
+            out.append(x)
     return fold(out)
 
 
@@ -228,7 +276,7 @@ def slots(wrapper: list, path: str = "") -> set[str]:
     def walk(nodes, at: list[str]):
         for n in nodes:
             if isinstance(n, tuple):
-                walk(n[1], list(at) if n[0] == "?" and sum(x != "#" and not isinstance(x, tuple) and not x.startswith("/") for x in n[1]) == sum(isinstance(x, str) and x.startswith("/") for x in n[1]) else at)
+                walk(n[1], list(at))
             elif n == "#":
                 found.add("".join(">" + x for x in at))
             elif n.startswith("/"):
@@ -268,14 +316,16 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     wrapper = decode(parts[0])
     for p in parts[1:]:
         wrapper = align(wrapper, decode(p))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [encode(wrapper)]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "wrapper": [encode(wrapper)]})
 
 
 def infer(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(host, wrapper) and (host, path, pages, blocks, words, link letters, letters, constant) over pages(url, html).
 
-    Equal skeletons of a host count once; the others are aligned in 32 salted parts, then the
-    parts, so a host with a third of all pages does not meet in one task.
+    Equal skeletons of a host count once; the others are aligned in a tree of salted parts, about
+    FAN in each, so a host with a third of all pages does not meet in one task. Only the largest
+    number of skeletons of a host reaches the driver. A slot is constant if all its texts are
+    the same on every page.
     """
     arrow_batches(pages.sparkSession, 500)
 
@@ -287,20 +337,31 @@ def infer(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows.append((h, encode(fold(page.stream)), None, 0, 0, 0, 0, None))
                 stats: dict[str, list] = {}
                 for path, t, links in page.blocks:
-                    s = stats.setdefault(path, [0, 0, 0, 0, zlib.crc32(t.encode("utf-8", "surrogatepass"))])
+                    s = stats.setdefault(path, [0, 0, 0, 0, 0])
                     s[0] += 1
                     s[1] += t.count(" ") + 1
                     s[2] += links
                     s[3] += len(t)
+                    s[4] = zlib.crc32(t.encode("utf-8", "surrogatepass") + b"\n", s[4])
                 rows += [(h, None, path, *s) for path, s in stats.items()]
             yield pd.DataFrame(rows, columns=["host", "wrapper", "path", "blocks", "words", "links", "letters", "sample"])
 
     seen = pages.select(host().alias("host"), "html").mapInPandas(run, "host string, wrapper string, path string, blocks long, words long, links long, letters long, sample long")
     seen = seen.groupBy("host", "wrapper", "path").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("blocks", "words", "links", "letters")], (F.min("sample") == F.max("sample")).alias("constant"))
     seen = stash(seen)
-    skeletons = seen.where("wrapper is not null").select("host", "wrapper", F.pmod(F.xxhash64("wrapper"), F.lit(32)).alias("salt"))
-    parts = skeletons.groupBy("host", "salt").applyInPandas(_merge, "host string, wrapper string")
-    wrappers = parts.groupBy("host").applyInPandas(_merge, "host string, wrapper string")
+    skeletons = seen.where("wrapper is not null").select("host", "wrapper")
+    most = skeletons.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    parts = 1
+    while parts * FAN < most:
+        parts *= FAN
+    wrappers = skeletons.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(parts)))
+    while True:
+        wrappers = wrappers.groupBy("host", "salt").applyInPandas(_merge, "host string, salt long, wrapper string")
+        if parts == 1:
+            break
+        parts //= FAN
+        wrappers = wrappers.withColumn("salt", F.floor(F.col("salt") / FAN).cast("long"))
+    wrappers = wrappers.drop("salt")
     return wrappers, seen.where("path is not null").drop("wrapper")
 
 

@@ -238,3 +238,44 @@ def test_wrappers_fold_and_align():
     assert c == [("?", ("h1", "#", "/h1")), "p", "#", "/p"]
     assert wrapper.decode(wrapper.encode(c)) == c
     assert wrapper.slots(c) == {">h1", ">p"}
+
+
+def test_wrapper_keeps_blocks_of_pages_that_differ_in_one_tag(spark):
+    prose = "of page {i} has quite enough words in it to count as prose in any case"
+    rows = []
+    for i in range(40):
+        h = "h2" if i % 2 else "h3"
+        rows.append((i, "https://d.example/", f"<article><{h}>Head {i}</{h}><p>Body {i}</p></article>", f"Head {i} Body {i}"))
+        box = "a" if i % 2 else "b"
+        rows.append((100 + i, "https://e.example/", f'<div><div><div class="{box}">Text {prose.format(i=i)}</div></div></div>', f"Text {prose.format(i=i)}"))
+        same, own = "The first paragraph has the same words on every page of this host", f"The second one {prose.format(i=i)}"
+        rows.append((200 + i, "https://f.example/", f"<div><p>{same}</p><p>{own}</p></div><h4>Not prose</h4>", f"{same} {own}"))
+        tags = "".join(f"<{t}>{t} {i}</{t}>" for k, t in enumerate(("h2", "p", "ul", "pre", "blockquote", "h5")) if (i + 1) >> k & 1)
+        rows.append((300 + i, "https://g.example/", f"<main>{tags}</main>", " ".join(f"{t} {i}" for k, t in enumerate(("h2", "p", "ul", "pre", "blockquote", "h5")) if (i + 1) >> k & 1)))
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrapper.articles(df).collect()}
+    assert got == {i: want for i, _, _, want in rows}
+
+
+def test_wrapper_knows_every_path_of_its_pages():
+    rnd = random.Random(7)
+
+    def run(depth):
+        out = []
+        for _ in range(rnd.randint(0, 4)):
+            if depth and rnd.random() < 0.6:
+                tag = rnd.choice(["div", "ul", "h2", "h3"])
+                out += [tag, *run(depth - 1), "/" + tag]
+            else:
+                out.append("#")
+        return out
+
+    for _ in range(300):
+        streams = [run(4) for _ in range(4)]
+        want = set().union(*(wrapper.slots(x) for x in streams))
+        merged = wrapper.fold(streams[0])
+        for x in streams[1:]:
+            merged = wrapper.align(merged, wrapper.fold(x))
+        assert wrapper.slots(wrapper.decode(wrapper.encode(merged))) == want
+    deep = ["div"] * 3000 + ["#"] + ["/div"] * 3000
+    assert len(wrapper.slots(wrapper.align(deep, [*deep[:3000], "p", "#", "/p", *deep[3001:]]))) == 2
