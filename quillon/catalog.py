@@ -412,17 +412,17 @@ def cpd_grad_hvp_norms(spark, d):
 
 @query()
 def cpd_training(spark, d):
-    """One configuration trained whole in a task: first and last loss, validation and test MRR."""
+    """One configuration trained by distributed passes: first and last loss, validation and test MRR."""
     p = _pairs(spark, d, ["train", "valid", "test"]).select("fh", "ft", "label", "split")
-    return cpd.fit_groups(p, ledger.grid(spark, k=[8], penalty=[10.0], bias=[4], seed=[7001]), CLASSES, rounds=1)
+    return cpd.fit_configs(p, ledger.grid(spark, k=[8], penalty=[10.0], bias=[4], seed=[7001]), CLASSES, rounds=1)
 
 
 @query()
 def cpd_grid_search(spark, d):
-    """A grid of configurations and seeds, a task each, best mean validation MRR first."""
+    """A grid of configurations and seeds, best mean validation MRR first."""
     p = _pairs(spark, d, ["train", "valid", "test"]).select("fh", "ft", "label", "split")
     g = ledger.grid(spark, k=[2, 4], penalty=[10.0], bias=[1], seed=[1, 2])
-    return ledger.best(cpd.fit_groups(p, g, CLASSES, rounds=1).join(F.broadcast(g), "config"), ["k", "penalty", "bias"], "valid_mrr", 5)
+    return ledger.best(cpd.fit_configs(p, g, CLASSES, rounds=1).join(F.broadcast(g), "config"), ["k", "penalty", "bias"], "valid_mrr", 5)
 
 
 _KGE = {

@@ -2,8 +2,9 @@
 
 The logit of class r for head x and tail y is sum_l (x W)_l (H y)_l C_lr. Kernels are numpy
 over blocks of pairs; sums over blocks are Spark aggregates, so a pass sends the factors out
-and gets a matrix of their size back. Small problems train whole in one task per
-configuration (`fit_groups`), large ones with one distributed pass a step (`fit_distributed`).
+and gets a matrix of their size back. Training takes one distributed pass for each loss,
+gradient and Hessian product (`fit_distributed`, and `fit_configs` for a grid); `fit_arrays` is
+the same in one process.
 """
 
 from __future__ import annotations
@@ -190,20 +191,60 @@ def matrix_sum(pairs: DataFrame, kernel: Callable) -> np.ndarray:
     return out
 
 
-def fit_distributed(pairs: DataFrame, d: int, classes: int, k: int, penalty: float, rounds: int, seed: int) -> tuple[Factors, list[float]]:
-    """One distributed pass for each loss, gradient and Hessian product."""
-    pairs = pairs.persist()
-    try:
-        return alternate(
-            initial(d, k, classes, seed),
-            lambda f: float(matrix_sum(pairs, lambda x, y, r: block_loss(x, y, r, f))[0]),
-            lambda f, b: matrix_sum(pairs, lambda x, y, r: block_gradient(x, y, r, f, b)).reshape(getattr(f, b).shape),
-            lambda f, b, v: matrix_sum(pairs, lambda x, y, r: block_hessian(x, y, r, f, b, v)).reshape(v.shape),
-            penalty,
-            rounds,
-        )
-    finally:
-        pairs.unpersist()
+def blocked(pairs: DataFrame) -> DataFrame:
+    """pairs(fh, ft, label) in blocks of rows with their numbers as bytes, which many passes read faster."""
+
+    def run(batches):
+        for p in batches:
+            if len(p):
+                x, y, r = _arrays(p)
+                yield pd.DataFrame({"n": [len(p)], "x": [x.tobytes()], "y": [y.tobytes()], "r": [r.astype(np.int64).tobytes()]})
+
+    return pairs.select("fh", "ft", "label").mapInPandas(run, "n int, x binary, y binary, r binary")
+
+
+def block_sum(blocks: DataFrame, kernel: Callable, bias: int = 0) -> np.ndarray:
+    """matrix_sum over blocked pairs, whose vectors get `bias` ones more; no blocks give an empty array."""
+
+    def run(batches):
+        acc = None
+        for p in batches:
+            for b in p.itertuples():
+                x, y = (np.hstack([np.frombuffer(v).reshape(b.n, -1), np.ones((b.n, bias))]) for v in (b.x, b.y))
+                m = np.atleast_1d(np.asarray(kernel(x, y, np.frombuffer(b.r, dtype=np.int64)), dtype=float))
+                acc = m if acc is None else acc + m
+        if acc is not None:
+            yield pd.DataFrame({"pos": np.arange(acc.size, dtype=np.int32), "v": acc.ravel()})
+
+    rows = blocks.mapInPandas(run, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()  # as many rows as the matrix has cells
+    out = np.zeros(len(rows))
+    for row in rows:
+        out[row["pos"]] = row["v"]
+    return out
+
+
+def block_mrr(blocks: DataFrame, f: Factors, bias: int = 0) -> float:
+    """Mean reciprocal (pessimistic) rank over blocked pairs, 0 if there are none."""
+
+    def kernel(x, y, r):
+        z = logits(x, y, f)
+        return np.array([(1 / (z >= z[np.arange(len(z)), r][:, None]).sum(axis=1)).sum(), len(z)])
+
+    total = block_sum(blocks, kernel, bias)
+    return float(total[0] / total[1]) if len(total) else 0.0
+
+
+def fit_distributed(blocks: DataFrame, d: int, classes: int, k: int, penalty: float, rounds: int, seed: int, bias: int = 0, valid: DataFrame | None = None) -> tuple[Factors, list[float]]:
+    """One distributed pass over blocked pairs for each loss, gradient and Hessian product; both tables should be persisted."""
+    return alternate(
+        initial(d + bias, k, classes, seed),
+        lambda f: float(block_sum(blocks, lambda x, y, r: block_loss(x, y, r, f), bias)[0]),
+        lambda f, b: block_sum(blocks, lambda x, y, r: block_gradient(x, y, r, f, b), bias).reshape(getattr(f, b).shape),
+        lambda f, b, v: block_sum(blocks, lambda x, y, r: block_hessian(x, y, r, f, b, v), bias).reshape(v.shape),
+        penalty,
+        rounds,
+        (lambda f: block_mrr(valid, f, bias)) if valid is not None and not valid.isEmpty() else None,
+    )
 
 
 def scores(pairs: DataFrame, f: Factors, eps: float = 0.0) -> DataFrame:
@@ -232,28 +273,26 @@ def guarded(metrics: DataFrame, f: Factors) -> DataFrame:
     return metrics.select(*[F.lit(None).cast(t).alias(c) if t in ("double", "float") else F.col(c) for c, t in metrics.dtypes])
 
 
-def fit_groups(pairs: DataFrame, configs: DataFrame, classes: int, rounds: int) -> DataFrame:
-    """Every configuration(config, k, penalty, bias, seed) trained whole in a task of its own, failures as rows.
+def fit_configs(pairs: DataFrame, configs: DataFrame, classes: int, rounds: int) -> DataFrame:
+    """Every configuration(config, k, penalty, bias, seed) trained on pairs(fh, ft, label, split) by distributed passes, failures as rows.
 
-    pairs(fh, ft, label, split) is sent to each task: for tables that fit one.
+    Configurations follow one another; no task holds more than its blocks of the pairs.
     """
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        c = p.iloc[0]
-        row = {"config": int(c["config"]), "valid_mrr": None, "test_mrr": None, "loss_first": None, "loss_last": None, "error": None}
-        try:
-            ones = np.ones((len(p), int(c["bias"])))
-            x, y, r = _arrays(p)
-            x, y = np.hstack([x, ones]), np.hstack([y, ones])
-            at = {s: (p["split"] == s).to_numpy() for s in ("train", "valid", "test")}
-            f, curve = fit_arrays(x[at["train"]], y[at["train"]], r[at["train"]], classes, int(c["k"]), float(c["penalty"]), rounds, int(c["seed"]), tuple(v[at["valid"]] for v in (x, y, r)))
-            for s in ("valid", "test"):
-                z = logits(x[at[s]], y[at[s]], f)
-                row[f"{s}_mrr"] = float((1 / (z >= z[np.arange(len(z)), r[at[s]]][:, None]).sum(axis=1)).mean()) if len(z) else 0.0
-            row["loss_first"], row["loss_last"] = curve[0], curve[-1]
-        except Exception as e:  # one failed configuration must not end the others
-            row["error"] = f"{type(e).__name__}: {e}"
-        return pd.DataFrame([row])
-
-    work = pairs.crossJoin(F.broadcast(configs))
-    return work.groupBy("config").applyInPandas(run, "config int, valid_mrr double, test_mrr double, loss_first double, loss_last double, error string")
+    spark = pairs.sparkSession
+    width = pairs.select(F.size("fh").alias("d")).first()
+    parts = {s: blocked(pairs.where(F.col("split") == s)).persist() for s in ("train", "valid", "test")}
+    out = []
+    try:
+        for c in configs.orderBy("config").collect() if width else []:  # the grid, not the data
+            row = {"config": int(c["config"]), "valid_mrr": None, "test_mrr": None, "loss_first": None, "loss_last": None, "error": None}
+            try:
+                bias = int(c["bias"])
+                f, curve = fit_distributed(parts["train"], width["d"], classes, int(c["k"]), float(c["penalty"]), rounds, int(c["seed"]), bias, parts["valid"])
+                row |= {f"{s}_mrr": block_mrr(parts[s], f, bias) for s in ("valid", "test")} | {"loss_first": curve[0], "loss_last": curve[-1]}
+            except Exception as e:  # one failed configuration must not end the others
+                row["error"] = f"{type(e).__name__}: {e}"
+            out.append(tuple(row.values()))
+    finally:
+        for p in parts.values():
+            p.unpersist()
+    return spark.createDataFrame(out, "config int, valid_mrr double, test_mrr double, loss_first double, loss_last double, error string")
