@@ -31,17 +31,21 @@ MARGIN = 0.01
 
 
 def train(labelled: DataFrame, lang: str = "lang", rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """Raw-content dictionaries from about `rows` texts a language, chosen by a hash of the text (copies count once).
+    """Raw-content dictionaries from the `rows` texts of smallest hash in each language, all if it has fewer.
 
-    The counts a language cover all rows; the driver receives at most 3 * rows texts a language.
-    Rows without text or language are left out; empty input gives no dictionary.
+    Copies are collapsed by their hash first, so a language has a dictionary however often its
+    texts repeat, and copies do not meet in one task. The driver receives about 2 * rows texts a
+    language. Rows without text or language are left out; empty input gives no dictionary.
     """
     known = labelled.select(F.col(lang).alias("lang"), "text").where("lang is not null and length(text) > 0")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    picked = known.join(counts, "lang").where(share < 2.0 * rows / F.col("n"))
-    picked = picked.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("text").alias("h"), "text"))), 1, rows).alias("s"))
-    return {r["lang"]: build(x["text"] for x in r["s"]) for r in picked.select("lang", "s").collect()}
+    known = known.withColumn("h", F.xxhash64("text", F.lit(11)))
+    counts = known.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    picked = known.join(F.broadcast(counts), "lang").where(share < 2.0 * rows / F.col("n")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    texts: dict[str, list] = {}
+    for r in picked.collect():
+        texts.setdefault(r["lang"], []).append((r["h"] % (1 << 40), r["h"], r["text"]))
+    return {lang: build(t for *_, t in sorted(found)[:rows]) for lang, found in texts.items()}
 
 
 def build(texts, size: int = DICT_BYTES) -> bytes:
