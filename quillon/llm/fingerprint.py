@@ -16,15 +16,18 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, stash
 from .hashing import U, Words, chunks, mix, shingles
-from .superminhash import _verify
+from .superminhash import bands, distinct_sets, linked
 
 PERMUTATIONS, WORDS = 128, 5
+#: Fingerprint likeness below the threshold by which a pair is not looked at: over five standard errors under 0.8.
+SLACK = 0.19
 _A = (mix(np.arange(1, PERMUTATIONS + 1, dtype=U)) | U(1))[:, None]
 _B = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=U))[:, None]
 
@@ -68,23 +71,47 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fingerprint string")
 
 
-def near_links(docs: DataFrame, threshold: float = 0.8, rows: int = 5, words: int = WORDS) -> DataFrame:
-    """(a, b) linked pairs between classes of equal fingerprints' representatives (smallest doc_id): signature bands are joined, Jaccard is verified on the full texts.
+def _sketch(words: int, rows: int):
+    count = PERMUTATIONS // rows
 
-    Within a band bucket each member meets the bucket's smallest document; copies are
-    collapsed first, so no bucket emits all its pairs. For complete groups of near-duplicates
-    use superminhash.near_groups, which also compares what stays apart in a bucket.
+    def run(batches):
+        for b in batches:
+            for first, texts in chunks(b.column("text").to_pylist()):
+                sig, n = signatures(texts, words)
+                sets, low = distinct_sets(texts, words), (sig & 255).astype(np.uint8)
+                flat = pa.array(bands(low, rows, count).ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").slice(first, len(texts)),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if k else None for s, k in zip(sets, n, strict=True)], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * count), flat),
+                        pa.array([x.tobytes() for x in low], pa.binary()),
+                    ],
+                    ["doc_id", "digest", "bands", "sig"],
+                )
+
+    return run
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, rows: int = 5, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b, linked pairs of classes, and (doc_id, class) of all rows; a class is the smallest doc_id of equal shingle sets.
+
+    Signature bands are joined and Jaccard is verified on the full texts. Within a band bucket
+    each member meets the bucket's pivot, and what stays apart is then compared completely; the
+    pairs join all that is linked, not every linked pair is among them. A document without words
+    or doc_id is a class of its own.
     """
-    f = stash(fingerprints(docs, words).where("doc_id is not null and n_shingles > 0"))
-    reps = f.groupBy("fingerprint").agg(F.min("doc_id").alias("b"))
-    width = 2 * rows
-    keys = F.transform(F.sequence(F.lit(0), F.lit(2 * PERMUTATIONS // width - 1)), lambda i: F.concat_ws(":", i, F.substring(F.col("fingerprint"), i * width + 1, F.lit(width))))
-    members = reps.select("b", F.explode(keys).alias("key"))
-    pairs = members.join(members.groupBy("key").agg(F.min("b").alias("a")), "key").where("a < b").select("a", "b").distinct()
-    text = docs.select(F.col("doc_id").cast("long"), "text")
-    for x in ("a", "b"):
-        pairs = pairs.join(text.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")), x)
-    return pairs.mapInPandas(_verify(words, threshold), "a long, b long").distinct()
+    arrow_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    sketch = stash(docs.mapInArrow(_sketch(words, rows), "doc_id long, digest binary, bands array<long>, sig binary"))
+    classes, links = linked(sketch, docs, words, threshold, threshold - SLACK)
+    links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links, sketch.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class"))
+
+
+def near_links(docs: DataFrame, threshold: float = 0.8, rows: int = 5, words: int = WORDS) -> DataFrame:
+    """The linked pairs of near_classes."""
+    return near_classes(docs, threshold, rows, words)[0]
 
 
 def _edited(text: str, following: str) -> str:

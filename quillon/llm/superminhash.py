@@ -100,7 +100,7 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bytes2d(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), -1 if len(column) else REGISTERS)
 
 
 def _alike(floor: float):
@@ -205,9 +205,24 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, one row for each row of docs(doc_id, text, ...)."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    floor = threshold - SLACK
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketch = stash(docs.mapInArrow(_sketch(words), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"))
+    classes, links = linked(sketch, docs, words, threshold, threshold - SLACK, block)
+    found = components(links).withColumnRenamed("vertex", "rep")
+
+    named = sketch.select("doc_id", "n_shingles", "digest")
+    own = named.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rest = named.where("doc_id is not null and digest is not null").join(classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "digest")
+    rest = rest.select("doc_id", "n_shingles", "component_id")
+    return rest.unionByName(own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def linked(sketch: DataFrame, docs: DataFrame, words: int, threshold: float, floor: float, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(digest, rep) of the classes of equal sets, and verified links (a, b) of reps that join all that is linked.
+
+    sketch(doc_id, digest, bands array<long>, sig) should be a table, docs(doc_id, text) has the
+    texts. Pairs whose signatures are less alike than floor are not looked at.
+    """
     linkable = sketch.where("doc_id is not null and digest is not null")
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = stash(linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x")).select(F.col("x.doc_id").alias("rep"), "x.bands", "x.sig"))
@@ -241,13 +256,7 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, block:
     inside = inside.join(flagged, ["key", "rep"])
     inside = inside.drop("n").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
     more = _blocks(inside, block).groupBy("key", "lo", "hi").applyInPandas(_join_apart(words, threshold, floor), "a long, b long")
-    found = components(links.union(more)).withColumnRenamed("vertex", "rep")
-
-    named = sketch.select("doc_id", "n_shingles", "digest")
-    own = named.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rest = named.where("doc_id is not null and digest is not null").join(classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "digest")
-    rest = rest.select("doc_id", "n_shingles", "component_id")
-    return rest.unionByName(own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return classes, links.union(more)
 
 
 __all__ = ["near_groups", "signatures", "bands", "distinct_sets", "forest"]
