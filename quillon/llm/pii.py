@@ -2,11 +2,16 @@
 
 Found are e-mail addresses, phone numbers, IPv4 addresses, payment cards (Luhn), IBANs
 (mod 97), social security numbers, secrets assigned to a name (password=..., token: "...")
-and persons after a title. A value is normalised (digits of a number, lower-cased address,
+and persons after a title, and then by the same family or full name anywhere in the document.
+Mentions of a document that share a family name are one person where titles and given names
+allow it: the latest such full name before the mention, else the first after it; a mention of
+the family name alone gets that part of the person's surrogate. A value is normalised (digits of a number, lower-cased address,
 folded name), and its surrogate derives from an HMAC of kind, value and attempt: same type,
 length and format, valid check digits, gender of the title, script of the name. One value has
-one surrogate in all documents, however it is written; two values never share one, and no
+one surrogate in all documents, however it is written (a person: the full name and the gender
+its titles tell, or the family name where a document has no more); two values never share one, and no
 surrogate is a value of the corpus: colliding values take further attempts until none collide.
+Phone numbers need separators or a plus sign; secrets need a key name before them.
 Where a format of digits has no free value left, the surrogate is longer by a digit.
 
 Null and empty texts have no entities. Repeated rows are changed alike. Documents without
@@ -19,6 +24,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,12 +48,13 @@ PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+", re.ASCII),
     "secret": re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/.\-]{6,}={0,2})"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII),
-    "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII),
+    "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII),
     "ip": re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)", re.ASCII),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII),
-    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])", re.ASCII),
+    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,14}(?:[ .-]\d{2,8}){0,4}|(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w-])", re.ASCII),
     "person": re.compile(rf"(?<!\w)({_TITLE})\.? ({_WORD}(?: {_WORD})?)"),
 }
+_PARTED = re.compile(r"[ .-]+[0-9]+$")
 _DIGIT = re.compile(r"[0-9]")
 #: A phone or social security number that still collides after so many attempts gets a digit more.
 WIDEN = 8
@@ -71,6 +78,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     has_digit, found, taken = bool(_DIGIT.search(text)), [], []
+    persons: list[tuple[int, int, str]] = []  # start, end, gender of the title
     for kind, pattern in PATTERNS.items():
         if kind == "email" and "@" not in text or kind == "secret" and "=" not in text and ":" not in text or kind in ("iban", "card", "ip", "ssn", "phone") and not has_digit:
             continue
@@ -91,23 +99,76 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 if not luhn(value):
                     continue
             elif kind in ("phone", "ssn"):
+                while kind == "phone" and value[0] == "+" and len(_digits(value)) > 15 and _PARTED.search(value):
+                    value = _PARTED.sub("", value)  # what follows is no part of the number
+                end = start + len(value)
                 value = _digits(value)
                 if kind == "phone" and not (7 <= len(value) <= 15 and (m[0][0] in "+(" or len(value) >= 9)):
                     continue
             elif kind == "person":
                 start, end = m.span(2)
-                value = f"{TITLES[m[1]]}:{m[2].casefold()}"
+                if not m[2][0].isupper():
+                    continue
                 if not all(x[0].isupper() for x in m[2].split()):
-                    first = m[2].split()[0]
-                    if not first[0].isupper():
-                        continue
-                    end, value = start + len(first), f"{TITLES[m[1]]}:{first.casefold()}"
+                    end = start + len(m[2].split()[0])
+                end -= 2 * text[start:end].endswith(("'s", "’s"))
+                if all(end <= a or start >= b for a, b in taken):
+                    taken.append((start, end))
+                    persons.append((start, end, TITLES[m[1]]))
+                continue
             if all(end <= a or start >= b for a, b in taken):
                 taken.append((start, end))
                 found.append((start, end, kind, value))
+    if persons:
+        found += [(start, end, "person", value) for start, end, value in _persons(text, persons, taken)]
     return sorted(found)
 
 
+def _persons(text: str, titled: list[tuple[int, int, str]], taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, gender:name) of the titled mentions of a document and of their names without a title."""
+    shown = {text[start:end] for start, end, _ in titled}
+    shown |= {x.split()[-1] for x in shown}
+    shown |= {x.upper() for x in shown}
+    bare = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(shown, key=lambda x: (-len(x), x))))})(?!\w|-\w)")
+    busy = sorted(taken)
+    mentions = list(titled)
+    for m in bare.finditer(text):
+        i = bisect_right(busy, (m.end(), -1)) - 1
+        if i < 0 or busy[i][1] <= m.start():
+            mentions.append((*m.span(), "u"))
+    places: dict[tuple[str, ...], dict[str, list[int]]] = {}  # name, gender, starts
+    for start, end, gender in sorted(titled):
+        places.setdefault(tuple(text[start:end].casefold().split()), {}).setdefault(gender, []).append(start)
+    full: dict[str, list[tuple[str, ...]]] = {}
+    for name in places:
+        if len(name) == 2:
+            full.setdefault(name[-1], []).append(name)
+
+    def gender_of(name: tuple[str, ...], gender: str) -> str:
+        told = set(places[name]) - {"u"}
+        return gender if gender != "u" else told.pop() if len(told) == 1 else "u"
+
+    def latest(start: int, gender: str, names: list[tuple[str, ...]]) -> str | None:
+        best = None
+        for name in names:
+            for g, at in places[name].items():
+                if "u" in (g, gender) or g == gender:
+                    i = bisect_right(at, start)
+                    rank = (0, -at[i - 1]) if i else (1, at[0])
+                    if best is None or rank < best[0]:
+                        best = rank, f"{gender_of(name, g)}:{' '.join(name)}"
+        return best and best[1]
+
+    out = []
+    for start, end, gender in mentions:
+        name = tuple(text[start:end].casefold().split())
+        value = latest(start, gender, full.get(name[-1], []) if len(name) == 1 else [name] if name in places else [])
+        if value is None and name in places:
+            value = latest(start, gender, [name])
+        out.append((start, end, value or f"{gender}:{' '.join(name)}"))
+    return out
+
+
 class _Stream:
     """Keyed pseudo-random numbers for one value and attempt."""
 
@@ -172,6 +233,8 @@ def render(kind: str, original: str, replacement: str) -> str:
     if kind == "iban":
         d = iter(replacement)
         return "".join(c if c == " " else next(d) for c in original)
+    if kind == "person" and len(original.split()) == 1:
+        replacement = replacement.split()[-1]
     if original.isupper() and kind in ("email", "person"):
         return replacement.upper()
     return replacement
