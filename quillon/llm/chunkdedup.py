@@ -3,6 +3,7 @@
 The gear hash of a position sums a random value for each of the last bytes, shifted by its
 distance; a chunk ends where its low 16 bits are small and no such place lies within the
 last `least` bytes. As the rule looks at a short window only, insertions move no later boundary.
+Each text starts the hash afresh, so equal texts have equal chunks wherever they stand.
 Chunks are compared by digest; neighbouring chunks that also occur in another document merge
 into a span. What repeats within one document only is not reported. Spans of at least `min_words` words
 whose every chunk occurs again are reported; a span of which half or more of the bytes are
@@ -33,19 +34,22 @@ LONGEST = 2000
 _GEAR = (mix(np.arange(5001, 5257, dtype=U)) >> U(32)).astype(np.uint32)
 
 
-def boundaries(buffer: np.ndarray, one_in: int = ONE_IN, least: int = LEAST) -> np.ndarray:
-    """Positions at which a chunk ends (the byte belongs to the chunk)."""
+def boundaries(buffer: np.ndarray, starts: np.ndarray, one_in: int = ONE_IN, least: int = LEAST) -> np.ndarray:
+    """Positions at which a chunk ends (the byte belongs to the chunk); no text sees the one before its start."""
     h = _GEAR[buffer]
     step = 1
     while step < WINDOW:  # after each round h sums the last 2 * step bytes, each shifted by its distance
         shifted = np.zeros_like(h)
         shifted[step:] = h[:-step] << np.uint32(step)
+        before = (starts[:, None] + np.arange(step)).ravel()  # their windows reach over the start
+        shifted[before[before < len(h)]] = 0
         h = h + shifted
         step *= 2
     # the low 16 bits depend on the last 16 bytes and on none before
     at = np.flatnonzero((h & np.uint32(0xFFFF)) < 0x10000 // one_in)
     if len(at):
-        at = at[np.concatenate(([True], np.diff(at) >= least))]
+        text = np.searchsorted(starts, at, side="right")
+        at = at[np.concatenate(([True], (np.diff(at) >= least) | (np.diff(text) > 0)))]
     return at
 
 
@@ -54,9 +58,10 @@ def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     w = Words(texts, b"")
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
-    cut = boundaries(w.buffer) + 1
+    cut = boundaries(w.buffer, starts) + 1
+    cut = cut[~np.isin(cut - 1, ends)]  # the separators belong to no text
     stop = np.unique(np.concatenate([cut, ends]))
-    gaps = np.diff(np.concatenate(([0], stop)))
+    gaps = np.diff(np.concatenate(([-1], stop)))
     if (gaps > LONGEST).any():  # text without boundaries, such as one byte repeated
         stop = np.unique(np.concatenate([stop, *(np.arange(stop[i] - gaps[i] + LONGEST, stop[i], LONGEST) for i in np.flatnonzero(gaps > LONGEST))]))
     doc = np.searchsorted(ends, stop, side="left")
