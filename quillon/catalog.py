@@ -456,22 +456,21 @@ def kge_training(spark, d):
     return kge.fit_groups(_pairs(spark, d, ["train", "valid", "test"]).select("fh", "ft", "label", "split"), ["distmult", "complex", "rotate"], CLASSES, dim=32, epochs=5)
 
 
-def _classifier_query(method: str, classes: int, build=None):
+def _classifier_query(method: str, build=None):
     def run(spark, d):
-        t = graph.triples(spark, d).withColumn("label", F.col("relation") if classes == CLASSES else F.floor(F.col("relation") / 10).cast("int"))
+        t = graph.triples(spark, d).withColumn("label", F.col("relation"))
         how, make = classifiers.METHODS[method]
         data = classifiers.prepared(t, graph.entities(spark, d), how).persist()
-        out = classifiers.fit_scores(data, (build or make)(data.count()), classes).where("split = 'test'")
+        out = classifiers.fit_scores(data, (build or make)(data.count()), CLASSES).where("split = 'test'")
         return _rounded(ranking.metrics(out.select(V.rank_of(F.col("probs"), F.col("label")).alias("rank"))))
 
     QUERIES[f"{method}_metrics"] = run
 
 
-_classifier_query("lr_concat", CLASSES, lambda n: classifiers.logistic(n, iterations=20))
-_classifier_query("lr_subtract", CLASSES, lambda n: classifiers.logistic(n, iterations=20))
-_classifier_query("rf_concat", CLASSES, lambda n: classifiers.forest(trees=10, depth=8))
-_classifier_query("rf_subtract", CLASSES, lambda n: classifiers.forest(trees=10, depth=8))
-_classifier_query("gbt_subtract", 10, lambda n: classifiers.boosted(rounds=3, depth=3))
+_classifier_query("lr_concat", lambda n: classifiers.logistic(n, iterations=1000))
+_classifier_query("lr_subtract", lambda n: classifiers.logistic(n, iterations=1000))
+for _method in ("rf_concat", "rf_subtract", "gbt_concat", "gbt_subtract"):
+    _classifier_query(_method)
 
 # ---- ledger
 
