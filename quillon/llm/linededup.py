@@ -30,7 +30,7 @@ def _row():
 
 
 def template_keys(lines: DataFrame) -> DataFrame:
-    """lines(line, ...) with `keys`: hashes of the templates of the line, or null for a blank line."""
+    """lines(line, ...) with `keys`: hash of the line's tree node, then of its templates, or null for a blank line."""
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _DIGITS, FIELD)).otherwise(F.col("line"))
 
     def keys(t):
@@ -44,7 +44,7 @@ def template_keys(lines: DataFrame) -> DataFrame:
             return F.xxhash64(n, F.lit(j), F.slice(t, F.lit(1), DEPTH + j * width), F.slice(t, DEPTH + (j + 1) * width + 1, n))
 
         blocks = [F.when((rest >= 2) & (rest > j * width), without(j)) for j in range(BLOCKS)]
-        return F.when(n > 0, F.array_compact(F.array(exact, *blocks)))
+        return F.when(n > 0, F.array_compact(F.array(F.xxhash64(n, F.slice(t, 1, DEPTH)), exact, *blocks)))
 
     return lines.withColumn("keys", once(F.array_remove(F.split(masked, r"[ \t\r]+"), ""), keys))
 
@@ -54,8 +54,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # the row's hash is taken before its lines part, so that no line carries the text
     lines = docs.select("doc_id", _row().alias("row"), F.split("text", "\n").alias("lines")).select("doc_id", "row", F.posexplode_outer("lines").alias("place", "line"))
     # outer explodes: for plain ones the optimizer works out the arrays a second time, to filter on their size
-    keys = template_keys(lines).select("doc_id", "row", "place", F.explode_outer("keys").alias("key")).where("key is not null")
-    keys = stash(keys)
+    lines = stash(template_keys(lines).select("doc_id", "row", "place", "keys").where("keys is not null"))
+    lines = lines.select("doc_id", "row", "place", F.element_at("keys", 1).alias("node"), F.slice("keys", 2, BLOCKS + 1).alias("keys"))
+    nodes = lines.groupBy("node").count().where(F.col("count") >= min_docs).select("node")
+    keys = stash(lines.join(nodes, "node").select("doc_id", "row", "place", F.explode("keys").alias("key")))
     # a flat minimum is hashed, not sorted: rows of a document stay side by side and shuffle small
     own = keys.groupBy("key", "row", "doc_id").agg(F.min("place").alias("place"))
     met = own.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("first"))
