@@ -54,8 +54,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # the row's hash is taken before its lines part, so that no line carries the text
     lines = docs.select("doc_id", _row().alias("row"), F.split("text", "\n").alias("lines")).select("doc_id", "row", F.posexplode_outer("lines").alias("place", "line"))
     # outer explodes: for plain ones the optimizer works out the arrays a second time, to filter on their size
-    lines = stash(template_keys(lines).select("doc_id", "row", "place", "keys").where("keys is not null"))
-    lines = lines.select("doc_id", "row", "place", F.element_at("keys", 1).alias("node"), F.slice("keys", 2, BLOCKS + 1).alias("keys"))
+    lines = stash(template_keys(lines).select("doc_id", "row", "place", "keys"))
+    lines = lines.where("keys is not null").select("doc_id", "row", "place", F.element_at("keys", 1).alias("node"), F.slice("keys", 2, BLOCKS + 1).alias("keys"))
     nodes = lines.groupBy("node").count().where(F.col("count") >= min_docs).select("node")
     keys = stash(lines.join(nodes, "node").select("doc_id", "row", "place", F.explode("keys").alias("key")))
     # a flat minimum is hashed, not sorted: rows of a document stay side by side and shuffle small

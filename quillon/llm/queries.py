@@ -53,7 +53,7 @@ def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = F.coalesce(crf.held_out(), F.lit(False))
     model = crf.train(docs.where(~out), table(spark, sf_dir, "labels").where(~out))
-    return crf.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return crf.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
 QUERIES = {
