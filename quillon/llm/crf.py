@@ -306,8 +306,8 @@ def _spans(tok: Tokens, p: np.ndarray, floor: float) -> tuple[np.ndarray, np.nda
     return tok.doc[a], tok.words.start[a] - base, tok.words.end[z] - base, np.maximum.reduceat(p[hit], np.flatnonzero(new))
 
 
-def score(docs: DataFrame, model: Model, floor: float = 0.5) -> DataFrame:
-    """doc_id, score and spans (start and end byte in the UTF-8 text, p: the runs of toxic tokens) for each row."""
+def score(docs: DataFrame, model: Model, floor: float = 0.2) -> DataFrame:
+    """doc_id, score and spans (start and end byte in the UTF-8 text, p: the runs of tokens whose marginal reaches the floor) for each row."""
     arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the weights of 2 ** BITS features
 

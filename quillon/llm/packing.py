@@ -10,8 +10,10 @@ class. Documents are ranked within their class, and rank ranges of the plan name
 sequence. Only the histogram and the plan reach the driver; both are bounded by the number
 of classes, not by the data.
 
-Null texts count as empty: such a document is the end id alone. Repeated rows are packed
-each. Extra columns are ignored; an empty table gives no pieces.
+Null texts count as empty: such a document is the end id alone. A text of any length is
+encoded whole. Repeated rows are packed each; among pieces of one length class the order is
+by a hash of their columns, and rows alike in all of them may change places, which changes
+nothing. Extra columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -50,14 +52,15 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 
 
 class Encoder:
-    """The token ids that the tokenizers library gives for whole texts, strings of special tokens being ordinary text.
+    """The token ids that the tokenizers library gives for whole texts.
 
-    Where the vocabulary is byte-level and its merges are in order of id, texts go through
+    With `special`, strings of special tokens such as <|endoftext|> get their one id, as
+    Tokenizer.encode does at its defaults; without, they are ordinary text. Where the vocabulary is byte-level and its merges are in order of id, texts go through
     the same ranks in tiktoken, which gives the same ids sooner; any other vocabulary goes
     through tokenizers.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,18 +69,23 @@ class Encoder:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
         vocab = model.get("vocab", {})
         order = [vocab["".join(m)] for m in merges] if byte_level else [1, 0]
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+            order = [1, 0]  # such tokens take blanks along, which ranks do not
         if all(x < y for x, y in zip(order, order[1:], strict=False)):
             import tiktoken
 
-            byte, special = _byte_of(), {t["content"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
-            encode = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self._encode = lambda texts: [array("I", encode(t)).tobytes() for t in texts]
+            byte, added = _byte_of(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
+            encoding = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added if special else {})
+            if special:
+                self._encode = lambda texts: [array("I", encoding.encode(t, allowed_special="all")).tobytes() for t in texts]
+            else:
+                self._encode = lambda texts: [array("I", encoding.encode_ordinary(t)).tobytes() for t in texts]
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            tokenizer.encode_special_tokens = not special
             self._encode = lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -101,7 +109,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path, special=True))
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             out: list[tuple] = []
