@@ -4,14 +4,16 @@ A text's words are its lower-cased runs between ASCII white space; its shingles
 distinct runs of five words (a shorter text: its whole sequence as one, no words: none). An
 item leaks into a document that holds at least `threshold` of its shingles.
 
-Items are partitioned by the power of two of their size. The sketch of an item of n shingles
-is the n - ceil(threshold * n) + 1 smallest of its hashes: a document that holds enough of
-the item must hold one of these, so the search misses nothing. A partition's largest sketch
-hash bounds the document shingles that can matter to it, and a document is searched only for
-partitions whose items it is large enough to hold. Candidates are verified on the shingles.
-
-Null or wordless items and documents never match. Repeated rows give repeated pairs; ids may
-be null, such rows take no part. Extra columns are ignored.
+Items are partitioned by the power of two of their size. An item's signature is its bottom-k
+MinHash: of its n shingles the n - ceil(threshold * n) + 1 smallest hashes. A document that
+holds enough of the item must hold one of these, so the search misses nothing. Documents are
+searched partition by partition: only for partitions whose smallest item they are large
+enough to hold, and there only with shingles up to the partition's largest signature hash.
+Candidates of a partition are verified on the exact shingles.
+
+Null or wordless items and documents never match. A text of any length is read whole. Repeated
+rows give repeated pairs; ids may be null, such rows take no part. There are no ties: every
+item that leaks is reported. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +47,11 @@ def shingles(text, k: int):
     return once(words(text), lambda w: F.array_distinct(_runs(w, k, lambda r: F.array_join(r, " "))))
 
 
+def hashed(k: int):
+    """Hashes of all runs of k words of `text`: each word is hashed once, a run from the hashes of its words."""
+    return once(once(words("text"), lambda w: F.transform(w, lambda x: F.xxhash64(x))), lambda w: _runs(w, k, lambda r: F.xxhash64(r)))
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -52,23 +59,30 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
     """item_id, doc_id, n_shingles (of the item), n_shared, containment: one row for each leaked item of a document."""
     percent = round(100 * threshold)
-    sets = items.where("item_id is not null").select("item_id", shingles("text", k).alias("runs")).where(F.size("runs") > 0)
+    sets = items.where("item_id is not null").select("item_id", shingles("text", k).alias("runs"), hashed(k).alias("hashes")).where(F.size("runs") > 0)
     sets = stash(sets.withColumn("n_shingles", F.size("runs").cast("long")))
     need = F.expr(f"cast((n_shingles * {percent} + 99) div 100 as int)")
-    hashed = F.array_sort(F.transform("runs", lambda r: F.xxhash64(r)))
-    sketch = sets.select("item_id", F.floor(F.log2("n_shingles")).cast("int").alias("part"), need.alias("need"), F.explode(F.slice(hashed, F.lit(1), (F.col("n_shingles") - need + 1).cast("int"))).alias("h"))
-    sketch = stash(sketch)
-    limits = sketch.groupBy("part").agg(F.max("h").alias("limit"), F.min("need").alias("least"))
-    rows, top, least = sketch.count(), *limits.agg(F.max("limit"), F.min("least")).first()
+    signature = F.slice(F.array_sort(F.array_distinct("hashes")), F.lit(1), (F.col("n_shingles") - need + 1).cast("int"))
+    sketch = stash(sets.select("item_id", F.floor(F.log2("n_shingles")).cast("int").alias("part"), need.alias("need"), F.explode(signature).alias("h")))
+    parts = sketch.groupBy("part").agg(F.max("h").alias("top"), F.min("need").alias("least"), F.count("*").alias("n")).collect()  # one row a power of two
+    rows = sum(r["n"] for r in parts)
     if not rows:
         return sets.select("item_id", F.col("item_id").alias("doc_id"), "n_shingles", F.col("n_shingles").alias("n_shared"), F.lit(0.0).alias("containment")).limit(0)
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    hashes = once(words("text"), lambda w: _runs(w, k, lambda r: F.xxhash64(F.array_join(r, " "))))
-    # an outer explode: for a plain one the optimizer works out the array a second time, to filter on its size
-    joined = docs.select("doc_id", hashes.alias("runs")).select("doc_id", F.size("runs").alias("size"), F.explode_outer("runs").alias("h"))
-    joined = joined.where((F.col("h") <= top) & (F.col("size") >= least))
-    pairs = joined.join(_bounded(sketch, rows), "h").where("size >= need").select("item_id", "doc_id").distinct()
+
+    def of_part(runs, part: int, top: int, least: int):
+        near = F.filter(runs, lambda h: h <= top)
+        return F.when(F.size(runs) >= least, F.transform(near, lambda h: F.struct(F.lit(part).alias("part"), h.alias("h"))))
+
+    def searched(runs):
+        """(part, h) of the hashes that each partition looks at."""
+        return F.flatten(F.array_compact(F.array(*[of_part(runs, r["part"], r["top"], r["least"]) for r in parts])))
+
+    runs = docs.select("doc_id", hashed(k).alias("runs"))
+    # outer explodes: for plain ones the optimizer works out the arrays a second time, to filter on their size
+    joined = runs.select("doc_id", F.size("runs").alias("size"), F.explode_outer(once(F.col("runs"), searched)).alias("x")).select("doc_id", "size", "x.part", "x.h")
+    pairs = joined.join(_bounded(sketch, rows), ["part", "h"]).where("size >= need").select("item_id", "doc_id").distinct()
     pairs = stash(pairs)
     wanted = pairs.select("doc_id").distinct()
     held = docs.join(_bounded(wanted, wanted.count()), "doc_id", "left_semi")
