@@ -3,13 +3,15 @@
 The gear hash of a position sums a random value for each of the last bytes, shifted by its
 distance; a chunk ends where its low 16 bits are small and no such place lies within the
 last `least` bytes. As the rule looks at a short window only, insertions move no later boundary.
-Each text starts the hash afresh, so equal texts have equal chunks wherever they stand.
+Each text starts the hash afresh, so equal texts have equal chunks wherever they stand. Ends
+move on to the next character, so no chunk cuts one.
 Chunks are compared by digest; neighbouring chunks that also occur in another document merge
 into a span. What repeats within one document only is not reported. Spans of at least `min_words` words
 whose every chunk occurs again are reported; a span of which half or more of the bytes are
 the smallest (doc_id, start) occurrence of their chunk counts as the original.
 
-Null or empty texts, and texts that repeat nothing, give no rows. Rows that share a doc_id
+Null or empty texts, and texts that repeat nothing, give no rows. A text of any length is cut
+whole. Of equal smallest places the one of the smallest doc_id counts. Rows that share a doc_id
 count as one document of that id each; equal texts are repeated as a whole. A row without
 doc_id takes no part. Extra columns are ignored.
 """
@@ -53,6 +55,13 @@ def boundaries(buffer: np.ndarray, starts: np.ndarray, one_in: int = ONE_IN, lea
     return at
 
 
+def _to_character(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The positions, moved on to the next start of a UTF-8 character."""
+    for _ in range(3):
+        at = at + ((buffer[np.minimum(at, len(buffer) - 1)] & 0xC0) == 0x80)
+    return at
+
+
 def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text index, start, end (byte offsets in the text) and digest of every chunk of a batch."""
     w = Words(texts, b"")
@@ -60,10 +69,12 @@ def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
     cut = boundaries(w.buffer, starts) + 1
     cut = cut[~np.isin(cut - 1, ends)]  # the separators belong to no text
+    cut = _to_character(w.buffer, cut)
     stop = np.unique(np.concatenate([cut, ends]))
     gaps = np.diff(np.concatenate(([-1], stop)))
     if (gaps > LONGEST).any():  # text without boundaries, such as one byte repeated
-        stop = np.unique(np.concatenate([stop, *(np.arange(stop[i] - gaps[i] + LONGEST, stop[i], LONGEST) for i in np.flatnonzero(gaps > LONGEST))]))
+        more = np.concatenate([np.arange(stop[i] - gaps[i] + LONGEST, stop[i], LONGEST) for i in np.flatnonzero(gaps > LONGEST)])
+        stop = np.unique(np.concatenate([stop, _to_character(w.buffer, more)]))
     doc = np.searchsorted(ends, stop, side="left")
     keep = (doc < len(texts))
     stop, doc = stop[keep], doc[keep]
