@@ -12,10 +12,14 @@ one surrogate in all documents, however it is written (a person: the full name a
 its titles tell, or the family name where a document has no more); two values never share one, and no
 surrogate is a value of the corpus: colliding values take further attempts until none collide.
 Phone numbers need separators or a plus sign; secrets need a key name before them.
-Where a format of digits has no free value left, the surrogate is longer by a digit.
-
-Null and empty texts have no entities. Repeated rows are changed alike. Documents without
-entities are left as they are; extra columns pass through surrogates() unchanged.
+Where a format has no free value left, the surrogate of any kind is longer, by a digit, a
+character or a syllable at every WIDEN-th attempt (an address of a private range: any other
+range), so that attempts always come to an end.
+
+Null and empty texts have no entities; a text of any length is searched whole. Of values that
+meet at one surrogate the first attempt, then the smallest value keeps it. Repeated rows are
+changed alike. Documents without entities are left as they are; extra columns pass through
+surrogates() unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,8 +60,10 @@ PATTERNS = {
 }
 _PARTED = re.compile(r"[ .-]+[0-9]+$")
 _DIGIT = re.compile(r"[0-9]")
-#: A phone or social security number that still collides after so many attempts gets a digit more.
+#: A value that still collides after so many attempts gets a longer surrogate.
 WIDEN = 8
+#: Rounds of attempts that keep the formats' lengths, times WIDEN; formats grow tenfold or more in each.
+ROUNDS = 40 * WIDEN
 
 
 def luhn(digits: str) -> bool:
@@ -196,32 +202,32 @@ def _alike(c: str, s: _Stream) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The replacement of a normalised value, normalised as well."""
     s = _Stream(key, kind, value, attempt)
+    more = attempt // WIDEN  # places beyond the format, where it has no value left
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        return "".join(_alike(c, s) for c in local) + "@" + "".join(_alike(c, s) for c in host) + "." + top
+        return "".join(_alike(c, s) for c in local + "0" * more) + "@" + "".join(_alike(c, s) for c in host) + "." + top
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+", value):
-            return "".join("0123456789abcdef"[s.below(16)] for _ in value)
-        return "".join(_alike(c, s) for c in value)
+            return "".join("0123456789abcdef"[s.below(16)] for _ in range(len(value) + more))
+        return "".join(_alike(c, s) for c in value + "0" * more)
     if kind == "ip":
         first = int(value.split(".")[0])
-        head = first if first in (10, 127, 172, 192) else 1 + s.below(223)
+        head = first if first in (10, 127, 172, 192) and not more else 1 + s.below(223)
         return ".".join(map(str, [head, s.below(256), s.below(256), 1 + s.below(254)]))
     if kind == "card":
-        body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
+        body = value[0] + "".join(str(s.below(10)) for _ in range(len(value) - 2 + more))
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind == "iban":
-        body = "".join(_alike(c, s) for c in value[4:])
+        body = "".join(_alike(c, s) for c in value[4:] + "0" * more)
         return value[:2] + f"{98 - mod97(value[:2] + '00' + body):02d}" + body
     if kind in ("phone", "ssn"):
         keep = max(0, len(value) - 10)  # country code
-        more = attempt // WIDEN  # digits beyond the format, where it has no value left
         return value[:keep] + "".join(str(2 + s.below(8)) if i == 0 else str(s.below(10)) for i in range(len(value) - keep + more))
     gender, _, name = value.partition(":")
     script = "cyrillic" if "CYRILLIC" in unicodedata.name(name[0], "") else "latin"
     given = GIVEN[script, gender if gender != "u" else "mf"[s.below(2)]]
-    family = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2))).capitalize()
+    family = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2) + more)).capitalize()
     return family if len(name.split()) == 1 else given[s.below(len(given))] + " " + family
 
 
@@ -232,7 +238,7 @@ def render(kind: str, original: str, replacement: str) -> str:
         return "".join(next(d) if c in "0123456789" else c for c in original) + "".join(d)
     if kind == "iban":
         d = iter(replacement)
-        return "".join(c if c == " " else next(d) for c in original)
+        return "".join(c if c == " " else next(d) for c in original) + "".join(d)
     if kind == "person" and len(original.split()) == 1:
         replacement = replacement.split()[-1]
     if original.isupper() and kind in ("email", "person"):
@@ -253,7 +259,7 @@ def entities(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
-def assign(values: DataFrame, key: bytes, max_rounds: int = 30) -> DataFrame:
+def assign(values: DataFrame, key: bytes, max_rounds: int = ROUNDS) -> DataFrame:
     """kind, value, surrogate for distinct (kind, value): one to one, and never a value of the table."""
 
     @F.pandas_udf("string")
