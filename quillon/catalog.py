@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
+from .functions.lineage import cut
 from .functions.ordering import with_position
 from .operators import classifiers, cpd, features, kge, ledger, ranking, splits, subgraph, vocab
 from .plans import graph
@@ -52,7 +53,7 @@ def kg_vocab_relations(spark, d):
     )
 )
 def kg_triples_indexed(spark, d):
-    t = graph.edges(spark, d).toDF("head", "relation", "tail")
+    t = cut(graph.edges(spark, d).toDF("head", "relation", "tail"))
     out = vocab.indexed(t, vocab.dense_index(vocab.entity_set(t), "entity"), vocab.dense_index(t, "relation"))
     return out.groupBy("r").agg(F.count("*").alias("n"), F.sum("h").alias("sum_h"), F.sum("t").alias("sum_t"))
 
@@ -209,6 +210,7 @@ _pair_query("concat", "list_concat(h.features, t.features)")
 _pair_query("subtract", "list_transform(list_zip(h.features, t.features), lambda p: p[1] - p[2])")
 _pair_query("hadamard", "list_transform(list_zip(h.features, t.features), lambda p: p[1] * p[2])")
 
+# The prompt patterns.
 TEMPLATES = ["[1] is a type of [2].", "[1] is located in [2].", "[1] is member of [2].", "[1] is equivalent to [2].", "[1] is different from [2].", "[1] is similar to [2]."]
 _TEMPLATES = "SELECT unnest(range(6)) AS template, unnest([" + ", ".join(f"'{t}'" for t in TEMPLATES) + "]) AS p"
 
@@ -546,9 +548,9 @@ def _level_sql(name: str, end: str) -> str:
 
 
 def _graph(spark, d):
-    e = graph.edges(spark, d)
+    e = cut(graph.edges(spark, d))
     pairs = with_position(e.where("relation = 'part_of'").select(F.col("src").alias("head"), F.col("dst").alias("tail")), ["head", "tail"], "pair")
-    return e.withColumnRenamed("relation", "type"), pairs, subgraph.symmetric(e.withColumnRenamed("relation", "type")).persist()
+    return e.withColumnRenamed("relation", "type"), pairs, cut(subgraph.symmetric(e))
 
 
 @query(sql(f", {_ADJ}, {_level_sql('h', 'head')} SELECT pair, CAST(hop AS INT) AS hop, count(*) AS n FROM h GROUP BY ALL", "kg_edges"))

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value, f) -> Column:
+    """f of a value that is worked out once: the optimizer may copy a plain expression into every element's lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(a) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -32,9 +37,10 @@ def norm(a) -> Column:
 
 
 def softmax(a) -> Column:
-    """exp(x - max) over its sum."""
-    shifted = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    """exp(x - max) over its sum; the maximum and the sum are worked out once an array."""
+    a = F.col(a) if isinstance(a, str) else a
+    shifted = once(F.struct(a.alias("a"), F.array_max(a).alias("m")), lambda s: F.transform(s["a"], lambda x: F.exp(x - s["m"])))
+    return once(once(shifted, lambda e: F.struct(e.alias("e"), total(e).alias("t"))), lambda s: F.transform(s["e"], lambda x: x / s["t"]))
 
 
 def sigmoid(x) -> Column:
