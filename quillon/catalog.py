@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .functions.lineage import cut
 from .functions.ordering import with_position
-from .operators import classifiers, cpd, features, kge, ledger, ranking, splits, subgraph, vocab
+from .operators import classifiers, cpd, features, kge, ledger, projector, ranking, splits, subgraph, vocab
 from .plans import graph
 from .plans.graph import sql
 
@@ -95,6 +95,25 @@ def matrix_density(spark, d):
     return vocab.density(graph.triples(spark, d), graph.entities(spark, d).count())
 
 
+_NAMES = "nm AS (SELECT name, row_number() OVER (ORDER BY name) AS id FROM (SELECT 'r' || r AS name FROM range(100) a(r)))"
+
+
+def _named(spark, d):
+    return graph.triples(spark, d).withColumn("name", F.concat(F.lit("r"), F.col("relation").cast("string")))
+
+
+@query(sql(f", {_NAMES} SELECT name, id AS name_id, count(*) AS n FROM kg_triples JOIN nm ON name = 'r' || relation GROUP BY ALL", "kg_triples"))
+def label_encode_domain(spark, d):
+    """Ids from an explicit domain; a label outside it would raise."""
+    return vocab.encoded(_named(spark, d), "name", [f"r{r}" for r in range(CLASSES)]).groupBy("name", "name_id").agg(F.count("*").alias("n"))
+
+
+@query(sql(f", {_NAMES} SELECT split, id AS place, count(*) AS n, CAST(1 AS BIGINT) AS ones FROM kg_triples JOIN nm ON name = 'r' || relation GROUP BY ALL", "kg_triples"))
+def label_one_hot(spark, d):
+    rows = vocab.one_hot(vocab.encoded(_named(spark, d), "name", [f"r{r}" for r in range(CLASSES)]), "name_id", CLASSES)
+    return rows.groupBy("split", F.array_position("one_hot", 1).alias("place")).agg(F.count("*").alias("n"), F.max(F.aggregate("one_hot", F.lit(0), lambda a, x: a + x).cast("long")).alias("ones"))
+
+
 # ---- splits
 
 
@@ -149,6 +168,23 @@ def split_statistics_summary(spark, d):
     return g.select("version", "split", "seeds", splits.formatted("triples_mean", "triples_std").alias("triples"), F.round("entities_mean", 6).alias("entities_mean"), F.round("entities_std", 6).alias("entities_std"))
 
 
+@query(
+    sql(
+        """, s AS (SELECT seed, head, relation, tail, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws(':', seed, head, relation, tail))) - 1 AS pos, count(*) OVER (PARTITION BY seed) AS n
+                   FROM kg_triples, (SELECT unnest([7001, 7002, 7003]) AS seed)),
+        c AS (SELECT *, greatest(1, CAST(ceil(n * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS v FROM s),
+        o AS (SELECT *, CASE WHEN pos < n - 2 * v THEN 'train' WHEN pos < n - v THEN 'valid' ELSE 'test' END AS split FROM c),
+        f AS (SELECT seed, kind, elem, min(pos) AS pos FROM (SELECT seed, 'e' AS kind, head AS elem, pos FROM o UNION ALL SELECT seed, 'e', tail, pos FROM o UNION ALL SELECT seed, 'r', relation, pos FROM o) GROUP BY ALL),
+        m AS (SELECT o.*, split <> 'train' AND (seed, pos) IN (SELECT (seed, pos) FROM f) AS moved FROM o)
+        SELECT CAST(seed AS INT) AS seed, CASE WHEN moved THEN 'train' ELSE split END AS split, moved, count(*) AS n, CAST(sum(pos) AS BIGINT) AS sum_pos FROM m GROUP BY ALL""",
+        "kg_triples",
+    )
+)
+def split_reshuffle_seeds(spark, d):
+    """Shuffle, cut by exact sizes and clean-up for three seeds in one job."""
+    return splits.reshuffled(graph.triples(spark, d), [7001, 7002, 7003]).groupBy("seed", "split", "moved").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
+
+
 @query()
 def split_hash_seeds(spark, d):
     """80/10/10 sizes for three seeds in one job."""
@@ -246,6 +282,67 @@ def _pool_query(how: str):
 for _how in _POOLS:
     _pool_query(_how)
 
+
+
+@query()
+def feature_random_fill(spark, d):
+    """Entities without a vector get draws of N(0, 0.1) that depend on entity and seed only."""
+    e = graph.entities(spark, d)
+    out = features.with_features(e.select("entity"), e.where("label < 5"), 64, fill="random", seed=28)
+    return out.select("entity", F.size("features").cast("long").alias("width"), F.round(V.norm("features"), 6).alias("norm"))
+
+
+_ENCODED = """x AS (SELECT entity, t, i, features[16 * t + i + 1] AS v FROM kg_entities, range(4) a(t), range(16) b(i)),
+    nx AS (SELECT entity, t, i, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) AS v FROM x WINDOW w AS (PARTITION BY entity, t)),
+    en AS (SELECT entity, t, o, cos(t + o) / 4 + sum(v * sin(3 * t + 5 * i + 7 * o) / 4) AS v FROM nx, range(8) c(o) GROUP BY entity, t, o)"""
+
+
+def _states(spark, d):
+    return graph.entities(spark, d).select("entity", F.array(*[F.slice("features", 16 * i + 1, 16) for i in range(4)]).alias("states"))
+
+
+@query(sql(f", {_ENCODED} SELECT entity, CAST(t AS INT) AS template, round(sum(v), 5) AS total, round(sqrt(sum(v * v)), 5) AS norm FROM en GROUP BY ALL", "kg_entities"))
+def prompt_encodings(spark, d):
+    out = features.prompt_encoded(_states(spark, d), features.closed_form_pool(16, 4, 8, 4, "sum"))
+    return out.select("entity", F.posexplode("encoded").alias("template", "v")).select("entity", "template", F.round(V.total("v"), 5).alias("total"), F.round(V.norm("v"), 5).alias("norm"))
+
+
+_APPLIED = {
+    "sum": "po AS (SELECT entity, o AS j, sum(v) AS v FROM en GROUP BY ALL)",
+    "mean": "po AS (SELECT entity, o AS j, avg(v) AS v FROM en GROUP BY ALL)",
+    "concat": "po AS (SELECT entity, 8 * t + o AS j, v FROM en)",
+    "attn": "q AS (SELECT * FROM en WHERE t = 0), sc AS (SELECT e.entity, e.t, exp(sum(q.v * e.v)) AS w FROM en e JOIN q USING (entity, o) WHERE e.t > 0 GROUP BY ALL), po AS (SELECT entity, o AS j, any_value(q.v) + sum(w * e.v) / sum(w) AS v FROM en e JOIN sc USING (entity, t) JOIN q USING (entity, o) GROUP BY ALL)",
+}
+
+
+def _applied_query(how: str):
+    name = f"prompt_pool_applied_{how}"
+
+    def run(spark, d):
+        out = features.pool_applied(_states(spark, d), features.closed_form_pool(16, 4, 8, 4, how), how)
+        return out.select("entity", F.posexplode("features").alias("k", "v")).groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql(f", {_ENCODED}, {_APPLIED[how]}, ou AS (SELECT entity, k, 1 / (1 + exp(-(sin(k) + sum(greatest(v, 0) * cos(2 * j + 3 * k) / 2)))) AS v FROM po, range(4) d(k) GROUP BY entity, k) SELECT CAST(k AS INT) AS k, count(*) AS n, round(avg(v), 6) AS mean FROM ou GROUP BY ALL", "kg_entities")
+
+
+for _how in _APPLIED:
+    _applied_query(_how)
+
+
+@query(
+    sql(
+        f"""{_SCALED}, x0 AS (SELECT entity, generate_subscripts(f, 1) - 1 AS i, unnest(f) AS v FROM scaled),
+        hi AS (SELECT entity, j, greatest(cos(j) / 4 + sum(v * sin(3 * i + 5 * j) / 8), 0) AS v FROM x0, range(16) a(j) GROUP BY entity, j),
+        ou AS (SELECT entity, k, sin(k) / 4 + sum(v * cos(2 * j + 7 * k) / 4) AS v FROM hi, range(8) b(k) GROUP BY entity, k) SELECT entity, round(sum(v), 5) AS total, round(sqrt(sum(v * v)), 5) AS norm FROM ou GROUP BY 1""",
+        "kg_entities",
+    )
+)
+def mlp_projection(spark, d):
+    out = projector.projected(features.standardised(graph.entities(spark, d)), projector.closed_form(64, 16, 8))
+    return out.select("entity", F.round(V.total("features"), 5).alias("total"), F.round(V.norm("features"), 5).alias("norm"))
+
+
 # ---- ranking and conformal sets
 
 
@@ -318,8 +415,9 @@ def rank_tie_rules(spark, d):
 
 _ALPHAS = [0.01, 0.05, 0.1]
 _PROBS = _SCORES + ", pr AS (SELECT head, tail, truth, split, r, exp(s) / sum(exp(s)) OVER (PARTITION BY head, tail, truth) AS p FROM lg)"
-_QUANTILES = _PROBS + """, cal AS (SELECT 1 - p AS sc, row_number() OVER (ORDER BY 1 - p) - 1 AS place, count(*) OVER () AS n FROM pr WHERE split = 'valid' AND r = truth),
+_CAL = """cal AS (SELECT 1 - p AS sc, row_number() OVER (ORDER BY 1 - p) - 1 AS place, count(*) OVER () AS n FROM pr WHERE split = 'valid' AND r = truth),
     al AS (SELECT unnest([0.01, 0.05, 0.1]::DOUBLE[]) AS alpha), q AS (SELECT alpha, n, sc AS q_hat FROM al, cal WHERE place = least(CAST(ceil(round((n + 1) * (1 - alpha), 9)) AS BIGINT), n - 1))"""
+_QUANTILES = _PROBS + ", " + _CAL
 
 
 def _conformal(spark, d):
@@ -452,10 +550,45 @@ for _kind, _x in _KGE.items():
     _kge_query(_kind, *_x)
 
 
+def _kge_conformal(kind: str, expression: str, n: int):
+    name = f"{kind}_conformal"
+
+    def run(spark, d):
+        p = _pairs(spark, d, ["valid", "test"])
+        out = kge.conformal(p.where("split = 'valid'"), p.where("split = 'test'"), kind, kge.closed_form(kind, CLASSES, 64), _ALPHAS)
+        return out.select("alpha", F.round("coverage", 4).alias("coverage"), F.round("mean_size", 2).alias("mean_size"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql(
+        f""", s AS (SELECT head, tail, relation AS truth, split, r, {expression} AS s FROM kg_triples JOIN kg_entities h ON h.entity = head JOIN kg_entities t ON t.entity = tail, range({CLASSES}) a(r), range({n}) b(i) WHERE split <> 'train' GROUP BY ALL),
+        mx AS (SELECT *, exp(s - max(s) OVER (PARTITION BY head, tail)) AS e FROM s), pr AS (SELECT *, e / sum(e) OVER (PARTITION BY head, tail) AS p FROM mx),
+        {_CAL}, c AS (SELECT alpha, head, tail, truth, max(CASE WHEN r = truth AND p >= 1 - q_hat THEN 1.0 ELSE 0 END) AS hit, count(*) FILTER (p >= 1 - q_hat) AS size FROM pr, q WHERE split = 'test' GROUP BY ALL)
+        SELECT alpha, round(avg(hit), 4) AS coverage, round(avg(size), 2) AS mean_size FROM c GROUP BY 1""",
+        "kg_entities",
+        "kg_triples",
+    )
+
+
+for _kind, _x in _KGE.items():
+    _kge_conformal(_kind, *_x)
+
+
 @query()
 def kge_training(spark, d):
-    """DistMult, ComplEx and RotatE trained side by side, a task each."""
-    return kge.fit_groups(_pairs(spark, d, ["train", "valid", "test"]).select("fh", "ft", "label", "split"), ["distmult", "complex", "rotate"], CLASSES, dim=32, epochs=5)
+    """DistMult, ComplEx and RotatE, a distributed pass an epoch: first and last loss, test metrics."""
+    p = _pairs(spark, d, ["train", "valid", "test"]).select("fh", "ft", "label", "split")
+    return kge.fit_methods(p, ["distmult", "complex", "rotate"], CLASSES, dim=64, epochs=30)
+
+
+@query()
+def mlp_projector_training(spark, d):
+    """The projector trained on the scaled features: mean loss of each epoch."""
+    f = features.standardised(graph.entities(spark, d)).select("entity", "features")
+    t = graph.triples(spark, d).where("split = 'train'").withColumn("label", F.col("relation"))
+    blocks = cpd.blocked(t.join(f.toDF("head", "fh"), "head").join(f.toDF("tail", "ft"), "tail")).persist()
+    _, curve = projector.fit(blocks, 64, CLASSES, out=64, hidden=64, epochs=5, seed=28)
+    blocks.unpersist()
+    return spark.createDataFrame(list(enumerate(curve)), "epoch int, loss double")
 
 
 def _classifier_query(method: str, build=None):
@@ -536,6 +669,16 @@ def running_best(spark, d):
     return ledger.running_best(graph.runs(spark, d), ["method", "model"], "version", "mrr").drop("aggregation")
 
 
+@query(sql("SELECT version, method, mrr FROM runs WHERE starts_with(version, 'v1_')", "runs"))
+def ledger_prefix_rows(spark, d):
+    return ledger.present(ledger.with_prefix(graph.runs(spark, d), "version", "v1_"), ["version", "method", "train_time_s", "mrr"])
+
+
+@query(sql("SELECT method, model, count(DISTINCT version) AS n_seeds, round_even(avg(mrr), 6) AS mrr_mean, round_even(CASE WHEN count(mrr) = 1 THEN 0 ELSE stddev_samp(mrr) END, 6) AS mrr_std FROM runs GROUP BY ALL", "runs"))
+def grid_config_summary(spark, d):
+    return ledger.config_summary(graph.runs(spark, d), ["method", "model"], ["mrr"], seed="version")
+
+
 # ---- graph extraction
 
 _ADJ = "adj AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM kg_edges UNION ALL SELECT dst, src FROM kg_edges)), pairs AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS pair, src AS head, dst AS tail FROM kg_edges WHERE relation = 'part_of')"
@@ -591,3 +734,43 @@ def inverse_edges(spark, d):
     r = vocab.dense_index(e, "relation", "type")
     out = subgraph.inverse(e.join(F.broadcast(r), "relation"), r.count())
     return out.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))
+
+
+_LABELS = f", {_ADJ}, {_level_sql('hh', 'head')}, {_level_sql('tt', 'tail')}, un AS (SELECT DISTINCT pair, node FROM (FROM hh UNION ALL FROM tt) JOIN pairs p USING (pair) WHERE node NOT IN (p.head, p.tail)), {_DRNL}"
+
+
+def _dataset(spark, d):
+    e, pairs, _ = _graph(spark, d)
+    return subgraph.dataset(pairs, e, 2)
+
+
+@query(sql(f"{_LABELS} SELECT max(first) AS max_first, max(second) AS max_second, round(avg(n), 6) AS mean_size FROM (SELECT pair, count(*) AS n, max(first) AS first, max(second) AS second FROM lab GROUP BY 1)", "kg_edges"))
+def subgraph_label_extent(spark, d):
+    return _dataset(spark, d)[2].withColumn("mean_size", F.round("mean_size", 6))
+
+
+@query(
+    sql(
+        f"""{_LABELS}, top AS (SELECT max(first) AS f, max(second) AS s FROM lab)
+        SELECT pair, CASE WHEN first = 0 AND second = 1 THEN 1 WHEN first = 1 AND second = 0 THEN 2 ELSE 0 END AS mark,
+               array_to_string(list_concat(list_transform(range(0, f + 1), lambda i: CAST(i = first AS INT)), list_transform(range(0, s + 1), lambda i: CAST(i = second AS INT))), '') AS features, count(*) AS n
+        FROM lab, top GROUP BY ALL""",
+        "kg_edges",
+    )
+)
+def subgraph_node_features(spark, d):
+    nodes = _dataset(spark, d)[0]
+    return nodes.groupBy("pair", "mark", F.array_join(F.transform("features", lambda x: x.cast("string")), "").alias("features")).agg(F.count("*").alias("n"))
+
+
+@query(
+    sql(
+        f"""{_LABELS} SELECT pair, count(*) AS edges, count(*) FILTER (src = p.head) AS out_head FROM pairs p JOIN (SELECT a.pair, e.src, e.dst FROM lab a JOIN adj e ON e.src = a.node JOIN lab b ON b.pair = a.pair AND b.node = e.dst) i USING (pair)
+        WHERE NOT (src = p.head AND dst = p.tail) AND NOT (src = p.tail AND dst = p.head) GROUP BY 1""",
+        "kg_edges",
+    )
+)
+def subgraph_edges_without_target(spark, d):
+    _, pairs, _ = _graph(spark, d)
+    inside = _dataset(spark, d)[1]
+    return inside.join(F.broadcast(pairs), "pair").groupBy("pair").agg(F.count("*").alias("edges"), F.count_if(F.col("src") == F.col("head")).alias("out_head"))

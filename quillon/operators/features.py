@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +75,63 @@ def pooled(states: DataFrame, how: str) -> DataFrame:
     out = states.withColumn("__q", query).withColumn("__k", keys).withColumn("__w", V.softmax(F.transform("__k", lambda k: V.dot("__q", k))))
     mixed = F.aggregate(F.zip_with("__k", "__w", lambda k, w: F.transform(k, lambda x: x * w)), F.transform("__q", lambda x: x), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
     return out.withColumn("pooled", mixed).drop("__q", "__k", "__w")
+
+
+def pool_weights(dim: int, templates: int, inner: int, out: int, how: str, seed: int = 28) -> dict[str, np.ndarray]:
+    """Untrained weights of an encoder a template and of the output layer, uniform in +-1 / sqrt(inputs)."""
+    rng = np.random.RandomState(seed)
+    wide = inner * templates if how == "concat" else inner
+    draw = lambda n, *shape: rng.uniform(-1, 1, shape) / np.sqrt(n)
+    return {"w": draw(dim, templates, dim, inner), "b": draw(dim, templates, inner), "out": draw(wide, wide, out), "bias": draw(wide, out)}
+
+
+def closed_form_pool(dim: int, templates: int, inner: int, out: int, how: str) -> dict[str, np.ndarray]:
+    """The same without a random generator."""
+    wide = inner * templates if how == "concat" else inner
+    t, i, o, k = np.arange(templates)[:, None, None], np.arange(dim)[:, None], np.arange(inner), np.arange(out)
+    return {"w": np.sin(3 * t + 5 * i + 7 * o) / 4, "b": np.cos(t[:, 0] + o) / 4, "out": np.cos(2 * np.arange(wide)[:, None] + 3 * k) / 2, "bias": np.sin(k)}
+
+
+def layer_normed(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
+    """Zero mean and unit population variance along the last axis."""
+    return (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + eps)
+
+
+def _encoded(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.einsum("ntd,tdo->nto", layer_normed(x), w["w"]) + w["b"]
+
+
+def _by_batch(states: DataFrame, name: str, kind: str, f) -> DataFrame:
+    entity = states.schema["entity"].dataType.simpleString()
+
+    def run(batches):
+        for p in batches:
+            if len(p):
+                x = np.array([[list(v) for v in row] for row in p["states"]], dtype=float)
+                yield pd.DataFrame({"entity": p["entity"], name: f(x)})
+
+    return states.select("entity", "states").mapInPandas(run, f"entity {entity}, {name} {kind}")
+
+
+def prompt_encoded(states: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """entity, encoded: each template's state normalised and put through its own linear layer; dropout is off outside training."""
+    return _by_batch(states, "encoded", "array<array<double>>", lambda x: [[v.tolist() for v in row] for row in _encoded(x, weights)])
+
+
+def pool_applied(states: DataFrame, weights: dict[str, np.ndarray], how: str) -> DataFrame:
+    """entity, features: states encoded a template, pooled (see pooled), rectified, put through the output layer and a sigmoid."""
+
+    def f(x):
+        e = _encoded(x, weights)
+        if how == "concat":
+            c = e.reshape(len(e), -1)
+        elif how in ("sum", "mean"):
+            c = e.sum(axis=1) if how == "sum" else e.mean(axis=1)
+        else:
+            q, k = e[:, 0], e[:, 1:]
+            s = np.einsum("nd,ntd->nt", q, k)
+            a = np.exp(s - s.max(axis=1, keepdims=True))
+            c = q + np.einsum("nt,ntd->nd", a / a.sum(axis=1, keepdims=True), k)
+        return list(1 / (1 + np.exp(-(np.maximum(c, 0) @ weights["out"] + weights["bias"]))))
+
+    return _by_batch(states, "features", "array<double>", f)

@@ -5,6 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .cpd import block_sum, blocked
+from .optim import Adam, Params, averaged_pass
+from .ranking import coverage, quantiles
 
 #: Adam settings of the trainer: learning rate, weight decay, gradient clip.
 RATE, DECAY, CLIP = 1e-3, 1e-5, 1.0
@@ -66,88 +71,116 @@ def ranks(pairs: DataFrame, name: str, params: dict[str, np.ndarray], variant: s
     return pairs.select("fh", "ft", "label").mapInPandas(run, "label int, rank int")
 
 
-def fit(name: str, h: np.ndarray, t: np.ndarray, r: np.ndarray, classes: int, dim: int = 64, epochs: int = 30, batch: int = 1024, seed: int = 0, dropout: float = 0.3, valid=None, every: int = 5, patience: int = 20) -> dict[str, np.ndarray]:
-    """A shared linear layer on frozen features and relation parameters, by Adam on cross-entropy.
-
-    The parameters of the best validation MRR are restored; the rate halves when it stalls.
-    """
+def initial(name: str, d: int, classes: int, dim: int, seed: int) -> Params:
+    """The shared linear layer and the relation parameters before training."""
     rng = np.random.default_rng(seed)
-    d = h.shape[1]
     p = {"lin": rng.uniform(-1, 1, (d, dim)) / np.sqrt(d), "bias": np.zeros(dim)}
     if name == "rotate":
-        p["phase"] = rng.uniform(-np.pi, np.pi, (classes, dim // 2))
-    elif name == "complex":
-        p |= {k: rng.standard_normal((classes, dim // 2)) * np.sqrt(2 / (classes + dim // 2)) for k in ("re", "im")}
+        return p | {"phase": rng.uniform(-np.pi, np.pi, (classes, dim // 2))}
+    if name == "complex":
+        return p | {k: rng.standard_normal((classes, dim // 2)) * np.sqrt(2 / (classes + dim // 2)) for k in ("re", "im")}
+    return p | {"rel": rng.standard_normal((classes, dim)) * np.sqrt(2 / (classes + dim))}
+
+
+def gradient(name: str, p: Params, h: np.ndarray, t: np.ndarray, r: np.ndarray, rng, dropout: float = 0.0) -> tuple[float, Params]:
+    """Sums over the pairs of the cross-entropy and of its gradients; the inputs are dropped, inverted."""
+    n, d = h.shape
+    keep = [(rng.random((n, d)) >= dropout) / (1 - dropout) if dropout else 1.0 for _ in "ht"]
+    xh, xt = h * keep[0], t * keep[1]
+    a, b = xh @ p["lin"] + p["bias"], xt @ p["lin"] + p["bias"]
+    u, w = features(name, a, b), layer(name, p)
+    z = u @ w.T
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    e /= e.sum(axis=1, keepdims=True)
+    loss = -np.log(e[np.arange(n), r] + 1e-300).sum()
+    e[np.arange(n), r] -= 1
+    gu, gw = e @ w, e.T @ u
+    g: Params = {}
+    if name == "distmult":
+        ga, gb = gu * b, gu * a
+        g["rel"] = gw
     else:
-        p["rel"] = rng.standard_normal((classes, dim)) * np.sqrt(2 / (classes + dim))
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
-    best, kept, rate, stall, step = -1.0, {k: v.copy() for k, v in p.items()}, RATE, 0, 0
+        f = a.shape[1] // 2
+        re, im = gu[:, :f], gu[:, f:]
+        ga, gb = np.zeros_like(a), np.zeros_like(b)
+        for own, other in ((ga, b), (gb, a)):
+            own[:, :f] = re * other[:, :f] + im * other[:, f : 2 * f]
+            own[:, f : 2 * f] = -re * other[:, f : 2 * f] + im * other[:, :f]
+        if name == "complex":
+            g["re"], g["im"] = gw[:, :f], gw[:, f:]
+        else:
+            g["phase"] = -np.sin(p["phase"]) * gw[:, :f] + np.cos(p["phase"]) * gw[:, f:]
+    g["lin"], g["bias"] = xh.T @ ga + xt.T @ gb, ga.sum(axis=0) + gb.sum(axis=0)
+    return float(loss), g
+
+
+def block_metrics(blocks: DataFrame, name: str, p: Params) -> dict[str, float]:
+    """mrr and hits_1 by pessimistic ranks over blocked pairs; zeros if there are none."""
+
+    def kernel(x, y, r):
+        z = score(name, x @ p["lin"] + p["bias"], y @ p["lin"] + p["bias"], p)
+        rank = (z >= z[np.arange(len(z)), r][:, None]).sum(axis=1)
+        return np.array([(1 / rank).sum(), (rank <= 1).sum(), len(rank)])
+
+    total = block_sum(blocks, kernel)
+    return {"mrr": float(total[0] / total[2]), "hits_1": float(total[1] / total[2])} if len(total) else {"mrr": 0.0, "hits_1": 0.0}
+
+
+def fit(blocks: DataFrame, name: str, d: int, classes: int, dim: int = 512, epochs: int = 30, batch: int = 1024, seed: int = 0, dropout: float = 0.3, valid: DataFrame | None = None, every: int = 5, patience: int = 20) -> tuple[Params, list[float]]:
+    """A shared linear layer on frozen features and relation parameters, by Adam on cross-entropy; and the loss of each epoch.
+
+    An epoch is one distributed pass over blocked pairs (cpd.blocked). The parameters of the best
+    validation MRR are restored; the rate halves when it stalls five evaluations.
+    """
+    p, curve, rate, stall = initial(name, d, classes, dim, seed), [], RATE, 0
+    best, kept = -1.0, p
     for epoch in range(epochs):
-        order = rng.permutation(len(r))
-        for i in range(0, len(order), batch):
-            q = order[i : i + batch]
-            keep = [(rng.random((len(q), d)) >= dropout) / (1 - dropout) for _ in "ht"]
-            xh, xt = h[q] * keep[0], t[q] * keep[1]
-            a, b = xh @ p["lin"] + p["bias"], xt @ p["lin"] + p["bias"]
-            u, w = features(name, a, b), layer(name, p)
-            z = u @ w.T
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(q)), r[q]] -= 1
-            e /= len(q)
-            gu, gw = e @ w, e.T @ u
-            g: dict[str, np.ndarray] = {}
-            if name == "distmult":
-                ga, gb = gu * b, gu * a
-                g["rel"] = gw
-            else:
-                f = dim // 2
-                re, im = gu[:, :f], gu[:, f:]
-                ga, gb = np.zeros_like(a), np.zeros_like(b)
-                for own, other in ((ga, b), (gb, a)):
-                    own[:, :f] = re * other[:, :f] + im * other[:, f : 2 * f]
-                    own[:, f : 2 * f] = -re * other[:, f : 2 * f] + im * other[:, :f]
-                if name == "complex":
-                    g["re"], g["im"] = gw[:, :f], gw[:, f:]
-                else:
-                    g["phase"] = -np.sin(p["phase"]) * gw[:, :f] + np.cos(p["phase"]) * gw[:, f:]
-            g["lin"], g["bias"] = xh.T @ ga + xt.T @ gb, ga.sum(axis=0) + gb.sum(axis=0)
-            size = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
-            scale = min(1.0, CLIP / (size + 1e-6))
-            step += 1
-            for k in p:
-                x = g[k] * scale + DECAY * p[k]
-                m[k] = 0.9 * m[k] + 0.1 * x
-                s[k] = 0.999 * s[k] + 0.001 * x * x
-                p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-        if valid is not None and len(valid[2]) and ((epoch + 1) % every == 0 or epoch == epochs - 1):
-            z = score(name, valid[0] @ p["lin"] + p["bias"], valid[1] @ p["lin"] + p["bias"], p)
-            mrr = float((1 / (z >= z[np.arange(len(z)), valid[2]][:, None]).sum(axis=1)).mean())
+        p, loss = averaged_pass(blocks, p, lambda q, x, y, r, rng: gradient(name, q, x, y, r, rng, dropout), lambda: Adam(rate, DECAY, CLIP), batch, seed + epoch)
+        curve.append(loss)
+        if valid is not None and ((epoch + 1) % every == 0 or epoch == epochs - 1):
+            mrr = block_metrics(valid, name, p)["mrr"]
             if mrr > best:
-                best, kept, stall = mrr, {k: v.copy() for k, v in p.items()}, 0
+                best, kept, stall = mrr, p, 0
             else:
                 stall += 1
                 rate *= 0.5 if stall % 5 == 0 else 1
                 if stall >= patience:
                     break
-    return kept if best >= 0 else p
+    return (kept if best >= 0 else p), curve
 
 
-def fit_groups(pairs: DataFrame, methods: list[str], classes: int, dim: int, epochs: int) -> DataFrame:
-    """method, test_mrr, test_hits_1: each method trained in a task of its own on pairs(fh, ft, label, split)."""
-    from pyspark.sql import functions as F
-
+def fit_methods(pairs: DataFrame, methods: list[str], classes: int, dim: int, epochs: int) -> DataFrame:
+    """method, loss_first, loss_last, test_mrr, test_hits_1 of each method trained on pairs(fh, ft, label, split), one after the other."""
     spark = pairs.sparkSession
-    names = spark.createDataFrame([(m,) for m in methods], "method string")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        name = p["method"].iloc[0]
-        h, t, r = np.array(p["fh"].tolist()), np.array(p["ft"].tolist()), p["label"].to_numpy().astype(int)
-        tr, va, te = ((p["split"] == s).to_numpy() for s in ("train", "valid", "test"))
-        q = fit(name, h[tr], t[tr], r[tr], classes, dim, epochs, valid=(h[va], t[va], r[va]))
-        z = score(name, h[te] @ q["lin"] + q["bias"], t[te] @ q["lin"] + q["bias"], q)
-        k = (z >= z[np.arange(len(z)), r[te]][:, None]).sum(axis=1)
-        return pd.DataFrame([{"method": name, "test_mrr": float((1 / k).mean()) if len(k) else 0.0, "test_hits_1": float((k <= 1).mean()) if len(k) else 0.0}])
-
-    return pairs.crossJoin(F.broadcast(names)).groupBy("method").applyInPandas(run, "method string, test_mrr double, test_hits_1 double")
+    width = pairs.select(F.size("fh").alias("d")).first()
+    parts = {s: blocked(pairs.where(F.col("split") == s)).persist() for s in ("train", "valid", "test")}
+    out = []
+    try:
+        for name in methods if width else []:
+            p, curve = fit(parts["train"], name, width["d"], classes, dim, epochs, valid=parts["valid"])
+            m = block_metrics(parts["test"], name, p)
+            out.append((name, curve[0], curve[-1], m["mrr"], m["hits_1"]))
+    finally:
+        for x in parts.values():
+            x.unpersist()
+    return spark.createDataFrame(out, "method string, loss_first double, loss_last double, test_mrr double, test_hits_1 double")
+
+
+def probabilities(pairs: DataFrame, name: str, params: Params) -> DataFrame:
+    """pairs with probs, the softmax of the scores of pairs(fh, ft, ...); vectors are dropped."""
+    keep = [c for c in pairs.columns if c not in ("fh", "ft")]
+
+    def run(batches):
+        for p in batches:
+            if len(p):
+                z = score(name, np.array(p["fh"].tolist()), np.array(p["ft"].tolist()), params)
+                e = np.exp(z - z.max(axis=1, keepdims=True))
+                yield p[keep].assign(probs=list(e / e.sum(axis=1, keepdims=True)))
+
+    return pairs.mapInPandas(run, pairs.select(*keep)._jdf.schema().toDDL() + ", probs array<double>")
+
+
+def conformal(calibration: DataFrame, test: DataFrame, name: str, params: Params, alphas: list[float]) -> DataFrame:
+    """alpha, coverage, mean_size of the conformal sets of test pairs(fh, ft, label); no rows if either side is empty."""
+    cal = probabilities(calibration.select("fh", "ft", "label"), name, params).select((1 - F.element_at("probs", F.col("label") + 1)).alias("score"))
+    return coverage(probabilities(test.select("fh", "ft", "label"), name, params), quantiles(cal, alphas))

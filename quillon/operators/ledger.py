@@ -96,6 +96,26 @@ def best(results: DataFrame, by: list[str], metric: str, k: int = 1) -> DataFram
     return mean.orderBy(F.desc(f"{metric}_mean"), *by).limit(k)
 
 
+def with_prefix(ledger: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose text in column starts with prefix; nulls do not."""
+    return ledger.where(F.col(column).startswith(prefix))
+
+
+def present(table: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the list that the table has, in the order of the list."""
+    return table.select(*[c for c in columns if c in table.columns])
+
+
+def config_summary(results: DataFrame, by: list[str], metrics: list[str], seed: str = "seed") -> DataFrame:
+    """by, n_seeds, and mean and deviation of each metric over the seeds of a configuration; failed runs (nulls) are left out of both."""
+    return results.groupBy(*by).agg(F.count_distinct(F.when(F.col(metrics[0]).isNotNull(), F.col(seed))).alias("n_seeds"), *[x for m in metrics for x in spread(m)])
+
+
+def append_result(row: DataFrame, path: str) -> None:
+    """A finished configuration's row added to the tuning table: what is done survives a stop."""
+    row.write.mode("append").parquet(path)
+
+
 def running_best(results: DataFrame, by: list[str], order: str, metric: str, strict: bool = True) -> DataFrame:
     """Rows with `improved`: whether the metric beat (or, not strict, reached) the best of all rows before."""
     before = F.max(metric).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

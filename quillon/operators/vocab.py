@@ -39,6 +39,30 @@ def unknown(triples: DataFrame, entities: DataFrame) -> DataFrame:
     return out.where("kh is null or kt is null").drop("kh", "kt")
 
 
+def encoded(triples: DataFrame, column: str, domain: DataFrame | list | None = None, offset: int = 1) -> DataFrame:
+    """triples with `<column>_id`: the place of the label in the sorted domain, plus offset.
+
+    The domain is the labels of the triples themselves (None), an explicit list, or another
+    frame's labels, such as the training split's. A label outside the domain raises when the
+    row is read; a null label gets a null id.
+    """
+    spark = triples.sparkSession
+    if domain is None:
+        domain = triples
+    elif isinstance(domain, list):
+        domain = spark.createDataFrame([(x,) for x in domain], triples.select(column).schema)
+    index = dense_index(domain.where(F.col(column).isNotNull()), column, "__id").withColumnRenamed(column, "__label")
+    out = triples.join(index, F.col(column) == F.col("__label"), "left")
+    strange = F.raise_error(F.concat(F.lit(f"{column} outside the domain: "), F.col(column).cast("string")))
+    place = F.when(F.col(column).isNull(), F.lit(None)).when(F.col("__id").isNull(), strange.cast("long")).otherwise(F.col("__id") + offset)
+    return out.withColumn(f"{column}_id", place).drop("__id", "__label")
+
+
+def one_hot(ids: DataFrame, column: str, classes: int, offset: int = 1, name: str = "one_hot") -> DataFrame:
+    """ids with an array of 0 and 1: 1 at the place of column - offset, none for a null."""
+    return ids.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda x: (F.coalesce(x == F.col(column) - offset, F.lit(False))).cast("int")))
+
+
 def density(triples: DataFrame, n: int) -> DataFrame:
     """Share of filled cells of the n x n matrix."""
     return triples.agg((F.count("*") / F.lit(float(n) * n)).alias("density"))

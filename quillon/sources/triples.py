@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import with_position
+from ..operators.splits import version_seed
 
 SPLITS = ("train", "valid", "test")
 
@@ -73,3 +77,36 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def write_report(table: DataFrame, path: str) -> None:
     """A small report as one CSV file."""
     table.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(p)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, built and written first where there is none; a write that broke off is built again."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_factors(spark: SparkSession, factors: dict[str, np.ndarray], path: str) -> None:
+    """Model parameters as rows (name, row, values)."""
+    rows = [(name, i, [float(x) for x in v]) for name, m in factors.items() for i, v in enumerate(np.atleast_2d(m))]
+    spark.createDataFrame(rows, "name string, row int, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_factors(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """The parameters that write_factors wrote, as matrices; as large as the model."""
+    out: dict[str, list] = {}
+    for r in spark.read.parquet(path).orderBy("name", "row").collect():
+        out.setdefault(r["name"], []).append(r["values"])
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def read_versions(spark: SparkSession, glob: str) -> DataFrame:
+    """head, relation, tail, split, version, seed of split files under directories such as v1_ind_seed7001."""
+    version, seed = version_seed("file")
+    t = read_triples(spark, glob)
+    return t.withColumn("version", version).withColumn("seed", seed).withColumn("split", F.regexp_extract("file", r"(train|valid|test)\.txt$", 1)).where("split <> ''").drop("file")
