@@ -5,8 +5,8 @@ text (A-Z lower-cased, words split at ASCII white space; a shorter text has its
 sequence as one shingle). A fingerprint is the low byte of each minimum as hex, the empty
 string for a text without words (null counts as empty). Likeness of two fingerprints
 estimates the Jaccard similarity of the texts, corrected for the bytes that agree by
-chance; two empty ones have likeness 1, an empty and another one 0. Repeated rows give
-repeated results; extra columns are ignored.
+chance; two empty ones have likeness 1, an empty and another one 0. Texts of any length are
+read whole. Repeated rows give repeated results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_batches, stash
 from .hashing import U, Words, chunks, mix, shingles
@@ -119,68 +119,102 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def edit_study(docs: DataFrame, per_range: int = 2000, words: int = WORDS) -> DataFrame:
+def _signed(texts: list[str], words: int) -> list[tuple[np.ndarray, int]]:
+    """Signature and number of shingles of each text."""
+    out: list = []
+    for _, part in chunks(texts):
+        sig, n = signatures(part, words)
+        out += zip(sig, n.tolist(), strict=True)
+    return out
+
+
+def _low(sig: np.ndarray, n: int) -> bytes:
+    return sig.astype(np.uint8).tobytes() if n else b""
+
+
+def _study(texts: list[str], after: list[str], prints: list, words: int) -> list[tuple]:
+    """n_chars, SHA-256 of the edited text, both fingerprints, near_edited, near_next; prints are those of texts and, one place on, of after."""
+    out = []
+    edits = [_edited(t, a) for t, a in zip(texts, after, strict=True)]
+    for t, e, (own, n), (changed, m), (following, k) in zip(texts, edits, prints[: len(texts)], _signed(edits, words), prints[1:], strict=True):
+        digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest()
+        out.append((len(t), digest, _low(own, n), _low(changed, m), likeness(own & 255, n, changed & 255, m), likeness(own & 255, n, following & 255, k)))
+    return out
+
+
+#: Columns of a study: those of an ordinary row, then what marks the first and the last row of a range.
+_STUDY = pa.schema(
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    + [("range", pa.int64()), ("place", pa.string()), ("text", pa.string())]
+)
+_STUDY_DDL = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, range long, place string, text string"
+
+
+def _ranges(words: int):
+    """Over a range in descending doc_id: the study of all rows but the last, and the texts of the first and the last."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        held: tuple | None = None  # the row that waits for its next one: doc_id, text, print
+
+        def mark(place: str, doc_id, text: str):
+            return pa.RecordBatch.from_pylist([{"doc_id": doc_id, "range": part, "place": place, "text": text}], schema=_STUDY)
+
+        for b in batches:
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            if not ids:
+                continue
+            prints = _signed(texts, words)
+            if held is None:
+                yield mark("first", ids[0], texts[0])
+            else:
+                ids, texts, prints = [held[0], *ids], [held[1], *texts], [held[2], *prints]
+            held = ids[-1], texts[-1], prints[-1]
+            rows = _study(texts[:-1], texts[1:], prints, words)
+            if rows:
+                n = len(rows)
+                columns = [pa.array(c, t) for c, t in zip([ids[:-1], *zip(*rows, strict=True), [part] * n, [None] * n, [None] * n], _STUDY.types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=_STUDY)
+        if held is not None:
+            yield mark("last", held[0], held[1])
+
+    return run
+
+
+def _seams(words: int):
+    """The study of rows(doc_id, text, following)."""
+
+    def run(batches):
+        for b in batches:
+            texts, after = b.column("text").to_pylist(), b.column("following").to_pylist()
+            rows = [x for t, a in zip(texts, after, strict=True) for x in _study([t], [a], _signed([t, a], words), words)]
+            if rows:
+                columns = [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STUDY.types[1:7], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=_STUDY.names[:7])
+
+    return run
+
+
+def edit_study(docs: DataFrame, per_range: int | None = None, words: int = WORDS) -> DataFrame:
     """Fingerprint every text and its edited form, and compare with the next document's.
 
     The next document is the one of the next smaller doc_id (after the last: of the largest).
-    Rows are dealt to ranges of doc_id once; the first row of each range is dealt to the
-    range before it as well, so every range sees the next document of its last row. Null
-    doc_ids follow all others; rows of equal doc_id are ordered by their text.
+    Rows are dealt once, to sorted ranges of doc_id, which are read as a stream: a task holds one
+    batch, however large its range. The last row of a range meets the first one of the next range
+    in a join of one row a range. Null doc_ids follow all others; rows of equal doc_id are
+    ordered by their text. per_range sets the number of ranges; without it Spark sizes them.
     """
     spark = docs.sparkSession
     arrow_batches(spark, 400)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    # ranges are cut at doc_ids that occur; a null sorts below all
-    order = F.coalesce("doc_id", F.lit(-(1 << 62))).cast("double")
-    keyed = docs.withColumn("order", order)
-    rows = keyed.count()
-    if not rows:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    n = max(1, min(20000, -(-rows // per_range)))
-    cuts = sorted(set(keyed.stat.approxQuantile("order", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    top = keyed.agg(F.max("order")).first()[0]
-    splits = [-float("inf"), *[c for c in cuts if c < top], float("inf")]
-    # range i holds splits[i] < order <= splits[i + 1]; its largest doc_id is the split itself
-    splits = [splits[0], *[float(np.nextafter(c, np.inf)) for c in splits[1:-1]], splits[-1]]
-    if len(splits) > 2:
-        keyed = Bucketizer(splits=splits, inputCol="order", outputCol="range").transform(keyed).withColumn("range", F.col("range").cast("int"))
-    else:
-        keyed = keyed.withColumn("range", F.lit(0))
-    last = len(splits) - 2
-    # in descending order, the head of range i follows the tail of range i + 1; the overall head follows the overall tail
-    heads = [*[float(np.nextafter(c, -np.inf)) for c in splits[1:-1]], top]
-    keyed = keyed.join(F.broadcast(spark.createDataFrame(list(enumerate(heads)), "range int, head double")), "range")  # one row a range
-    is_head = F.col("order") == F.col("head")
-    before = F.when(F.col("range") == last, F.lit(0)).otherwise(F.col("range") + 1)
-    both = F.when(is_head, F.array(F.struct("range", F.lit(0).alias("guest")), F.struct(before.alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct("range", F.lit(0).alias("guest"))))
-    dealt = keyed.select("doc_id", "text", F.inline(both))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # guests come after all own rows; among rows of the guest's doc_id the first counts
-        pdf = pdf.assign(k=pdf["doc_id"].fillna(-(1 << 62)))
-        pdf = pdf.sort_values(["guest", "k", "text"], ascending=[True, False, True], kind="stable")
-        own = pdf[pdf["guest"] == 0]
-        if not len(own):
-            return pd.DataFrame(columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        guest = pdf[pdf["guest"] == 1]["text"].head(1).tolist()
-        texts = [*own["text"], *guest]
-        after = [*texts[1:], texts[-1]][: len(own)]
-        out = []
-        prints: list = []
-        for _, part in chunks(texts):
-            sig, n = signatures(part, words)
-            prints += list(zip(sig, n, strict=True))
-        edits = [_edited(t, a) for t, a in zip(texts, after, strict=False)]
-        i = 0
-        for _, part in chunks(edits):
-            sig, n = signatures(part, words)
-            for raw, e, k in zip(part, sig, n, strict=True):
-                s, m = prints[i]
-                x, y = prints[min(i + 1, len(prints) - 1)]
-                out.append((len(texts[i]), hashlib.sha256(raw).hexdigest(), _hex(s, m), _hex(e, k), likeness(s & 255, m, e & 255, k), likeness(s & 255, m, x & 255, y)))
-                i += 1
-        res = pd.DataFrame(out, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        res.insert(0, "doc_id", own["doc_id"].astype("Int64").to_numpy() if own["doc_id"].isna().any() else own["doc_id"].to_numpy())
-        return res
-
-    return dealt.groupBy("range").applyInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    order = F.col("doc_id").desc_nulls_last()
+    ranges = docs.repartitionByRange(order) if per_range is None else docs.repartitionByRange(max(1, -(-docs.count() // per_range)), order)
+    rows = stash(ranges.sortWithinPartitions(order, "text").mapInArrow(_ranges(words), _STUDY_DDL))
+    ends = {place: rows.where(F.col("place") == place).select("range", "doc_id", "text") for place in ("first", "last")}
+    # numbers of ranges only, one row each: the window may be read by one task
+    by_range = Window.orderBy("range")
+    following = ends["first"].select("range").withColumn("next", F.coalesce(F.lead("range").over(by_range), F.min("range").over(by_range)))
+    seams = ends["last"].join(following, "range").join(ends["first"].select(F.col("range").alias("next"), F.col("text").alias("following")), "next")
+    seams = seams.select("doc_id", "text", "following").mapInArrow(_seams(words), ", ".join(_STUDY_DDL.split(", ")[:7]))
+    study = rows.where("place is null").select(seams.columns).unionByName(seams)
+    return study.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in study.dtypes])

@@ -105,11 +105,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: full sequences first, then a half, then the remainder."""
     arrow_batches(docs.sparkSession, 200)
-    path = str(path or tokenizer_path())
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path, special=True))
+        own = str(path or tokenizer_path())  # resolved where it is read
+        encoder = _encoders.get(own) or _encoders.setdefault(own, Encoder(own, special=True))
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             out: list[tuple] = []
