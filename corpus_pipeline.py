@@ -1,7 +1,9 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last keep the columns
-of docs. Between stages the frame is written as Parquet and read again.
+of docs, whatever their names. Between stages the frame is written as Parquet and read again.
+Nulls may stand in any column, rows may repeat, the table may be empty (the result is then
+empty), texts may have any length; each stage says what becomes of such rows.
 """
 
 from __future__ import annotations
@@ -14,32 +16,40 @@ from quillon.llm.common import stash, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: texts without a letter and narrow margins go."""
+    """Documents whose language is told: null and empty texts, texts without a letter and narrow margins go; equal texts go or stay alike."""
     dictionaries = langid.train(docs.where(~F.coalesce(langid.held_out(), F.lit(False))))
     told = docs.withColumn("__quillon_told", langid.teller(spark, dictionaries)("text"))
     return told.where((F.col("__quillon_told.lang_pred") != langid.UND) & (F.col("__quillon_told.score") >= langid.MARGIN)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; so do documents that had only such lines. n_chars follows the text."""
+    """Recurring lines go; so do documents whose text is empty or had only such lines. n_chars follows the text.
+
+    A null text stays. Of equal lines that of the smallest (doc_id, place) stays; rows equal in doc_id
+    and text are changed alike.
+    """
     out = linededup.dedup(docs).where("text is null or text <> ''")
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """The document of the smallest doc_id of each group of near-duplicates stays.
+
+    Null and wordless texts and rows without doc_id are linked with nothing and stay; rows that share
+    a doc_id are one document, which stays or goes with all of them.
+    """
     groups = superminhash.near_groups(docs, words=5, threshold=0.8)
     gone = groups.where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null texts and rows without doc_id stay, rows of one doc_id go together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, with their places in the sequences."""
+    """The pieces of all documents left, with their places in the sequences; a null text is one end id, repeated rows are packed each."""
     return packing.pack(docs)
 
 
