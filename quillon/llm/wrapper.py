@@ -9,10 +9,12 @@ content, else slots whose text varies from page to page, holds prose and few lin
 menus, headers, footers, sidebars, notices, adverts, forms and comments never count, nor
 scripts, styles, comments of the markup and hidden elements.
 
-A page without any slot of its host's wrapper is judged by its own slots. Character
+A page without any slot of its host's wrapper is judged by its own slots; if none of them
+holds prose either, all count that are neither boilerplate nor mostly links. Character
 references are decoded, white space within and between blocks becomes one space. Null or
-empty html gives an empty text. Pages without a host share the wrapper of the empty host;
-repeated rows get equal results; extra columns are ignored.
+empty html gives an empty text; html of any length is read whole. Pages without a host share
+the wrapper of the empty host; repeated rows get equal results; extra columns are ignored.
+There are no ties: slots are kept or not, and blocks keep the order of the page.
 """
 
 from __future__ import annotations
@@ -411,7 +413,7 @@ def articles(pages: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
                         s[3] += t.count(" ") + 1
                         s[4] += links
                         s[5] += len(t)
-                    keep = set(choose([tuple(s) for s in one.values()]))
+                    keep = set(choose([tuple(s) for s in one.values()])) or {s[0] for s in one.values() if "!" not in s[0] and 2 * s[4] < s[5]}
                     own = [t for path, t, _ in blocks if path in keep]
                 texts.append(" ".join(own))
             yield pd.DataFrame({"page_id": p["page_id"], "url": p["url"], "text": texts, "n_chars": [len(t) for t in texts]})

@@ -10,7 +10,7 @@ EXTRA = [f"{i} as {c}" for i, c in enumerate("row line keys node key place score
 
 
 def rows():
-    base = [(i, f"the and of thing with from number {i} that have this which were their own words of text {i * 7}", "aa" if i % 2 else "bb", "s", 1) for i in range(12)]
+    base = [(i, f"the and of thing with from number {i} that have this which were their own words of text {i * 7} and then some more of them at the end of line number {i + 3}", "aa" if i % 2 else "bb", "s", 1) for i in range(12)]
     odd = [(None, base[0][1], None, None, None), (20, None, None, None, None), (21, "", "aa", None, None), (22, " \n\t ", None, "", 0), (23, LONG, "aa", "s", len(LONG))]
     return [*base, *odd, base[3], base[3], (24, base[4][1], "aa", "s", 1), (25, base[4][1].upper(), "aa", "s", 1)]
 

@@ -111,9 +111,10 @@ def test_stages_take_odd_tables(spark, tmp_path, name):
 
 
 def test_clean_documents_stay(spark, tmp_path):
-    rows = [(i, " ".join(f"word{i}x{k}" for k in range(40)) + " the and of thing with from that", "aa", "s", 1) for i in range(30)]
-    rows += [(100 + i, " ".join(f"wort{i}y{k}" for k in range(40)) + " der und nicht mit von das", "bb", "s", 1) for i in range(30)]
+    name = lambda *x: "".join(chr(97 + i // 26) + chr(97 + i % 26) for i in x)
+    rows = [(i, " ".join("word" + name(i, k) for k in range(40)) + " the and of thing with from that", "aa", "s", 1) for i in range(30)]
+    rows += [(100 + i, " ".join("wort" + name(i, k) for k in range(40)) + " der und nicht mit von das", "bb", "s", 1) for i in range(30)]
     d = write(spark, tmp_path, rows, [(1, "one two three four five six")])
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        assert {r["doc_id"] for r in stage(spark, docs, d).collect()} == {r[0] for r in rows}, name
+    for which, stage in corpus_pipeline.STAGES[1:4]:
+        assert {r["doc_id"] for r in stage(spark, docs, d).collect()} == {r[0] for r in rows}, which
