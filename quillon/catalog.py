@@ -219,16 +219,16 @@ def feature_bias_columns(spark, d):
 
 @query(
     sql(
-        """SELECT n_nationkey AS entity, coalesce(len(features), 64) AS width, features IS NULL AS filled, round(coalesce(list_sum(features), 0), 6) AS total
-        FROM nation LEFT JOIN (SELECT * FROM kg_entities WHERE label < 5) e ON e.entity = n_nationkey""",
+        """SELECT vec_id AS entity, coalesce(len(features), 64) AS width, features IS NULL AS filled, round(coalesce(list_sum(features), 0), 6) AS total
+        FROM embeddings LEFT JOIN (SELECT * FROM kg_entities WHERE label < 5) e ON e.entity = vec_id""",
         "kg_entities",
     )
 )
 def feature_imputation(spark, d):
-    have = graph.entities(spark, d).where("label < 5")
-    e = graph.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("entity"))
-    out = features.with_features(e, have, 64).join(have.select("entity", F.lit(False).alias("f")), "entity", "left")
-    return out.select(F.col("entity").cast("int").alias("entity"), F.size("features").cast("long").alias("width"), F.coalesce("f", F.lit(True)).alias("filled"), F.round(V.total("features"), 6).alias("total"))
+    e = graph.entities(spark, d)
+    have = e.where("label < 5")
+    out = features.with_features(e.select("entity"), have, 64).join(have.select("entity", F.lit(False).alias("f")), "entity", "left")
+    return out.select("entity", F.size("features").cast("long").alias("width"), F.coalesce("f", F.lit(True)).alias("filled"), F.round(V.total("features"), 6).alias("total"))
 
 
 def _pair_query(how: str, expression: str):
@@ -251,9 +251,17 @@ TEMPLATES = ["[1] is a type of [2].", "[1] is located in [2].", "[1] is member o
 _TEMPLATES = "SELECT unnest(range(6)) AS template, unnest([" + ", ".join(f"'{t}'" for t in TEMPLATES) + "]) AS p"
 
 
-@query(f"WITH t AS ({_TEMPLATES}) SELECT 'n' || n_nationkey AS entity, CAST(template AS INT) AS template, replace(replace(p, '[1]', n_name), '[2]', '<mask>') AS masked, trim(split_part(replace(p, '[1]', n_name), '[2]', 1)) || ':' AS causal FROM nation, t")
+_NAMED = {"r": "region", "n": "nation", "c": "customer", "s": "supplier", "p": "part"}
+_NAMED_KEYS = {"r": "r_regionkey", "n": "n_nationkey", "c": "c_custkey", "s": "s_suppkey", "p": "p_partkey"}
+_LABELLED = " UNION ALL ".join(f"SELECT '{k}' || {_NAMED_KEYS[k]} AS entity, {k}_name AS name FROM {t}" for k, t in _NAMED.items())
+
+
+@query(f"WITH t AS ({_TEMPLATES}), e AS ({_LABELLED}) SELECT entity, CAST(template AS INT) AS template, replace(replace(p, '[1]', name), '[2]', '<mask>') AS masked, trim(split_part(replace(p, '[1]', name), '[2]', 1)) || ':' AS causal FROM e, t")
 def prompt_texts(spark, d):
-    e = graph.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity"), F.col("n_name").alias("label"))
+    parts = [graph.table(spark, d, t).select(F.concat(F.lit(k), F.col(_NAMED_KEYS[k]).cast("string")).alias("entity"), F.col(f"{k}_name").alias("label")) for k, t in _NAMED.items()]
+    e = parts[0]
+    for x in parts[1:]:
+        e = e.unionByName(x)
     masked, causal = features.prompts(e, TEMPLATES, True), features.prompts(e, TEMPLATES, False)
     return masked.withColumnRenamed("text", "masked").join(causal.withColumnRenamed("text", "causal"), ["entity", "template"])
 
@@ -629,11 +637,13 @@ def ledger_pending(spark, d):
     return ledger.pending(wanted.select(*ledger.KEYS), runs)
 
 
-@query(sql(", m AS (SELECT count(DISTINCT method) AS k FROM runs) SELECT model, aggregation, version FROM (SELECT DISTINCT model, aggregation, version FROM runs) w WHERE NOT EXISTS (SELECT 1 FROM runs r, m WHERE (r.model, r.aggregation, r.version) = (w.model, w.aggregation, w.version) GROUP BY k HAVING count(DISTINCT method) = k)", "runs"))
+@query(sql(", have AS (SELECT * FROM runs WHERE NOT (method = 'view' AND starts_with(version, 'v1_'))), m AS (SELECT count(DISTINCT method) AS k FROM runs) SELECT model, aggregation, version FROM (SELECT DISTINCT model, aggregation, version FROM runs) w WHERE NOT EXISTS (SELECT 1 FROM have r, m WHERE (r.model, r.aggregation, r.version) = (w.model, w.aggregation, w.version) GROUP BY k HAVING count(DISTINCT method) = k)", "runs"))
 def ledger_pending_families(spark, d):
+    """Families that a ledger without one method's runs of one version has not completed."""
     runs = graph.runs(spark, d)
-    methods = [r["method"] for r in runs.select("method").distinct().collect()]
-    return ledger.pending_families(runs.select("model", "aggregation", "version").distinct(), runs, methods)
+    methods = [r["method"] for r in runs.select("method").distinct().collect()]  # as many as there are methods
+    have = runs.where(~((F.col("method") == "view") & F.col("version").startswith("v1_")))
+    return ledger.pending_families(runs.select("model", "aggregation", "version").distinct(), have, methods)
 
 
 _BASE = "CASE WHEN regexp_extract(version, '^(.+_ind)_seed\\d+$', 1) <> '' THEN regexp_extract(version, '^(.+_ind)_seed\\d+$', 1) ELSE version END"
@@ -712,6 +722,22 @@ def enclosing_subgraph_sizes(spark, d):
     return size("enclosing", False).join(size("whole", True), "pair")
 
 
+_ALL = f""", adj AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM kg_edges UNION ALL SELECT dst, src FROM kg_edges)), pairs AS (SELECT row_number() OVER (ORDER BY src, relation, dst) - 1 AS pair, relation, src AS head, dst AS tail FROM kg_edges),
+    h AS (SELECT DISTINCT pair, dst AS node FROM pairs JOIN adj ON src = head WHERE dst <> head), t AS (SELECT DISTINCT pair, dst AS node FROM pairs JOIN adj ON src = tail WHERE dst <> tail), {_NODES},
+    a AS (SELECT pair, count(*) AS n FROM inn GROUP BY 1), b AS (SELECT pair, count(*) AS n FROM un GROUP BY 1)"""
+
+
+@query(sql(f"{_ALL} SELECT relation, count(*) AS pairs, CAST(sum(coalesce(a.n, 0) + 2) AS BIGINT) AS enclosing, CAST(sum(coalesce(b.n, 0) + 2) AS BIGINT) AS whole, max(coalesce(b.n, 0) + 2) AS largest FROM pairs LEFT JOIN a USING (pair) LEFT JOIN b USING (pair) GROUP BY 1", "kg_edges"))
+def enclosing_sizes_all_pairs(spark, d):
+    """One-hop subgraphs of every edge of the graph, by relation."""
+    e = cut(graph.edges(spark, d))
+    pairs = cut(with_position(e.select("relation", F.col("src").alias("head"), F.col("dst").alias("tail")), ["head", "relation", "tail"], "pair"))
+    adj = cut(subgraph.symmetric(e))
+    size = lambda name, union: subgraph.enclosing(pairs, adj, 1, union).groupBy("pair").agg(F.count("*").alias(name))
+    out = pairs.join(size("enclosing", False), "pair").join(size("whole", True), "pair")
+    return out.groupBy("relation").agg(F.count("*").alias("pairs"), F.sum("enclosing").alias("enclosing"), F.sum("whole").alias("whole"), F.max("whole").alias("largest"))
+
+
 _DRNL = """sub AS (SELECT pair, node FROM un UNION SELECT pair, head FROM pairs UNION SELECT pair, tail FROM pairs),
     se AS (SELECT a.pair, e.src, e.dst FROM sub a JOIN adj e ON e.src = a.node JOIN sub b ON b.pair = a.pair AND b.node = e.dst),
     eh AS (SELECT se.* FROM se JOIN pairs p USING (pair) WHERE src <> p.tail AND dst <> p.tail), et AS (SELECT se.* FROM se JOIN pairs p USING (pair) WHERE src <> p.head AND dst <> p.head),
@@ -774,3 +800,7 @@ def subgraph_edges_without_target(spark, d):
     _, pairs, _ = _graph(spark, d)
     inside = _dataset(spark, d)[1]
     return inside.join(F.broadcast(pairs), "pair").groupBy("pair").agg(F.count("*").alias("edges"), F.count_if(F.col("src") == F.col("head")).alias("out_head"))
+
+
+#: Queries that train: they take minutes, and come last.
+TRAINING = [n for n in QUERIES if n.endswith("_training") or n == "cpd_grid_search" or n.startswith(("lr_", "rf_", "gbt_"))]

@@ -7,7 +7,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.vectors import rank_of
 from .features import pairs
+from .ranking import metrics, translation_scores, translation_vectors
 
 
 def prepared(triples: DataFrame, features: DataFrame, how: str) -> DataFrame:
@@ -52,3 +55,24 @@ METHODS = {
     "gbt_concat": ("concat", lambda n: boosted()),
     "gbt_subtract": ("subtract", lambda n: boosted()),
 }
+
+
+def baselines(triples: DataFrame, features: DataFrame, classes: int, methods: dict | None = None) -> DataFrame:
+    """method, n, mrr, hits_1, hits_3, hits_10 on the test split of triples(head, tail, relation, split): feature translation, then every method.
+
+    methods (name -> (pair features, estimator of the number of training rows)) are METHODS unless given.
+    """
+    ranked = lambda df, label, scores: metrics(df.select(rank_of(F.col(scores), F.col(label)).alias("rank")))
+    spark = triples.sparkSession
+    relations = spark.range(classes).select(F.col("id").cast("int").alias("relation"))
+    vectors = translation_vectors(triples.where("split = 'train'"), features, relations)
+    f = features.select("entity", "features")
+    ends = triples.where("split = 'test'").select("head", "tail", "relation").join(f.toDF("head", "fh"), "head").join(f.toDF("tail", "ft"), "tail")
+    out = ranked(translation_scores(ends, vectors), "relation", "scores").withColumn("method", F.lit("feature_translation"))
+    for name, (how, make) in (methods or METHODS).items():
+        data = prepared(triples.withColumn("label", F.col("relation")), features, how).persist()
+        scored = fit_scores(data, make(data.where("split = 'train'").count()), classes).where("split = 'test'")
+        row = cut(ranked(scored, "label", "probs"))
+        data.unpersist()
+        out = out.unionByName(row.withColumn("method", F.lit(name)))
+    return out

@@ -138,3 +138,22 @@ def test_windowed_means_drop_late_rows(spark, tmp_path):
     q.stop()
     got = {r["start"].hour: (r["n"], r["mean"]) for r in spark.table("means").collect()}
     assert got[1] == (1, 1.0) and got[6] == (1, 3.0)
+
+
+def test_seven_baselines_in_one_table(spark):
+    from quillon.operators import classifiers
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 4))
+    f = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "entity long, features array<double>")
+    rows = [(int(a), int(b), int(v[a, 0] > v[b, 0]) + 2 * int(v[a, 1] > 0), "train" if k % 5 else "test") for k, (a, b) in enumerate(rng.integers(0, 40, (300, 2))) if a != b]
+    t = spark.createDataFrame(rows, "head long, tail long, relation int, split string")
+    small = {"lr_concat": ("concat", lambda n: classifiers.logistic(n, 1.0, 30)), "lr_subtract": ("subtract", lambda n: classifiers.logistic(n, 1.0, 30))}
+    small |= {f"rf_{h}": (h, lambda n: classifiers.forest(trees=5, depth=5)) for h in ("concat", "subtract")}
+    small |= {f"gbt_{h}": (h, lambda n: classifiers.boosted(rounds=2, depth=3)) for h in ("concat", "subtract")}
+    assert set(small) == set(classifiers.METHODS)
+    got = {r["method"]: r for r in classifiers.baselines(t, f, 5, small).collect()}
+    assert set(got) == {"feature_translation", *small}
+    n = sum(r[3] == "test" for r in rows)
+    assert all(r["n"] == n and 0 < r["mrr"] <= 1 and r["hits_1"] <= r["hits_3"] <= r["hits_10"] for r in got.values())
+    assert got["rf_concat"]["mrr"] > 0.6
