@@ -71,10 +71,10 @@ class Tokens:
             close[:-1] |= self.doc[1:] != self.doc[:-1]
         self.last = np.flatnonzero(close)
         self.first = np.concatenate(([0], self.last[:-1] + 1)) if len(self.last) else self.last
-        pad = np.array([7], dtype=U)
+        before, behind = np.array([7], dtype=U), np.array([8], dtype=U)  # a text's scores must not depend on its batch
         same = ~close[:-1] if n else np.zeros(0, dtype=bool)
-        prev = np.concatenate((pad, np.where(same, self.whole[:-1], U(7)))) if n else self.whole
-        after = np.concatenate((np.where(same, self.whole[1:], U(8)), pad)) if n else self.whole
+        prev = np.concatenate((before, np.where(same, self.whole[:-1], before))) if n else self.whole
+        after = np.concatenate((np.where(same, self.whole[1:], behind), behind)) if n else self.whole
         short, tail = w.span(w.start, w.start + np.minimum(size, 4)), w.span(w.end - np.minimum(size, 4), w.end)
         parts = (self.whole, short, self.stem, tail, prev, after)
         self.features = np.stack([(mix(x + U(i * 1_000_003)) >> U(64 - BITS)).astype(np.int32) for i, x in enumerate(parts)], axis=1) if n else np.zeros((0, KINDS), dtype=np.int32)
