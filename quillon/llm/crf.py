@@ -36,7 +36,7 @@ SIZE = 1 << BITS
 #: Bounds of the training sample: rows and UTF-8 bytes of each class.
 SAMPLE, SAMPLE_BYTES = 1000, 32 << 20
 #: Updates of the field, whatever the sample's size; folds that the curve is fitted on; words that may count by chance.
-UPDATES, FOLDS, CHANCE = 80, 3, 3.0
+UPDATES, FOLDS, CHANCE = 80, 3, 2.0
 #: Token features: whole word, first 4 and 5 bytes, last 4 bytes, previous word, next word.
 KINDS = 6
 _STOP = np.zeros(256, dtype=bool)
