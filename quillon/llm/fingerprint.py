@@ -25,7 +25,7 @@ from .common import arrow_batches, stash
 from .hashing import U, Words, chunks, mix, shingles
 from .superminhash import bands, distinct_sets, linked
 
-PERMUTATIONS, WORDS = 128, 5
+PERMUTATIONS, WORDS, BAND_ROWS = 128, 5, 5
 #: Fingerprint likeness below the threshold by which a pair is not looked at: over five standard errors under 0.8.
 SLACK = 0.19
 _A = (mix(np.arange(1, PERMUTATIONS + 1, dtype=U)) | U(1))[:, None]
@@ -93,7 +93,7 @@ def _sketch(words: int, rows: int):
     return run
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, rows: int = 5, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_ROWS, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(a, b), a < b, linked pairs of classes, and (doc_id, class) of all rows; a class is the smallest doc_id of equal shingle sets.
 
     Signature bands are joined and Jaccard is verified on the full texts. Within a band bucket
@@ -109,7 +109,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, rows: int = 5, words:
     return links, sketch.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("class"))
 
 
-def near_links(docs: DataFrame, threshold: float = 0.8, rows: int = 5, words: int = WORDS) -> DataFrame:
+def near_links(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_ROWS, words: int = WORDS) -> DataFrame:
     """The linked pairs of near_classes."""
     return near_classes(docs, threshold, rows, words)[0]
 
@@ -132,22 +132,36 @@ def _low(sig: np.ndarray, n: int) -> bytes:
     return sig.astype(np.uint8).tobytes() if n else b""
 
 
+def _banded(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two signatures share a band."""
+    x, y = (bands(np.atleast_2d(v & 255).astype(np.uint8), BAND_ROWS, PERMUTATIONS // BAND_ROWS) for v in (a, b))
+    return bool((x == y).any())
+
+
+def _verified(a: str, b: str, words: int) -> float:
+    """Jaccard similarity of the full shingle sets, which are not both empty."""
+    x, y = distinct_sets([t.encode("utf-8", "surrogatepass") for t in (a, b)], words)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
 def _study(texts: list[str], after: list[str], prints: list, words: int) -> list[tuple]:
-    """n_chars, SHA-256 of the edited text, both fingerprints, near_edited, near_next; prints are those of texts and, one place on, of after."""
+    """n_chars, SHA-256 of the edited text, both fingerprints, near_edited, near_next, jaccard_edited, jaccard_next; prints are those of texts and, one place on, of after."""
     out = []
     edits = [_edited(t, a) for t, a in zip(texts, after, strict=True)]
-    for t, e, (own, n), (changed, m), (following, k) in zip(texts, edits, prints[: len(texts)], _signed(edits, words), prints[1:], strict=True):
+    for t, e, f, (own, n), (changed, m), (following, k) in zip(texts, edits, after, prints[: len(texts)], _signed(edits, words), prints[1:], strict=True):
         digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest()
-        out.append((len(t), digest, _low(own, n), _low(changed, m), likeness(own & 255, n, changed & 255, m), likeness(own & 255, n, following & 255, k)))
+        exact = [_verified(t, other, words) if n and size and _banded(own, sig) else None for other, sig, size in ((e, changed, m), (f, following, k))]
+        out.append((len(t), digest, _low(own, n), _low(changed, m), likeness(own & 255, n, changed & 255, m), likeness(own & 255, n, following & 255, k), *exact))
     return out
 
 
 #: Columns of a study: those of an ordinary row, then what marks the first and the last row of a range.
 _STUDY = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("jaccard_edited", pa.float64()), ("jaccard_next", pa.float64())]
     + [("range", pa.int64()), ("place", pa.string()), ("text", pa.string())]
 )
-_STUDY_DDL = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, range long, place string, text string"
+_STUDY_DDL = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, jaccard_edited double, jaccard_next double, range long, place string, text string"
 
 
 def _ranges(words: int):
@@ -189,8 +203,8 @@ def _seams(words: int):
             texts, after = b.column("text").to_pylist(), b.column("following").to_pylist()
             rows = [x for t, a in zip(texts, after, strict=True) for x in _study([t], [a], _signed([t, a], words), words)]
             if rows:
-                columns = [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STUDY.types[1:7], strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=_STUDY.names[:7])
+                columns = [b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STUDY.types[1:9], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=_STUDY.names[:9])
 
     return run
 
@@ -201,7 +215,8 @@ def edit_study(docs: DataFrame, per_range: int | None = None, words: int = WORDS
     The next document is the one of the next smaller doc_id (after the last: of the largest).
     Rows are dealt once, to sorted ranges of doc_id, which are read as a stream: a task holds one
     batch, however large its range. The last row of a range meets the first one of the next range
-    in a join of one row a range. Null doc_ids follow all others; rows of equal doc_id are
+    in a join of one row a range. Where two signatures share a band, jaccard_edited and
+    jaccard_next give the similarity of the full shingle sets, else they are null. Null doc_ids follow all others; rows of equal doc_id are
     ordered by their text. per_range sets the number of ranges; without it Spark sizes them.
     """
     spark = docs.sparkSession
@@ -215,6 +230,6 @@ def edit_study(docs: DataFrame, per_range: int | None = None, words: int = WORDS
     by_range = Window.orderBy("range")
     following = ends["first"].select("range").withColumn("next", F.coalesce(F.lead("range").over(by_range), F.min("range").over(by_range)))
     seams = ends["last"].join(following, "range").join(ends["first"].select(F.col("range").alias("next"), F.col("text").alias("following")), "next")
-    seams = seams.select("doc_id", "text", "following").mapInArrow(_seams(words), ", ".join(_STUDY_DDL.split(", ")[:7]))
+    seams = seams.select("doc_id", "text", "following").mapInArrow(_seams(words), ", ".join(_STUDY_DDL.split(", ")[:9]))
     study = rows.where("place is null").select(seams.columns).unionByName(seams)
     return study.select(*[F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in study.dtypes])
