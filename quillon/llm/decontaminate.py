@@ -52,6 +52,11 @@ def hashed(k: int):
     return once(once(words("text"), lambda w: F.transform(w, lambda x: F.xxhash64(x))), lambda w: _runs(w, k, lambda r: F.xxhash64(r)))
 
 
+def _key(h, part):
+    """A partition's own value of a hash: only shingles that were dealt to the partition meet its signatures."""
+    return h.bitwiseXOR(F.shiftleft(F.lit(part) if isinstance(part, int) else part, 1).cast("long"))
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -71,18 +76,22 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: in
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
 
-    def of_part(runs, part: int, top: int, least: int):
-        near = F.filter(runs, lambda h: h <= top)
-        return F.when(F.size(runs) >= least, F.transform(near, lambda h: F.struct(F.lit(part).alias("part"), h.alias("h"))))
+    def searched(runs, near, rest):
+        """Keys (see _key) of the hashes that each partition looks at; partitions of lower bounds read what is left of the higher."""
+        (part, top, least), *lower = rest
+
+        def keys(low):
+            own = F.when(F.size(runs) >= least, F.transform(low, lambda h: _key(h, part))).otherwise(F.array().cast("array<long>"))
+            return F.concat(own, searched(runs, low, lower)) if lower else own
 
-    def searched(runs):
-        """(part, h) of the hashes that each partition looks at."""
-        return F.flatten(F.array_compact(F.array(*[of_part(runs, r["part"], r["top"], r["least"]) for r in parts])))
+        return once(F.filter(near, lambda h: h <= top), keys)
 
+    bounds = sorted(((r["part"], r["top"], r["least"]) for r in parts), key=lambda x: -x[1])
     runs = docs.select("doc_id", hashed(k).alias("runs"))
     # outer explodes: for plain ones the optimizer works out the arrays a second time, to filter on their size
-    joined = runs.select("doc_id", F.size("runs").alias("size"), F.explode_outer(once(F.col("runs"), searched)).alias("x")).select("doc_id", "size", "x.part", "x.h")
-    pairs = joined.join(_bounded(sketch, rows), ["part", "h"]).where("size >= need").select("item_id", "doc_id").distinct()
+    joined = runs.select("doc_id", F.size("runs").alias("size"), F.explode_outer(once(F.col("runs"), lambda r: searched(r, r, bounds))).alias("key"))
+    keyed = sketch.select("item_id", "need", _key(F.col("h"), F.col("part")).alias("key"))
+    pairs = joined.join(_bounded(keyed, rows), "key").where("size >= need").select("item_id", "doc_id").distinct()
     pairs = stash(pairs)
     wanted = pairs.select("doc_id").distinct()
     held = docs.join(_bounded(wanted, wanted.count()), "doc_id", "left_semi")
