@@ -185,7 +185,13 @@ def split_reshuffle_seeds(spark, d):
     return splits.reshuffled(graph.triples(spark, d), [7001, 7002, 7003]).groupBy("seed", "split", "moved").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
 
 
-@query()
+@query(
+    sql(
+        """, s AS (SELECT seed, CAST('0x' || md5(concat_ws(':', seed, head, relation, tail))[1:8] AS BIGINT) % 10 AS u FROM kg_triples, (SELECT unnest([7001, 7002, 7003]) AS seed))
+        SELECT CAST(seed AS INT) AS seed, CASE u WHEN 0 THEN 'valid' WHEN 1 THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM s GROUP BY ALL""",
+        "kg_triples",
+    )
+)
 def split_hash_seeds(spark, d):
     """80/10/10 sizes for three seeds in one job."""
     return splits.hash_split(graph.triples(spark, d).drop("split"), [7001, 7002, 7003]).groupBy("seed", "split").agg(F.count("*").alias("n"))
@@ -629,10 +635,10 @@ def ledger_upsert(spark, d):
     return ledger.upsert(graph.runs(spark, d), _new(spark, d))
 
 
-@query(sql(", w AS (SELECT DISTINCT m.method, r.model, r.aggregation, r.version FROM runs r, (SELECT DISTINCT method FROM runs UNION SELECT 'IMC') m) SELECT * FROM w WHERE NOT EXISTS (FROM runs r WHERE (w.method, w.model, w.aggregation, w.version) = (r.method, r.model, r.aggregation, r.version))", "runs"))
+@query(sql(", w AS (SELECT DISTINCT m.method, r.model, r.aggregation, r.version FROM runs r, (SELECT DISTINCT method FROM runs UNION SELECT 'tensor_softmax') m) SELECT * FROM w WHERE NOT EXISTS (FROM runs r WHERE (w.method, w.model, w.aggregation, w.version) = (r.method, r.model, r.aggregation, r.version))", "runs"))
 def ledger_pending(spark, d):
     runs = graph.runs(spark, d)
-    methods = runs.select("method").distinct().union(spark.createDataFrame([("IMC",)], "method string"))
+    methods = runs.select("method").distinct().union(spark.createDataFrame([("tensor_softmax",)], "method string"))
     wanted = runs.select("model", "aggregation", "version").distinct().crossJoin(F.broadcast(methods))
     return ledger.pending(wanted.select(*ledger.KEYS), runs)
 

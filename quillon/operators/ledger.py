@@ -13,8 +13,8 @@ from .splits import base_version
 
 KEYS = ["method", "model", "aggregation", "version"]
 HOUSEKEEPING = {*KEYS, "base_version", "train_time_s"}
-# The order of methods in reports; others come last.
-METHOD_ORDER = {"feature_translation": 0, "lr_concat": 1, "lr_subtract": 2, "rf_concat": 3, "rf_subtract": 4, "lgbm_concat": 5, "lgbm_subtract": 6, "DistMult": 7, "ComplEx": 8, "RotatE": 9, "IMC": 10, "TyleR": 11}
+#: The order of methods in reports, unless a caller gives its own; others come last.
+METHOD_ORDER = {"feature_translation": 0, "lr_concat": 1, "lr_subtract": 2, "rf_concat": 3, "rf_subtract": 4, "gbt_concat": 5, "gbt_subtract": 6, "distmult": 7, "complex": 8, "rotate": 9, "tensor_softmax": 10, "subgraph_network": 11}
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str] = KEYS) -> DataFrame:
