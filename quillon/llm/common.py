@@ -81,17 +81,31 @@ def _contract(batches):
         yield pd.DataFrame(forest(pdf["a"].tolist(), pdf["b"].tolist()), columns=["a", "b"]).astype("int64")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(vertex, component) for the vertices of edges(a, b); component is the smallest vertex reachable.
+#: Contracted edges up to so many rows (16 bytes each) are finished by union-find in one task; beyond, by distributed rounds.
+ONE_TASK = 200_000
 
-    Each batch of edges is first contracted by union-find, then large-star and small-star
-    rounds run as joins and aggregates until no edge changes. Hubs are split by the join.
+
+def _finish(batches):
+    left, right = [], []
+    for pdf in batches:
+        left += pdf["a"].tolist()
+        right += pdf["b"].tolist()
+    yield pd.DataFrame(forest(left, right), columns=["vertex", "component"]).astype("int64")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, one_task: int | None = None) -> DataFrame:
+    """(vertex, component) for the vertices of edges(a, b) that are not the smallest of theirs; component is the smallest vertex reachable.
+
+    Each batch of edges is first contracted by union-find. What is left is counted: up to
+    one_task rows go to one task, more to large-star and small-star rounds, which run as joins
+    and aggregates until no edge changes. Both give the same rows. Hubs are split by the join.
     Self loops and nulls are ignored; an empty input gives an empty result.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     e = e.mapInPandas(_contract, "a long, b long")  # a > b
     e = stash(e.distinct())
+    if e.count() <= (ONE_TASK if one_task is None else one_task):
+        return e.coalesce(1).mapInPandas(_finish, "vertex long, component long")
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -106,5 +120,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components: no fixed point within max_rounds")
-    assert spark is not None
     return e.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
