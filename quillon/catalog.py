@@ -739,8 +739,7 @@ def enclosing_sizes_all_pairs(spark, d):
     e = cut(graph.edges(spark, d))
     pairs = cut(with_position(e.select("relation", F.col("src").alias("head"), F.col("dst").alias("tail")), ["head", "relation", "tail"], "pair"))
     adj = cut(subgraph.symmetric(e))
-    size = lambda name, union: subgraph.enclosing(pairs, adj, 1, union).groupBy("pair").agg(F.count("*").alias(name))
-    out = pairs.join(size("enclosing", False), "pair").join(size("whole", True), "pair")
+    out = subgraph.sizes(pairs, adj, 1)
     return out.groupBy("relation").agg(F.count("*").alias("pairs"), F.sum("enclosing").alias("enclosing"), F.sum("whole").alias("whole"), F.max("whole").alias("largest"))
 
 
