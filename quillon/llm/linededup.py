@@ -9,7 +9,9 @@ template the smallest (doc_id, place) stays, its other lines are dropped.
 
 A null text has no lines and stays null. Blank lines belong to no template and stay, unless
 every line with text goes: then the text is empty. Rows equal in doc_id and text count as
-one document and are changed alike. Other columns pass through, whatever their names.
+one document and are changed alike. Lines and texts of any length are read whole; of lines
+that tie in doc_id and place the smaller row hash stays. Other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations

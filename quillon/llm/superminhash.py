@@ -4,7 +4,9 @@ A document's set holds the distinct runs of `words` words (A-Z lower-cased, word
 ASCII white space); shorter texts have their whole sequence as the one member; a null text
 or one without words has the empty set and is linked with nothing. Documents are linked if
 100 * |intersection| >= 100 * threshold * |union|, checked on the full sets. Rows that share
-a doc_id count as one document; a row without doc_id is linked with nothing and stays.
+a doc_id count as one document; a row without doc_id is linked with nothing and stays. Texts of
+any length are read whole; of equal sets the smallest doc_id stands for the class. Extra columns
+are ignored.
 
 Plan: equal sets are collapsed to one class first. Of every band bucket only the pairs
 (pivot, member) are verified, so a bucket of n costs n - 1. What stays apart within a bucket
