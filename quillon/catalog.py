@@ -739,7 +739,7 @@ def enclosing_sizes_all_pairs(spark, d):
     e = cut(graph.edges(spark, d))
     pairs = cut(with_position(e.select("relation", F.col("src").alias("head"), F.col("dst").alias("tail")), ["head", "relation", "tail"], "pair"))
     adj = cut(subgraph.symmetric(e))
-    out = subgraph.sizes(pairs, adj, 1)
+    out = subgraph.one_hop_sizes(pairs, adj)
     return out.groupBy("relation").agg(F.count("*").alias("pairs"), F.sum("enclosing").alias("enclosing"), F.sum("whole").alias("whole"), F.max("whole").alias("largest"))
 
 
