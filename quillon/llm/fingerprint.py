@@ -132,10 +132,9 @@ def _low(sig: np.ndarray, n: int) -> bytes:
     return sig.astype(np.uint8).tobytes() if n else b""
 
 
-def _banded(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two signatures share a band."""
-    x, y = (bands(np.atleast_2d(v & 255).astype(np.uint8), BAND_ROWS, PERMUTATIONS // BAND_ROWS) for v in (a, b))
-    return bool((x == y).any())
+def _keys(signed: list) -> np.ndarray:
+    """Band keys of signatures, a row each."""
+    return bands(np.stack([sig for sig, _ in signed]) & 255, BAND_ROWS, PERMUTATIONS // BAND_ROWS)
 
 
 def _verified(a: str, b: str, words: int) -> float:
@@ -147,11 +146,16 @@ def _verified(a: str, b: str, words: int) -> float:
 
 def _study(texts: list[str], after: list[str], prints: list, words: int) -> list[tuple]:
     """n_chars, SHA-256 of the edited text, both fingerprints, near_edited, near_next, jaccard_edited, jaccard_next; prints are those of texts and, one place on, of after."""
+    if not texts:
+        return []
     out = []
     edits = [_edited(t, a) for t, a in zip(texts, after, strict=True)]
-    for t, e, f, (own, n), (changed, m), (following, k) in zip(texts, edits, after, prints[: len(texts)], _signed(edits, words), prints[1:], strict=True):
+    signed = _signed(edits, words)
+    mine, changes = _keys(prints), _keys(signed)
+    shared = np.stack([(mine[:-1] == changes).any(axis=1), (mine[:-1] == mine[1:]).any(axis=1)], axis=1).tolist()
+    for t, e, f, (own, n), (changed, m), (following, k), meets in zip(texts, edits, after, prints[: len(texts)], signed, prints[1:], shared, strict=True):
         digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest()
-        exact = [_verified(t, other, words) if n and size and _banded(own, sig) else None for other, sig, size in ((e, changed, m), (f, following, k))]
+        exact = [_verified(t, other, words) if n and size and near else None for other, size, near in ((e, m, meets[0]), (f, k, meets[1]))]
         out.append((len(t), digest, _low(own, n), _low(changed, m), likeness(own & 255, n, changed & 255, m), likeness(own & 255, n, following & 255, k), *exact))
     return out
 
