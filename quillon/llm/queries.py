@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkdedup, crf, decontaminate, fingerprint, langid, linededup, packing, pii, superminhash, wrapper
+from . import chunkdedup, crf, decontaminate, fingerprint, langid, linededup, merkle, packing, pii, superminhash, wrapper
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.study(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES = {
         op8_minhash_decontamination,
         op9_template_line_dedup,
         op10_crf_toxicity,
+        op11_merkle_manifest,
     )
 }
 
@@ -106,4 +111,45 @@ SELECT doc_id, CASE WHEN places IS NULL THEN text WHEN len(list_filter(rest, lam
        CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(c AS BIGINT) AS n_dropped FROM out
 """
 
-ORACLE_SQL = {"op8_minhash_decontamination": _OP8, "op9_template_line_dedup": _OP9}
+#: CRC-32 of a text without its last inversion: bytes through a table of 256 that a rule makes.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS tb FROM range(0, 256) r(b))"
+
+
+def _crc(text: str) -> str:
+    """Unsigned CRC-32 (of the polynomial that zlib has) of a text; needs the table crc beside it."""
+    data = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2] AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda c, b: CAST(xor(c >> 8, tb[(xor(c, b) & 255) + 1]) AS BIGINT), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _merkle(levels: int = 6, above: int = 2) -> str:
+    """The manifest with the levels written out: parts of up to 8 ** levels rows, 8 ** above parts."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def nodes(name: str, k: int) -> str:
+        run = "PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN"
+        return f"""{name}m{k} AS (SELECT g, i, c, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM {name}{k}),
+        {name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(c) + 7) // 8 AS c FROM {name}{k} GROUP BY g, i // 8)"""
+
+    own = " || ".join(field(c) for c in merkle.FIELDS)
+    other = " || ".join(field(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')" if c == "text" else c) for c in merkle.FIELDS)
+    parts = [f"{_CRC_TABLE}, x AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, sha256({own}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {_crc('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN sha256({other}) END AS other FROM documents, crc)"]
+    parts.append("y AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS c FROM x), n0 AS (SELECT g, i, leaf AS h, c FROM y)")
+    parts += [nodes("n", k) for k in range(levels)]
+    parts.append(f"s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place FROM n{levels}), r0 AS (SELECT '' AS g, place AS i, subroot AS h, count(*) OVER () AS c FROM s)")
+    parts += [nodes("r", k) for k in range(above)]
+    folded, joins, siblings = "coalesce(y.other, y.leaf)", "JOIN s USING (g)", []
+    for name, n, at, tree in (("n", levels, "y.i", "y.g"), ("r", above, "s.place", "''")):
+        for k in range(n):
+            m = f"{name}m{k}"
+            joins += f" JOIN {m} ON {m}.g = {tree} AND {m}.i = {at} // {8**k}"
+            siblings.append(f"{m}.pre || {m}.post")
+    steps = [f"f0 AS (SELECT y.doc_id, y.leaf, s.subroot, {' || '.join(siblings)} AS siblings, {folded} AS f, " + ", ".join(f"{name}m{k}.c AS {name}c{k}, {name}m{k}.pre AS {name}a{k}, {name}m{k}.post AS {name}b{k}" for name, n in (("n", levels), ("r", above)) for k in range(n)) + f" FROM y {joins})"]
+    order = [f"{name}{{}}{k}" for name, n in (("n", levels), ("r", above)) for k in range(n)]
+    for j, c in enumerate(order):
+        steps.append(f"f{j + 1} AS (SELECT * REPLACE (CASE WHEN {c.format('c')} > 1 THEN sha256({c.format('a')} || f || {c.format('b')}) ELSE f END AS f) FROM f{j})")
+    return f"WITH {', '.join(parts + steps)} SELECT doc_id, leaf, subroot, r{above}.h AS root, sha256(siblings) AS proof_sha256, f AS folded_root, f = r{above}.h AS verified FROM f{len(order)}, r{above}"
+
+
+ORACLE_SQL = {"op11_merkle_manifest": _merkle(), "op8_minhash_decontamination": _OP8, "op9_template_line_dedup": _OP9}
