@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkdedup, crf, decontaminate, fingerprint, langid, linededup, merkle, packing, pii, superminhash, wrapper
+from . import chunkdedup, crf, decontaminate, fingerprint, langid, licensescan, linededup, merkle, packing, pii, superminhash, wrapper
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.study(table(spark, sf_dir, "documents"))
 
 
+def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensescan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES = {
         op9_template_line_dedup,
         op10_crf_toxicity,
         op11_merkle_manifest,
+        op12_license_templates,
     )
 }
 
