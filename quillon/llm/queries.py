@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkdedup, crf, decontaminate, fingerprint, langid, licensescan, linededup, merkle, packing, pii, superminhash, wrapper
+from . import chunkdedup, crf, decontaminate, fingerprint, langid, licensescan, linededup, merkle, packing, pii, spelling, superminhash, wrapper
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensescan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted(table(spark, sf_dir, "documents"), every=199))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES = {
         op10_crf_toxicity,
         op11_merkle_manifest,
         op12_license_templates,
+        op13_spelling_variants,
     )
 }
 
@@ -157,4 +162,19 @@ def _merkle(levels: int = 6, above: int = 2) -> str:
     return f"WITH {', '.join(parts + steps)} SELECT doc_id, leaf, subroot, r{above}.h AS root, sha256(siblings) AS proof_sha256, f AS folded_root, f = r{above}.h AS verified FROM f{len(order)}, r{above}"
 
 
-ORACLE_SQL = {"op11_merkle_manifest": _merkle(), "op8_minhash_decontamination": _OP8, "op9_template_line_dedup": _OP9}
+#: Words at one deleted code point: w is v without one, v is w without one, or both without the same place are alike.
+_OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(x, '{merkle.UPPER}', '{merkle.LOWER}') AS w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS x FROM documents) GROUP BY ALL),
+h AS (SELECT w, c, {_crc("(doc_id || ':' || w)")} AS h FROM r, crc),
+v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN w[:CAST(h % length(w) AS INT)] || w[CAST(h % length(w) AS INT) + 2:] ELSE w END AS word, c FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v), d AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM p),
+e AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+      UNION SELECT a.word, b.word, b.n FROM d a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM d a JOIN v b ON a.rest = b.word),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m, first(other ORDER BY m DESC, other) AS best FROM e GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN best END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS tip, 0 AS k FROM f UNION ALL SELECT t.word, f.form, k + 1 FROM t JOIN f ON f.word = t.tip WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(tip, k) AS root FROM t GROUP BY word) USING (word)
+"""
+
+ORACLE_SQL = {"op13_spelling_variants": _OP13, "op11_merkle_manifest": _merkle(), "op8_minhash_decontamination": _OP8, "op9_template_line_dedup": _OP9}
