@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .functions.lineage import cut
 from .functions.ordering import with_position
-from .operators import classifiers, cpd, features, kge, ledger, projector, ranking, splits, subgraph, vocab
+from .operators import boosting, classifiers, cpd, features, kge, ledger, projector, ranking, splits, subgraph, vocab
 from .plans import graph
 from .plans.graph import sql
 
@@ -605,21 +605,19 @@ def mlp_projector_training(spark, d):
     return spark.createDataFrame(list(enumerate(curve)), "epoch int, loss double")
 
 
-def _classifier_query(method: str, build=None):
+def _classifier_query(method: str, score=None):
     def run(spark, d):
         t = graph.triples(spark, d).withColumn("label", F.col("relation"))
-        how, make = classifiers.METHODS[method]
-        data = classifiers.prepared(t, graph.entities(spark, d), how).persist()
-        out = classifiers.fit_scores(data, (build or make)(data.count()), CLASSES).where("split = 'test'")
+        out = (score or classifiers.METHODS[method])(t, graph.entities(spark, d), CLASSES).where("split = 'test'")
         return _rounded(ranking.metrics(out.select(V.rank_of(F.col("probs"), F.col("label")).alias("rank"))))
 
     QUERIES[f"{method}_metrics"] = run
 
 
-_classifier_query("lr_concat", lambda n: classifiers.logistic(n, iterations=1000))
-_classifier_query("lr_subtract", lambda n: classifiers.logistic(n, iterations=1000))
-for _method in ("rf_concat", "rf_subtract", "gbt_concat", "gbt_subtract"):
-    _classifier_query(_method)
+for _how in ("concat", "subtract"):
+    _classifier_query(f"lr_{_how}", lambda t, f, n, how=_how: classifiers.trained(t, f, how, lambda m: classifiers.logistic(m, iterations=1000), n))
+    _classifier_query(f"rf_{_how}")
+    _classifier_query(f"gbt_{_how}", lambda t, f, n, how=_how: classifiers.boosted(t, f, how, boosting.Settings(rounds=15), n))
 
 # ---- ledger
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..functions.vectors import rank_of
+from . import boosting
 from .features import pairs
 from .ranking import metrics, translation_scores, translation_vectors
 
@@ -27,11 +28,6 @@ def forest(seed: int = 0, trees: int = 20, depth: int = 15) -> RandomForestClass
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt", bootstrap=True, seed=seed)
 
 
-def boosted(seed: int = 0, rounds: int = 20, depth: int = 5) -> OneVsRest:
-    """Gradient-boosted trees, one binary model a class: MLlib's boosting is binary."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed), parallelism=4)
-
-
 def fit_scores(data: DataFrame, estimator, classes: int) -> DataFrame:
     """label, split, probs over 0..classes-1: trained on the dense index of the classes seen in training, absent ones get 0."""
     train = data.where("split = 'train'")
@@ -47,20 +43,38 @@ def fit_scores(data: DataFrame, estimator, classes: int) -> DataFrame:
     return out.withColumn("__p", probs).withColumn("probs", F.transform(at, lambda i: F.when(i > 0, F.get("__p", i - 1)).otherwise(0.0))).select("label", "split", "probs")
 
 
+def trained(triples: DataFrame, features: DataFrame, how: str, make, classes: int) -> DataFrame:
+    """label, split, probs by an MLlib estimator, made for the number of training rows."""
+    data = prepared(triples, features, how).persist()
+    try:
+        return cut(fit_scores(data, make(data.where("split = 'train'").count()), classes))
+    finally:
+        data.unpersist()
+
+
+def boosted(triples: DataFrame, features: DataFrame, how: str, settings: boosting.Settings, classes: int) -> DataFrame:
+    """label, split, probs of validation and test rows by boosted trees; no rows without training rows."""
+    spark = triples.sparkSession
+    data = cut(pairs(triples, features, how).select("x", F.col("label").cast("int").alias("label"), "split"))
+    found = boosting.fit(data, classes, settings)[1]
+    return found if found is not None else spark.createDataFrame([], "label int, split string, probs array<double>")
+
+
+#: name -> scorer of (triples(head, tail, label, split), features, classes): label, split, probs.
 METHODS = {
-    "lr_concat": ("concat", lambda n: logistic(n)),
-    "lr_subtract": ("subtract", lambda n: logistic(n)),
-    "rf_concat": ("concat", lambda n: forest()),
-    "rf_subtract": ("subtract", lambda n: forest()),
-    "gbt_concat": ("concat", lambda n: boosted()),
-    "gbt_subtract": ("subtract", lambda n: boosted()),
+    "lr_concat": lambda t, f, n: trained(t, f, "concat", logistic, n),
+    "lr_subtract": lambda t, f, n: trained(t, f, "subtract", logistic, n),
+    "rf_concat": lambda t, f, n: trained(t, f, "concat", lambda _: forest(), n),
+    "rf_subtract": lambda t, f, n: trained(t, f, "subtract", lambda _: forest(), n),
+    "gbt_concat": lambda t, f, n: boosted(t, f, "concat", boosting.Settings(), n),
+    "gbt_subtract": lambda t, f, n: boosted(t, f, "subtract", boosting.Settings(), n),
 }
 
 
 def baselines(triples: DataFrame, features: DataFrame, classes: int, methods: dict | None = None) -> DataFrame:
     """method, n, mrr, hits_1, hits_3, hits_10 on the test split of triples(head, tail, relation, split): feature translation, then every method.
 
-    methods (name -> (pair features, estimator of the number of training rows)) are METHODS unless given.
+    methods (name -> scorer) are METHODS unless given.
     """
     ranked = lambda df, label, scores: metrics(df.select(rank_of(F.col(scores), F.col(label)).alias("rank")))
     spark = triples.sparkSession
@@ -69,10 +83,7 @@ def baselines(triples: DataFrame, features: DataFrame, classes: int, methods: di
     f = features.select("entity", "features")
     ends = triples.where("split = 'test'").select("head", "tail", "relation").join(f.toDF("head", "fh"), "head").join(f.toDF("tail", "ft"), "tail")
     out = ranked(translation_scores(ends, vectors), "relation", "scores").withColumn("method", F.lit("feature_translation"))
-    for name, (how, make) in (methods or METHODS).items():
-        data = prepared(triples.withColumn("label", F.col("relation")), features, how).persist()
-        scored = fit_scores(data, make(data.where("split = 'train'").count()), classes).where("split = 'test'")
-        row = cut(ranked(scored, "label", "probs"))
-        data.unpersist()
-        out = out.unionByName(row.withColumn("method", F.lit(name)))
+    for name, score in (methods or METHODS).items():
+        scored = score(triples.withColumn("label", F.col("relation")), features, classes).where("split = 'test'")
+        out = out.unionByName(cut(ranked(scored, "label", "probs")).withColumn("method", F.lit(name)))
     return out

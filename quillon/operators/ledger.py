@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.versioned import Versioned
 from .splits import base_version
 
 KEYS = ["method", "model", "aggregation", "version"]
@@ -23,15 +24,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def write_upsert(new: DataFrame, path: str, keys: list[str] = KEYS) -> None:
-    """Upsert into a Parquet ledger: the merged table is written beside it, then takes its place."""
-    spark = new.sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
-    here, beside = jvm.Path(path), jvm.Path(path + ".next")
-    fs = here.getFileSystem(spark._jsc.sc().hadoopConfiguration())
-    merged = upsert(spark.read.parquet(path), new, keys) if fs.exists(here) else new
-    merged.write.mode("overwrite").parquet(str(beside))
-    fs.delete(here, True)
-    fs.rename(beside, here)
+    """Upsert into the ledger at path, a versioned table: the merged rows become its next version, all or nothing."""
+    table = Versioned(new.sparkSession, path)
+    table.write(upsert(table.read(), new, keys) if table.exists() else new)
+
+
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that write_upsert keeps at path."""
+    return Versioned(spark, path).read()
 
 
 def completed(ledger: DataFrame) -> DataFrame:

@@ -45,11 +45,14 @@ def read_ordered(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(triples: DataFrame, directory: str, by: list[str] | None = None) -> None:
-    """Tab-separated files in directories by version or seed, and split; pos, if there, orders each file."""
+    """Tab-separated files in directories by version or seed, and split; pos, if there, orders each file.
+
+    Directories that the triples have no rows for, such as other seeds', stay as they are.
+    """
     keys = [*(by or []), "split"]
     out = triples.repartition(*[F.col(k) for k in keys])
     order = keys + (["pos"] if "pos" in triples.columns else [])
-    out.sortWithinPartitions(*order).select(*keys, "head", "relation", "tail").write.mode("overwrite").partitionBy(*keys).option("sep", "\t").csv(directory)
+    out.sortWithinPartitions(*order).select(*keys, "head", "relation", "tail").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).option("sep", "\t").csv(directory)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -141,16 +141,18 @@ def test_windowed_means_drop_late_rows(spark, tmp_path):
 
 
 def test_seven_baselines_in_one_table(spark):
-    from quillon.operators import classifiers
+    from quillon.operators import boosting, classifiers
 
     rng = np.random.default_rng(6)
     v = rng.normal(size=(40, 4))
     f = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "entity long, features array<double>")
     rows = [(int(a), int(b), int(v[a, 0] > v[b, 0]) + 2 * int(v[a, 1] > 0), "train" if k % 5 else "test") for k, (a, b) in enumerate(rng.integers(0, 40, (300, 2))) if a != b]
     t = spark.createDataFrame(rows, "head long, tail long, relation int, split string")
-    small = {"lr_concat": ("concat", lambda n: classifiers.logistic(n, 1.0, 30)), "lr_subtract": ("subtract", lambda n: classifiers.logistic(n, 1.0, 30))}
-    small |= {f"rf_{h}": (h, lambda n: classifiers.forest(trees=5, depth=5)) for h in ("concat", "subtract")}
-    small |= {f"gbt_{h}": (h, lambda n: classifiers.boosted(rounds=2, depth=3)) for h in ("concat", "subtract")}
+    small = {}
+    for how in ("concat", "subtract"):
+        small[f"lr_{how}"] = lambda t, f, n, how=how: classifiers.trained(t, f, how, lambda m: classifiers.logistic(m, 1.0, 30), n)
+        small[f"rf_{how}"] = lambda t, f, n, how=how: classifiers.trained(t, f, how, lambda m: classifiers.forest(trees=5, depth=5), n)
+        small[f"gbt_{how}"] = lambda t, f, n, how=how: classifiers.boosted(t, f, how, boosting.Settings(rounds=3, depth=3), n)
     assert set(small) == set(classifiers.METHODS)
     got = {r["method"]: r for r in classifiers.baselines(t, f, 5, small).collect()}
     assert set(got) == {"feature_translation", *small}

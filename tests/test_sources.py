@@ -68,7 +68,7 @@ def test_upsert_replaces_and_adds(spark, tmp_path):
     path = str(tmp_path / "ledger")
     ledger.write_upsert(spark.createDataFrame([("m", "x", "sum", "v1", 0.1), ("n", "x", "sum", "v1", 0.2)], schema), path)
     ledger.write_upsert(spark.createDataFrame([("m", "x", "sum", "v1", 0.9), ("o", "x", "sum", "v1", 0.3)], schema), path)
-    assert {r["method"]: r["mrr"] for r in spark.read.parquet(path).collect()} == {"m": 0.9, "n": 0.2, "o": 0.3}
+    assert {r["method"]: r["mrr"] for r in ledger.read_all(spark, path).collect()} == {"m": 0.9, "n": 0.2, "o": 0.3}
 
 
 def test_tuning_rows_survive_one_by_one(spark, tmp_path):
