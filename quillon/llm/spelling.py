@@ -36,8 +36,8 @@ _LOW = {x: x + 32 for x in range(ord("A"), ord("Z") + 1)}
 LEAST = 6
 #: Code points of a text that are cut into words at once; words a task counts before it hands them on.
 PART, HELD = 1 << 20, 200_000
-#: Words of one end that a shard holds, and words that a shard holds about.
-HOT, SHARD = 20_000, 40_000
+#: Halves of one end that a shard holds, and halves that a shard holds about.
+HOT, SHARD = 20_000, 5_000
 
 
 def _parts(text: str) -> Iterator[str]:
