@@ -805,5 +805,7 @@ def subgraph_edges_without_target(spark, d):
     return inside.join(F.broadcast(pairs), "pair").groupBy("pair").agg(F.count("*").alias("edges"), F.count_if(F.col("src") == F.col("head")).alias("out_head"))
 
 
+from . import catalog_network  # noqa: E402, F401  registers its queries
+
 #: Queries that train: they take minutes, and come last.
-TRAINING = [n for n in QUERIES if n.endswith("_training") or n == "cpd_grid_search" or n.startswith(("lr_", "rf_", "gbt_"))]
+TRAINING = [n for n in QUERIES if n.endswith("_training") or n in ("cpd_grid_search", "subgraph_network_conformal") or n.startswith(("lr_", "rf_", "gbt_"))]

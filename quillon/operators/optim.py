@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .cpd import block_sum
 
@@ -34,6 +36,30 @@ class Adam:
         return out
 
 
+def uniform(key: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """keys x width draws from [0, 1) that depend on key, column and seed only, wherever the row stands."""
+    u = np.uint64
+    x = key.astype(np.int64).view(u)[:, None] * u(0x9E3779B97F4A7C15) + np.arange(1, width + 1, dtype=u) * u(0xD1B54A32D192ED03) + u(seed * 0x8CB92BA72F3D8DD7 % (1 << 64))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> u(shift))) * u(by)
+    return (x >> u(11)).astype(float) / (1 << 53)
+
+
+def total(rows: DataFrame, kernel: Callable) -> np.ndarray:
+    """Sum over all tasks of kernel(frames), a vector or None; empty if all gave None."""
+
+    def run(frames):
+        got = kernel(frames)
+        if got is not None:
+            yield pd.DataFrame({"pos": np.arange(len(got), dtype=np.int32), "v": got})
+
+    cells = rows.mapInPandas(run, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()  # as many rows as the vector has cells
+    out = np.zeros(len(cells))
+    for c in cells:
+        out[c["pos"]] = c["v"]
+    return out
+
+
 def flat(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 

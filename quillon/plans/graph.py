@@ -18,18 +18,28 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entity"), F.col("embedding").cast("array<double>").alias("features"), "label")
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """head, tail, relation (10 * label of head + label of tail), split; distinct pairs of different entities."""
+def _labelled_pairs(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """head, tail, relation (10 * label of head + label of tail), split of distinct pairs(head, tail) of different entities, whose keys wrap around."""
     e = entities(spark, sf_dir)
     n = e.agg(F.count("*").alias("n"))
-    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").crossJoin(F.broadcast(n))  # one row
-    pairs = pairs.select((F.col("l_partkey") % F.col("n")).alias("head"), (F.col("l_orderkey") % F.col("n")).alias("tail")).where("head <> tail").distinct()
+    pairs = pairs.toDF("h", "t").crossJoin(F.broadcast(n))  # one row
+    pairs = pairs.select((F.col("h") % F.col("n")).alias("head"), (F.col("t") % F.col("n")).alias("tail")).where("head <> tail").distinct()
     labels = e.select("entity", "label")
     out = pairs.join(labels.toDF("head", "lh"), "head").join(labels.toDF("tail", "lt"), "tail")
     b = (F.col("head") * 7919 + F.col("tail") * 104729) % 10
     return out.select("head", "tail", (10 * F.col("lh") + F.col("lt")).cast("int").alias("relation"), F.when(b == 0, "valid").when(b == 1, "test").otherwise("train").alias("split"))
 
 
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """head, tail, relation, split: entities that lineitem brings together, a dense graph."""
+    return _labelled_pairs(spark, sf_dir, table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """head, tail, relation, split: entities that orders brings together, a sparser graph."""
+    return _labelled_pairs(spark, sf_dir, table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, relation, dst: the relations between the warehouse tables, keys prefixed by their table."""
 
@@ -67,14 +77,19 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("method", "model", "aggregation", "version").agg(F.round(F.avg("value"), 6).alias("mrr"))
 
 
+def _pairs_sql(source: str, head: str, tail: str) -> str:
+    return f"""
+        SELECT head, tail, CAST(10 * h.label + t.label AS INT) AS relation,
+               CASE (head * 7919 + tail * 104729) % 10 WHEN 0 THEN 'valid' WHEN 1 THEN 'test' ELSE 'train' END AS split
+        FROM (SELECT DISTINCT {head} % n AS head, {tail} % n AS tail FROM {source}, (SELECT count(*) AS n FROM embeddings) WHERE {head} % n <> {tail} % n) p
+        JOIN embeddings h ON h.vec_id = head JOIN embeddings t ON t.vec_id = tail"""
+
+
 #: The same views as DuckDB common table expressions.
 SQL = {
     "kg_entities": "SELECT vec_id AS entity, CAST(embedding AS DOUBLE[]) AS features, label FROM embeddings",
-    "kg_triples": """
-        SELECT head, tail, CAST(10 * h.label + t.label AS INT) AS relation,
-               CASE (head * 7919 + tail * 104729) % 10 WHEN 0 THEN 'valid' WHEN 1 THEN 'test' ELSE 'train' END AS split
-        FROM (SELECT DISTINCT l_partkey % n AS head, l_orderkey % n AS tail FROM lineitem, (SELECT count(*) AS n FROM embeddings) WHERE l_partkey % n <> l_orderkey % n) p
-        JOIN embeddings h ON h.vec_id = head JOIN embeddings t ON t.vec_id = tail""",
+    "kg_triples": _pairs_sql("lineitem", "l_partkey", "l_orderkey"),
+    "kg_links": _pairs_sql("orders", "o_custkey", "o_orderkey"),
     "kg_edges": """
         SELECT 'c' || c_custkey AS src, 'located_in' AS relation, 'n' || c_nationkey AS dst FROM customer
         UNION SELECT 's' || s_suppkey, 'located_in', 'n' || s_nationkey FROM supplier
