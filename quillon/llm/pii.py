@@ -5,16 +5,23 @@ Found are e-mail addresses, phone numbers, IPv4 addresses, payment cards (Luhn),
 and persons after a title, and then by the same family or full name anywhere in the document.
 Mentions of a document that share a family name are one person where titles and given names
 allow it: the latest such full name before the mention, else the first after it; a mention of
-the family name alone gets that part of the person's surrogate. A value is normalised (digits of a number, lower-cased address,
-folded name), and its surrogate derives from an HMAC of kind, value and attempt: same type,
-length and format, valid check digits, gender of the title, script of the name. One value has
-one surrogate in all documents, however it is written (a person: the full name and the gender
-its titles tell, or the family name where a document has no more); two values never share one, and no
-surrogate is a value of the corpus: colliding values take further attempts until none collide.
+the family name alone gets that part of the person's surrogate. A value is normalised (digits
+of a number, lower-cased address, folded name), and its surrogate derives from an HMAC of kind,
+value and attempt: same type, length and format, valid check digits, gender, script of the name.
+One value has one surrogate in all documents, however it is written; two values never share one,
+and no surrogate is a value of the corpus: colliding values take further attempts until none do.
+
+A person's surrogate has two parts. The family name is a value of its own, one to one over the
+corpus, so people of different families stay apart even where only the family is written, and no
+surrogate is a family of the corpus. The given name differs among the people of a family. A full
+name whose titles tell one gender anywhere in the corpus has that gender everywhere ("Dr Anna
+Smith" is the Anna Smith that is "Ms" elsewhere); where both genders are told, they are two people,
+and mentions that tell none are a third.
+
 Phone numbers need separators or a plus sign; secrets need a key name before them.
 Where a format has no free value left, the surrogate of any kind is longer, by a digit, a
-character or a syllable at every WIDEN-th attempt (an address of a private range: any other
-range), so that attempts always come to an end.
+character, a syllable or a second given name at every WIDEN-th attempt (an address of a private
+range: any other range), so that attempts always come to an end. There is no default key.
 
 Null and empty texts have no entities; a text of any length is searched whole. Of values that
 meet at one surrogate the first attempt, then the smallest value keeps it. Repeated rows are
@@ -55,15 +62,13 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII),
     "ip": re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)", re.ASCII),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII),
-    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,14}(?:[ .-]\d{2,8}){0,4}|(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w-])", re.ASCII),
+    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,14}(?:[ .-]\d{2,8}){0,4}|0\d{2,4}[ .-]\d{5,8}|(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w-])", re.ASCII),
     "person": re.compile(rf"(?<!\w)({_TITLE})\.? ({_WORD}(?: {_WORD})?)"),
 }
 _PARTED = re.compile(r"[ .-]+[0-9]+$")
 _DIGIT = re.compile(r"[0-9]")
 #: A value that still collides after so many attempts gets a longer surrogate.
 WIDEN = 8
-#: Rounds of attempts that keep the formats' lengths, times WIDEN; formats grow tenfold or more in each.
-ROUNDS = 40 * WIDEN
 
 
 def luhn(digits: str) -> bool:
@@ -224,11 +229,12 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind in ("phone", "ssn"):
         keep = max(0, len(value) - 10)  # country code
         return value[:keep] + "".join(str(2 + s.below(8)) if i == 0 else str(s.below(10)) for i in range(len(value) - keep + more))
-    gender, _, name = value.partition(":")
+    gender, _, name = value.rpartition(":")
     script = "cyrillic" if "CYRILLIC" in unicodedata.name(name[0], "") else "latin"
-    given = GIVEN[script, gender if gender != "u" else "mf"[s.below(2)]]
-    family = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2) + more)).capitalize()
-    return family if len(name.split()) == 1 else given[s.below(len(given))] + " " + family
+    if kind == "family":
+        return "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + s.below(2) + more)).capitalize()
+    given = GIVEN[script, gender if gender != "u" else "mf"[s.below(2)]]  # kind given
+    return "-".join(given[s.below(len(given))] for _ in range(1 + more))
 
 
 def render(kind: str, original: str, replacement: str) -> str:
@@ -259,28 +265,50 @@ def entities(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
-def assign(values: DataFrame, key: bytes, max_rounds: int = ROUNDS) -> DataFrame:
-    """kind, value, surrogate for distinct (kind, value): one to one, and never a value of the table."""
+def distinct(values: DataFrame, key: bytes) -> DataFrame:
+    """kind, scope, value, surrogate for distinct (kind, scope, value): one to one in a scope, and never a value of the kind."""
 
     @F.pandas_udf("string")
     def make(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(key, k, v, a) for k, v, a in zip(kind, value, attempt, strict=True)], dtype=object)
 
+    # families are written folded and their surrogates are not
+    same = F.when(F.col("kind") == "family", F.lower("surrogate")).otherwise(F.col("surrogate"))
     table = stash(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", make("kind", "value", "attempt")))
-    real = values.select("kind", F.col("value").alias("surrogate")).withColumn("real", F.lit(True))
-    for _ in range(max_rounds):
-        firsts = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("w"), F.count("*").alias("n"))
-        again = table.join(firsts.where("n > 1").select("kind", "surrogate", F.col("w.value").alias("winner")), ["kind", "surrogate"], "left").join(real, ["kind", "surrogate"], "left")
-        again = again.withColumn("bad", F.col("real").isNotNull() | (F.col("winner") != F.col("value")))
-        again = stash(again.select("kind", "value", "surrogate", "attempt", F.coalesce("bad", F.lit(False)).alias("bad")))
+    real = values.select("kind", F.col("value").alias("same")).distinct().withColumn("real", F.lit(True))
+    while True:  # formats grow, so this ends
+        firsts = table.groupBy("kind", "scope", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("w"), F.count("*").alias("n"))
+        again = table.join(firsts.where("n > 1").select("kind", "scope", "surrogate", F.col("w.value").alias("winner")), ["kind", "scope", "surrogate"], "left")
+        again = again.withColumn("same", same).join(real, ["kind", "same"], "left").drop("same")
+        again = again.withColumn("bad", F.coalesce(F.col("real").isNotNull() | (F.col("winner") != F.col("value")), F.lit(False)))
+        again = stash(again.select("kind", "scope", "value", "surrogate", "attempt", "bad"))
         if again.where("bad").isEmpty():
-            return again.select("kind", "value", "surrogate")
+            return again.select("kind", "scope", "value", "surrogate")
         attempt = F.col("attempt") + F.col("bad").cast("int")
-        table = stash(again.select("kind", "value", attempt.alias("attempt"), F.when(F.col("bad"), make("kind", "value", attempt)).otherwise(F.col("surrogate")).alias("surrogate")))
-    raise RuntimeError("surrogates still collide: the formats leave too few distinct values")
-
-
-def changed(docs: DataFrame, key: bytes = b"quillon") -> DataFrame:
+        table = stash(again.select("kind", "scope", "value", attempt.alias("attempt"), F.when(F.col("bad"), make("kind", "value", attempt)).otherwise(F.col("surrogate")).alias("surrogate")))
+
+
+def assign(values: DataFrame, key: bytes) -> DataFrame:
+    """kind, value, surrogate for distinct (kind, value): a person's is given name and family, each made by itself."""
+    person = F.col("kind") == "person"
+    name = F.substring_index("value", ":", -1)
+    known = values.withColumn("name", F.when(person, name)).withColumn("family", F.substring_index("name", " ", -1)).withColumn("gender", F.substring_index("value", ":", 1))
+    told = known.where(person & (F.col("gender") != "u")).groupBy("name").agg(F.min("gender").alias("least"), F.max("gender").alias("most"))
+    known = known.join(told, "name", "left")
+    gender = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.col("gender"))
+    known = known.withColumn("given", F.when(person & (F.col("name") != F.col("family")), F.concat(gender, F.lit(":"), "name")))
+    known = stash(known.select("kind", "value", "family", "given"))
+    parts = known.where(~person).select("kind", F.lit("").alias("scope"), "value")
+    parts = parts.unionByName(known.where(person).select(F.lit("family").alias("kind"), F.lit("").alias("scope"), F.col("family").alias("value")).distinct())
+    parts = parts.unionByName(known.where("given is not null").select(F.lit("given").alias("kind"), F.col("family").alias("scope"), F.col("given").alias("value")).distinct())
+    made = distinct(parts, key)
+    plain = known.where(~person).join(made.select("kind", "value", "surrogate"), ["kind", "value"]).select("kind", "value", "surrogate")
+    of = lambda kind, name: made.where(F.col("kind") == kind).select(F.col("value").alias(kind), F.col("surrogate").alias(name))
+    people = known.where(person).join(of("family", "f"), "family").join(of("given", "g"), "given", "left")
+    return plain.unionByName(people.select("kind", "value", F.concat_ws(" ", "g", "f").alias("surrogate")))
+
+
+def changed(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text (rewritten), n_entities, entities array<kind, start, end>, source_hash (of the old text) for the documents in which something was found."""
     found = stash(entities(docs))
     each = found.select("row", F.inline("found"))
@@ -301,7 +329,7 @@ def changed(docs: DataFrame, key: bytes = b"quillon") -> DataFrame:
     return found.select("row", "doc_id", "text").join(subs, "row").select("doc_id", rewrite("text", "subs").alias("text"), F.size("subs").cast("long").alias("n_entities"), F.transform("subs", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("entities"), F.xxhash64("text").alias("source_hash"))
 
 
-def surrogates(docs: DataFrame, key: bytes = b"quillon") -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """All rows of docs with personal data replaced in text; other columns pass through."""
     new = changed(docs.select("doc_id", "text").distinct(), key).select(F.col("doc_id").alias("__id"), F.col("source_hash").alias("__hash"), F.col("text").alias("__text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))

@@ -37,7 +37,7 @@ def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.changed(table(spark, sf_dir, "documents")).drop("source_hash")
+    return pii.changed(table(spark, sf_dir, "documents"), key=b"key of the registered query").drop("source_hash")
 
 
 def op8_minhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
