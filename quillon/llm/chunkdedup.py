@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches
+from .common import arrow_batches, stash
 from .hashing import U, Words, chunks, mix
 
 #: A chunk ends at one position in 24 on average, at least 8 bytes after the last candidate.
@@ -116,10 +116,11 @@ def _unpacked(place: str = "place"):
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end (bytes of UTF-8), n_chunks, n_words, first_doc_id, original: one row for each repeated span.
 
-    The chunks are dealt by digest twice, to count them and to find the repeated ones again;
-    both are a sum or a join, so a passage that a third of all documents share is split.
+    Texts are cut once; the chunks' places are written. They are dealt by digest twice, to count them
+    and to find the repeated ones again; both are a sum or a join, so a passage that a third of all
+    documents share is split.
     """
-    c = chunked(docs)
+    c = stash(chunked(docs))
     met = c.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1 and last <> first.doc_id").select("digest", "first")
     start, end, words = _unpacked()
     hits = c.join(met, "digest").select("doc_id", start.alias("start"), end.alias("end"), words.alias("words"), F.col("first.doc_id").alias("first_doc_id"), ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.place") == F.col("place"))).alias("own"))
