@@ -114,6 +114,19 @@ def near_links(docs: DataFrame, threshold: float = 0.8, rows: int = BAND_ROWS, w
     return near_classes(docs, threshold, rows, words)[0]
 
 
+def with_classes(study: DataFrame, docs: DataFrame) -> DataFrame:
+    """study(doc_id, ...) with class, the smallest doc_id of documents of equal shingle sets, and n_links, the other classes that near_classes links with it.
+
+    Rows that share a doc_id have the smallest class of them; a null doc_id has no class.
+    """
+    links, members = near_classes(docs)
+    links = stash(links)
+    count = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    cls = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("class"))
+    out = study.join(cls, "doc_id", "left").join(count, "class", "left")
+    return out.select(*study.columns, "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _edited(text: str, following: str) -> str:
     cut = len(text) // 3
     return text[: len(text) - cut] + following[:cut]

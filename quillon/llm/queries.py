@@ -14,7 +14,8 @@ def op1_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.edit_study(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.with_classes(fingerprint.edit_study(docs), docs)
 
 
 def op3_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,11 +39,11 @@ def test_odd_and_empty_tables(spark, folders, name):
     found = got.collect()
     docs = rows()
     ids = sorted((r[0] for r in docs), key=str)
-    if name.startswith(("op2_", "op3_", "op5_", "op9_", "op10_")):
+    if name.startswith(("op2_", "op3_", "op5_", "op9_", "op10_", "op11_", "op12_")):
         assert sorted((r["doc_id"] for r in found), key=str) == ids
     by = {}
     for r in found:
-        by.setdefault(r["doc_id"] if "doc_id" in got.columns else r["page_id"], []).append(r)
+        by.setdefault(r[next(c for c in ("doc_id", "page_id", "word") if c in got.columns)], []).append(r)
     if name.startswith("op1_"):
         assert len(found) == 9 and by[5][0]["text"] == by[6][0]["text"] == "" and by[1][0]["text"] == by[1][1]["text"] == "Head 1 Text of page 1 with some more words"
         assert by[7][0]["n_chars"] == 15 * 20_000 - 1 and by[None][0]["text"] == "plain"
@@ -64,5 +64,13 @@ def test_odd_and_empty_tables(spark, folders, name):
         assert by[20][0]["text"] is None and by[21][0]["text"] == "" and by[23][0]["text"] == LONG and by[22][0]["text"] == " \n\t "
     if name.startswith("op10_"):
         assert by[20][0]["score"] == by[21][0]["score"] and len({r["score"] for r in by[3]}) == 1
+    if name.startswith("op2_"):
+        assert by[24][0]["class"] == by[25][0]["class"] == 4 and by[None][0]["class"] is None and by[20][0]["class"] == 20
+    if name.startswith("op11_"):
+        assert len({r["root"] for r in found}) == 1 and by[None][0]["verified"] and {r["verified"] for r in by[3]} == {by[3][0]["verified"]}
+    if name.startswith("op12_"):
+        assert by[20][0]["n_words"] == by[22][0]["n_words"] == 0 and by[23][0]["n_words"] == 120_000 and {r["labels"] for r in found} == {""}
+    if name.startswith("op13_"):
+        assert set(by) == {"number"} and by["number"][0]["n"] >= 30
     again = queries.QUERIES[name](spark, empty)
     assert again.columns == got.columns and again.count() == 0

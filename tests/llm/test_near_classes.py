@@ -20,3 +20,12 @@ def test_links_beside_an_unlike_smaller_document(spark):
     cls = {r["doc_id"]: r["class"] for r in members.collect()}
     assert len(cls) == len(rows) and cls[900] == 900 and cls[901] == 901
     assert all(cls[at + k] == at + (1 if k == 3 else k) for at in families for k in range(4))
+
+
+def test_study_rows_carry_their_class(spark):
+    rnd = random.Random(6)
+    core = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    rows = [(3, " ".join(core)), (5, " ".join(core).upper()), (9, " ".join([*core[:195], "x", "y"])), (11, " ".join(reversed(core))), (12, None), (12, "a b"), (None, " ".join(core))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class")
+    out = fingerprint.with_classes(fingerprint.edit_study(docs), docs).collect()
+    assert sorted((str(r["doc_id"]), r["class"], r["n_links"]) for r in out) == sorted([("3", 3, 1), ("5", 3, 1), ("9", 9, 1), ("11", 11, 0), ("12", 12, 0), ("12", 12, 0), ("None", None, 0)])
