@@ -21,22 +21,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import once
 from .common import stash
 
 WORDS, THRESHOLD = 5, 0.8
-#: Sketches up to so many rows (16 bytes each) are broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Tables up to so many rows and bytes are broadcast; beyond, the join is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def words(text: str):
     return F.array_remove(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), "")
 
 
-def once(value, f):
-    """f of a value that is worked out once: the optimizer may copy a plain expression into every element's lambda."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _runs(w, k: int, make):
     n = F.size(w)
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: make(F.slice(w, i, k)))).when(n > 0, F.array(make(w)))
@@ -57,8 +53,9 @@ def _key(h, part):
     return h.bitwiseXOR(F.shiftleft(F.lit(part) if isinstance(part, int) else part, 1).cast("long"))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, rows: int, size: int) -> DataFrame:
+    """df to be broadcast if its rows and bytes are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
@@ -91,12 +88,15 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: in
     # outer explodes: for plain ones the optimizer works out the arrays a second time, to filter on their size
     joined = runs.select("doc_id", F.size("runs").alias("size"), F.explode_outer(once(F.col("runs"), lambda r: searched(r, r, bounds))).alias("key"))
     keyed = sketch.select("item_id", "need", _key(F.col("h"), F.col("part")).alias("key"))
-    pairs = joined.join(_bounded(keyed, rows), "key").where("size >= need").select("item_id", "doc_id").distinct()
+    pairs = joined.join(_bounded(keyed, rows, 24 * rows), "key").where("size >= need").select("item_id", "doc_id").distinct()
     pairs = stash(pairs)
     wanted = pairs.select("doc_id").distinct()
-    held = docs.join(_bounded(wanted, wanted.count()), "doc_id", "left_semi")
+    some = wanted.count()
+    held = docs.join(_bounded(wanted, some, 16 * some), "doc_id", "left_semi")
     held = held.select("doc_id", shingles("text", k).alias("held"))
-    found = pairs.join(held, "doc_id").join(_bounded(sets, rows), "item_id")
+    # all shingles of all items: far more than the signatures
+    held_bytes = sets.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.octet_length(r) + 24) + 8 * F.size("hashes") + 64)).first()[0]
+    found = pairs.join(held, "doc_id").join(_bounded(sets, rows, held_bytes), "item_id")
     found = found.withColumn("n_shared", F.size(F.array_intersect("runs", "held")).cast("long"))
     found = found.where(F.col("n_shared") >= need)
     return found.select("item_id", "doc_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
