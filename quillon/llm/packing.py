@@ -150,7 +150,6 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tupl
 
 def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Basic solution of min sum x, patterns @ x = demand (revised simplex): patterns as columns, and x."""
-    m = len(lengths)
     basis = np.diag((capacity // lengths).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     x = inverse @ demand
@@ -169,7 +168,6 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ro
             inverse = inverse - np.outer(d, pivot)
             inverse[out] = pivot
         x = np.maximum(inverse @ demand, 0)
-    assert m == len(x)
     return basis, x
 
 
@@ -207,7 +205,8 @@ def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
 def ranked(rows: DataFrame, by: str, salt: list[str], size: int = 200) -> DataFrame:
     """rows with `rank` (0, 1, ... within each class in `by`): ranks within bounded salted parts, plus the parts' offsets.
 
-    `by` must have a bounded number of values, as length classes have.
+    `by` must have a bounded number of values, as length classes have; the columns of salt must tell
+    rows apart, or all rows alike in them meet in one part.
     """
     total = rows.groupBy(by).count()
     parts = rows.join(F.broadcast(total.select(by, F.ceil(F.col("count") / size).cast("int").alias("parts"))), by)  # one row a class
@@ -220,7 +219,7 @@ def ranked(rows: DataFrame, by: str, salt: list[str], size: int = 200) -> DataFr
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every piece with its place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    all_pieces = stash(pieces(docs, path, capacity, end_id))
+    all_pieces = stash(pieces(docs, path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
     bounds = class_lengths(capacity).tolist()
     cls = F.when(F.col("length") <= 64, F.col("length")).otherwise(F.least(F.ceil(F.col("length") / 8) * 8, F.lit(bounds[-1])))
     rest = all_pieces.where(F.col("length") < capacity).withColumn("cls", cls.cast("long"))
@@ -241,7 +240,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
             yield p.drop(columns=["cls", "rank"]).assign(sequence_id=seq)
 
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    short = ranked(rest, "cls", keys).select(*cols, "cls", "rank").mapInPandas(place, ", ".join(f"{c} long" for c in [*cols, "sequence_id"]))
+    short = ranked(rest, "cls", [*keys, "row"]).select(*cols, "cls", "rank").mapInPandas(place, ", ".join(f"{c} long" for c in [*cols, "sequence_id"]))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *keys).rowsBetween(Window.unboundedPreceding, -1)
     short = short.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     full = all_pieces.where(F.col("length") == capacity).select(*cols, (F.monotonically_increasing_id() + n_short).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
