@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cpd import block_sum, blocked
-from .optim import Adam, Params, averaged_pass
+from .optim import Adam, Params, epoch
 from .ranking import coverage, quantiles
 
 #: Adam settings of the trainer: learning rate, weight decay, gradient clip.
@@ -122,34 +122,35 @@ def block_metrics(blocks: DataFrame, name: str, p: Params) -> dict[str, float]:
         rank = (z >= z[np.arange(len(z)), r][:, None]).sum(axis=1)
         return np.array([(1 / rank).sum(), (rank <= 1).sum(), len(rank)])
 
-    total = block_sum(blocks, kernel)
+    total = block_sum(blocks, kernel, size=3)
     return {"mrr": float(total[0] / total[2]), "hits_1": float(total[1] / total[2])} if len(total) else {"mrr": 0.0, "hits_1": 0.0}
 
 
 def fit(blocks: DataFrame, name: str, d: int, classes: int, dim: int = 512, epochs: int = 30, batch: int = 1024, seed: int = 0, dropout: float = 0.3, valid: DataFrame | None = None, every: int = 5, patience: int = 20) -> tuple[Params, list[float]]:
     """A shared linear layer on frozen features and relation parameters, by Adam on cross-entropy; and the loss of each epoch.
 
-    An epoch is one distributed pass over blocked pairs (cpd.blocked). The parameters of the best
-    validation MRR are restored; the rate halves when it stalls five evaluations.
+    Every mini-batch step is one distributed gradient over blocked pairs (cpd.blocked); the moments of Adam
+    stay from step to step. The parameters of the best validation MRR are restored; the rate halves when
+    it stalls five evaluations, and `patience` evaluations without a better one end the training.
     """
-    p, curve, rate, stall = initial(name, d, classes, dim, seed), [], RATE, 0
+    p, curve, stall, adam = initial(name, d, classes, dim, seed), [], 0, Adam(RATE, DECAY, CLIP)
     best, kept = -1.0, p
-    for epoch in range(epochs):
-        p, loss = averaged_pass(blocks, p, lambda q, x, y, r, rng: gradient(name, q, x, y, r, rng, dropout), lambda: Adam(rate, DECAY, CLIP), batch, seed + epoch)
+    for at in range(epochs):
+        p, loss = epoch(blocks, p, lambda q, x, y, r, noise: gradient(name, q, x, y, r, noise, dropout), adam, batch, seed + at)
         curve.append(loss)
-        if valid is not None and ((epoch + 1) % every == 0 or epoch == epochs - 1):
+        if valid is not None and ((at + 1) % every == 0 or at == epochs - 1):
             mrr = block_metrics(valid, name, p)["mrr"]
             if mrr > best:
                 best, kept, stall = mrr, p, 0
             else:
                 stall += 1
-                rate *= 0.5 if stall % 5 == 0 else 1
+                adam.rate *= 0.5 if stall % 5 == 0 else 1
                 if stall >= patience:
                     break
     return (kept if best >= 0 else p), curve
 
 
-def fit_methods(pairs: DataFrame, methods: list[str], classes: int, dim: int, epochs: int) -> DataFrame:
+def fit_methods(pairs: DataFrame, methods: list[str], classes: int, dim: int, epochs: int, batch: int = 1024) -> DataFrame:
     """method, loss_first, loss_last, test_mrr, test_hits_1 of each method trained on pairs(fh, ft, label, split), one after the other."""
     spark = pairs.sparkSession
     width = pairs.select(F.size("fh").alias("d")).first()
@@ -157,7 +158,7 @@ def fit_methods(pairs: DataFrame, methods: list[str], classes: int, dim: int, ep
     out = []
     try:
         for name in methods if width else []:
-            p, curve = fit(parts["train"], name, width["d"], classes, dim, epochs, valid=parts["valid"])
+            p, curve = fit(parts["train"], name, width["d"], classes, dim, epochs, batch, valid=parts["valid"])
             m = block_metrics(parts["test"], name, p)
             out.append((name, curve[0], curve[-1], m["mrr"], m["hits_1"]))
     finally:

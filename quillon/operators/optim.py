@@ -1,4 +1,4 @@
-"""Adam over named arrays, and training by local steps whose parameters are averaged."""
+"""Adam over named arrays, and mini-batch training by one gradient aggregate a step."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cpd import block_sum
-
 Params = dict[str, np.ndarray]
 
 
@@ -45,17 +43,30 @@ def uniform(key: np.ndarray, width: int, seed: int) -> np.ndarray:
     return (x >> u(11)).astype(float) / (1 << 53)
 
 
-def total(rows: DataFrame, kernel: Callable) -> np.ndarray:
-    """Sum over all tasks of kernel(frames), a vector or None; empty if all gave None."""
+#: Numbers that all tasks together may send to the driver, which adds them up; more are summed in a shuffle first.
+FEW = 1 << 22
+
+
+def total(rows: DataFrame, kernel: Callable, size: int | None) -> np.ndarray:
+    """Sum over all tasks of kernel(frames), a vector (of so many numbers, if size is known) or None; empty if all gave None."""
+    few = size is not None and rows.rdd.getNumPartitions() * size <= FEW
+
+    def whole(frames):
+        got = kernel(frames)
+        if got is not None:
+            yield pd.DataFrame({"v": [got.tobytes()]})
 
-    def run(frames):
+    def cells(frames):
         got = kernel(frames)
         if got is not None:
             yield pd.DataFrame({"pos": np.arange(len(got), dtype=np.int32), "v": got})
 
-    cells = rows.mapInPandas(run, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()  # as many rows as the vector has cells
-    out = np.zeros(len(cells))
-    for c in cells:
+    if few:
+        parts = sorted(bytes(r["v"]) for r in rows.mapInPandas(whole, "v binary").collect())  # in an order of their own
+        return np.sum([np.frombuffer(p) for p in parts], axis=0) if parts else np.zeros(0)
+    sums = rows.mapInPandas(cells, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()  # as many rows as the vector has cells
+    out = np.zeros(len(sums))
+    for c in sums:
         out[c["pos"]] = c["v"]
     return out
 
@@ -72,25 +83,46 @@ def unflat(v: np.ndarray, like: Params) -> Params:
     return out
 
 
-def averaged_pass(blocks: DataFrame, p: Params, gradient: Callable, adam: Callable[[], Adam], batch: int, seed: int) -> tuple[Params, float]:
-    """One distributed pass: every block runs mini-batch steps from p, the results are averaged by rows.
+class Noise:
+    """Draws for the rows of a mini-batch that depend on the row and the seed only; it stands in for a generator."""
+
+    def __init__(self, key: np.ndarray, seed: int):
+        self._key, self._seed, self._calls = key, seed, 0
+
+    def random(self, shape: tuple[int, int]) -> np.ndarray:
+        self._calls += 1
+        return uniform(self._key, shape[1], self._seed * 64 + self._calls)
 
-    gradient(p, x, y, labels, rng) gives (sum of losses, sums of gradients). With a single block this
-    is mini-batch Adam; with many, each pass costs one aggregate of the size of the parameters.
-    """
 
-    def kernel(x, y, r):
-        rng = np.random.default_rng([seed, len(r), int(r.sum())])
-        mine, opt, loss = p, adam(), 0.0
-        order = rng.permutation(len(r))
-        for i in range(0, len(order), batch):
-            q = order[i : i + batch]
-            part, g = gradient(mine, x[q], y[q], r[q], rng)
-            loss += part
-            mine = opt.update(mine, {k: v / len(q) for k, v in g.items()})
-        return np.concatenate([flat(mine) * len(r), [loss, len(r)]])
-
-    total = block_sum(blocks, kernel)
-    if not len(total):
-        return p, 0.0
-    return unflat(total[:-2] / total[-1], p), float(total[-2] / total[-1])
+def epoch(blocks: DataFrame, p: Params, gradient: Callable, adam: Adam, batch: int, seed: int) -> tuple[Params, float]:
+    """The parameters after one pass of mini-batch steps over blocked pairs (cpd.blocked), and the mean loss.
+
+    gradient(p, x, y, labels, noise) gives (sum of losses, sums of gradients). A hash deals the rows to as
+    many steps as there are batches; a step is one aggregate of the size of the parameters over all
+    blocks, and one Adam goes on from step to step: the result is the same for any number of blocks.
+    """
+    rows = blocks.agg(F.sum("n")).first()[0] or 0
+    steps = -(-rows // batch)
+    lost = seen = 0.0
+    size = sum(x.size for x in p.values()) + 2
+    for step in range(steps):
+
+        def kernel(frames, p=p, step=step):
+            acc = None
+            for f in frames:
+                for b in f.itertuples():
+                    key = np.frombuffer(b.k, dtype=np.int64)
+                    on = np.flatnonzero((uniform(key, 1, seed)[:, 0] * steps).astype(int) == step) if steps > 1 else np.arange(b.n)
+                    if not len(on):
+                        continue
+                    x, y = (np.frombuffer(v).reshape(b.n, -1)[on] for v in (b.x, b.y))
+                    part, g = gradient(p, x, y, np.frombuffer(b.r, dtype=np.int64)[on], Noise(key[on], seed * 1009 + step))
+                    got = np.concatenate([flat(g), [part, len(on)]])
+                    acc = got if acc is None else acc + got
+            return acc
+
+        got = total(blocks, kernel, size)
+        if len(got):
+            lost, seen = lost + got[-2], seen + got[-1]
+            p = adam.update(p, unflat(got[:-2] / got[-1], p))
+    return p, float(lost / seen) if seen else 0.0

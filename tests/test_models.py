@@ -81,17 +81,46 @@ def test_projector_training_and_projection(spark):
     b.unpersist()
 
 
-def test_one_block_is_plain_adam(spark):
+def test_one_batch_is_plain_adam(spark):
     x, y, r = _data(50)
-    rows = [(a.tolist(), b.tolist(), int(c)) for a, b, c in zip(x, y, r, strict=True)]
-    b = cpd.blocked(spark.createDataFrame(rows, "fh array<double>, ft array<double>, label int").coalesce(1))
+    b = _blocks(spark, x, y, r)
     p = kge.initial("distmult", 6, 4, 8, 3)
     g = lambda q, x, y, r, rng: kge.gradient("distmult", q, x, y, r, rng)
-    got, loss = optim.averaged_pass(b, p, g, lambda: optim.Adam(1e-2), 50, 0)
+    got, loss = optim.epoch(b, p, g, optim.Adam(1e-2), 50, 0)
     first, grads = kge.gradient("distmult", p, x, y, r, None)
     want = optim.Adam(1e-2).update(p, {k: v / 50 for k, v in grads.items()})
     assert np.isclose(loss, first / 50) and all(np.allclose(got[k], want[k]) for k in p)
-    assert optim.averaged_pass(b.limit(0), p, g, lambda: optim.Adam(1e-2), 50, 0) == (p, 0.0)
+    assert optim.epoch(b.limit(0), p, g, optim.Adam(1e-2), 50, 0) == (p, 0.0)
+    b.unpersist()
+
+
+@pytest.mark.parametrize("name", ["distmult", "projector"])
+def test_one_and_eight_blocks_train_alike(spark, name):
+    x, y, r = _data(300)
+    rows = [(a.tolist(), b.tolist(), int(c)) for a, b, c in zip(x, y, r, strict=True)]
+    ends = []
+    for n in (1, 8):
+        b = cpd.blocked(spark.createDataFrame(rows, "fh array<double>, ft array<double>, label int").repartition(n)).persist()
+        assert b.count() == n
+        if name == "projector":
+            ends.append(projector.fit(b, 6, 4, out=5, hidden=7, epochs=3, batch=100, dropout=0.2))
+        else:
+            ends.append(kge.fit(b, name, 6, 4, dim=8, epochs=3, batch=100, dropout=0.3))
+        b.unpersist()
+    (p, a), (q, b) = ends
+    assert np.allclose(a, b, atol=1e-9) and all(np.allclose(p[k], q[k], atol=1e-9) for k in p)
+
+
+def test_training_stops_after_stalled_evaluations(spark, monkeypatch):
+    x, y, r = _data(60)
+    b = _blocks(spark, x, y, r)
+    seen, rates = iter([0.5, 0.7, *[0.6] * 20]), []
+    monkeypatch.setattr(kge, "block_metrics", lambda *_: {"mrr": next(seen)})
+    own = kge.epoch
+    monkeypatch.setattr(kge, "epoch", lambda blocks, p, g, adam, *rest: (rates.append(adam.rate), own(blocks, p, g, adam, *rest))[1])
+    _, curve = kge.fit(b, "distmult", 6, 4, dim=8, epochs=50, batch=100, valid=b, every=1, patience=7)
+    assert len(curve) == 2 + 7 and rates[:7] == [kge.RATE] * 7 and rates[7:] == [kge.RATE / 2] * 2
+    b.unpersist()
 
 
 def test_random_fill_is_a_fixed_normal_draw(spark):
