@@ -126,14 +126,14 @@ def block_metrics(blocks: DataFrame, name: str, p: Params) -> dict[str, float]:
     return {"mrr": float(total[0] / total[2]), "hits_1": float(total[1] / total[2])} if len(total) else {"mrr": 0.0, "hits_1": 0.0}
 
 
-def fit(blocks: DataFrame, name: str, d: int, classes: int, dim: int = 512, epochs: int = 30, batch: int = 1024, seed: int = 0, dropout: float = 0.3, valid: DataFrame | None = None, every: int = 5, patience: int = 20) -> tuple[Params, list[float]]:
+def fit(blocks: DataFrame, name: str, d: int, classes: int, dim: int = 512, epochs: int = 30, batch: int = 1024, seed: int = 0, dropout: float = 0.3, valid: DataFrame | None = None, every: int = 5, patience: int = 20, rate: float = RATE) -> tuple[Params, list[float]]:
     """A shared linear layer on frozen features and relation parameters, by Adam on cross-entropy; and the loss of each epoch.
 
     Every mini-batch step is one distributed gradient over blocked pairs (cpd.blocked); the moments of Adam
     stay from step to step. The parameters of the best validation MRR are restored; the rate halves when
     it stalls five evaluations, and `patience` evaluations without a better one end the training.
     """
-    p, curve, stall, adam = initial(name, d, classes, dim, seed), [], 0, Adam(RATE, DECAY, CLIP)
+    p, curve, stall, adam = initial(name, d, classes, dim, seed), [], 0, Adam(rate, DECAY, CLIP)
     best, kept = -1.0, p
     for at in range(epochs):
         p, loss = epoch(blocks, p, lambda q, x, y, r, noise: gradient(name, q, x, y, r, noise, dropout), adam, batch, seed + at)
@@ -150,7 +150,7 @@ def fit(blocks: DataFrame, name: str, d: int, classes: int, dim: int = 512, epoc
     return (kept if best >= 0 else p), curve
 
 
-def fit_methods(pairs: DataFrame, methods: list[str], classes: int, dim: int, epochs: int, batch: int = 1024) -> DataFrame:
+def fit_methods(pairs: DataFrame, methods: list[str], classes: int, dim: int, epochs: int, batch: int = 1024, rate: float = RATE) -> DataFrame:
     """method, loss_first, loss_last, test_mrr, test_hits_1 of each method trained on pairs(fh, ft, label, split), one after the other."""
     spark = pairs.sparkSession
     width = pairs.select(F.size("fh").alias("d")).first()
@@ -158,7 +158,7 @@ def fit_methods(pairs: DataFrame, methods: list[str], classes: int, dim: int, ep
     out = []
     try:
         for name in methods if width else []:
-            p, curve = fit(parts["train"], name, width["d"], classes, dim, epochs, batch, valid=parts["valid"])
+            p, curve = fit(parts["train"], name, width["d"], classes, dim, epochs, batch, valid=parts["valid"], rate=rate)
             m = block_metrics(parts["test"], name, p)
             out.append((name, curve[0], curve[-1], m["mrr"], m["hits_1"]))
     finally:

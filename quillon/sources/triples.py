@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from ..functions.ordering import with_position
 from ..operators.splits import version_seed
 
@@ -36,14 +38,40 @@ def read_splits(spark: SparkSession, directory: str, strict: bool = True) -> Dat
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file and line (from 0 in each file) of text files, which Spark reads by ranges of their bytes.
+
+    Lines are numbered within the range that they begin in; the ranges before it, one row each, are added up.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = cut(spark.read.text(path).select("value", at.alias("range"), F.monotonically_increasing_id().alias("id")))
+    ranges = rows.groupBy("range").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("range.file").orderBy("range.start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranges.select("range", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(shift, "range").select("value", "range.file", (F.col("id") + F.col("shift")).alias("line"))
+
+
 def read_ordered(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of one file with pos, their order in the file: bytes are read whole, lines numbered within the file."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    """Triples of one file with pos, their order in the file."""
     a = F.split(F.trim("value"), "\t")
-    rows = whole.select("line", a.alias("a")).where(F.size("a") == 3).select("line", F.col("a")[0].alias("head"), F.col("a")[1].alias("relation"), F.col("a")[2].alias("tail"))
+    rows = numbered_lines(spark, path).select("line", a.alias("a")).where(F.size("a") == 3).select("line", F.col("a")[0].alias("head"), F.col("a")[1].alias("relation"), F.col("a")[2].alias("tail"))
     return with_position(rows, ["line"], "pos").drop("line")
 
 
+def indexed_with_skips(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, Observation]:
+    """(h, t, r of the triples whose elements are known, an observation of `total` and `skipped`).
+
+    entities(entity, idx) and relations(relation, idx) are joined once; the counts come with whatever
+    action reads the rows, and are there once it has ended.
+    """
+    e = entities.select("entity", "idx")
+    out = triples.join(e.toDF("head", "h"), "head", "left").join(e.toDF("tail", "t"), "tail", "left").join(relations.select("relation", F.col("idx").alias("r")), "relation", "left")
+    lost = F.col("h").isNull() | F.col("t").isNull() | F.col("r").isNull()
+    seen = Observation()
+    out = out.withColumn("__lost", lost).observe(seen, F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(F.col("__lost").cast("long")), F.lit(0)).alias("skipped"))
+    return out.where(~F.col("__lost")).select("h", "t", "r"), seen
+
+
 def write_splits(triples: DataFrame, directory: str, by: list[str] | None = None) -> None:
     """Tab-separated files in directories by version or seed, and split; pos, if there, orders each file.
 
@@ -57,9 +85,8 @@ def write_splits(triples: DataFrame, directory: str, by: list[str] | None = None
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """entity, label of two-field lines; of several rows of an entity the last in the file counts."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
     a = F.split(F.trim("value"), "\t")
-    rows = whole.select("line", a.alias("a")).where(F.size("a") >= 2).select(F.col("a")[0].alias("entity"), F.col("a")[1].alias("label"), "line")
+    rows = numbered_lines(spark, path).select("line", a.alias("a")).where(F.size("a") >= 2).select(F.col("a")[0].alias("entity"), F.col("a")[1].alias("label"), "line")
     return rows.groupBy("entity").agg(F.max_by("label", "line").alias("label"))
 
 
