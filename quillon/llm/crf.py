@@ -35,8 +35,10 @@ BITS = 18
 SIZE = 1 << BITS
 #: Bounds of the training sample: rows and UTF-8 bytes of each class.
 SAMPLE, SAMPLE_BYTES = 1000, 32 << 20
-#: Updates of the field, whatever the sample's size; folds that the curve is fitted on; words that may count by chance.
-UPDATES, FOLDS, CHANCE = 80, 3, 2.0
+#: Updates of the field, whatever the sample's size; folds that the curve is fitted on.
+UPDATES, FOLDS = 80, 3
+#: Evidence: the least share of toxic documents among those with a word, at equal class sizes; words that may count by chance.
+SHARE, CHANCE = 0.75, 0.5
 #: Token features: whole word, first 4 and 5 bytes, last 4 bytes, previous word, next word.
 KINDS = 6
 _STOP = np.zeros(256, dtype=bool)
@@ -159,7 +161,7 @@ def families(texts: list[bytes], rows: int = 3) -> np.ndarray:
 def label_tokens(tok: Tokens, toxic: np.ndarray, docs: np.ndarray | None = None, chance: float = CHANCE) -> np.ndarray:
     """Tokens whose word, or 4-byte beginning, is evidence of toxicity in the documents marked in docs.
 
-    A word counts if most documents that hold it are toxic at equal class sizes, and if the
+    A word counts if SHARE of the documents that hold it are toxic at equal class sizes, and if the
     Chernoff bound of so many toxic ones among its documents lets at most `chance` of all
     words pass by chance. The bound follows the sample's size: few documents need a purer word.
     """
@@ -176,7 +178,7 @@ def label_tokens(tok: Tokens, toxic: np.ndarray, docs: np.ndarray | None = None,
         rate = np.maximum(bad / counts, base)
         with np.errstate(divide="ignore", invalid="ignore"):
             surprise = counts * (rate * np.log(rate / base) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - base)), 0.0))
-        listed = word[(bad >= 2) & (share >= 0.9) & (surprise >= np.log(max(2.0, (counts > 1).sum() / chance)))]
+        listed = word[(bad >= 2) & (share >= SHARE) & (surprise >= np.log(max(2.0, (counts > 1).sum() / chance)))]
         out |= np.isin(h, listed)
     return out
 

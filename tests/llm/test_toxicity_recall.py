@@ -7,8 +7,8 @@ import pytest
 from quillon.llm import crf, queries
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
-def test_held_out_rows(spark, sf):
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 0.75), ("sf0.1", 0.9)])
+def test_held_out_rows(spark, sf, least):
     d = f"/root/testdata/{sf}"
     got = queries.op10_crf_toxicity(spark, d)
     rows = got.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"), "doc_id").collect()
@@ -18,8 +18,8 @@ def test_held_out_rows(spark, sf):
     toxic = [r for r in held if r["toxic"] == 1]
     clean = [r for r in held if r["toxic"] == 0]
     caught = [r for r in toxic if r["predicted"]]
-    assert len(caught) >= 0.75 * len(toxic) and sum(bool(r["spans"]) for r in caught) >= 0.9 * len(caught)
-    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+    assert len(caught) >= least * len(toxic) and sum(bool(r["spans"]) for r in caught) >= 0.9 * len(caught)
+    assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
     for r in caught:
         raw = r["text"].encode()
         assert all(raw[s["start"] : s["end"]].decode() for s in r["spans"])
