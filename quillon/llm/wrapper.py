@@ -5,7 +5,9 @@ after the other: equal neighbouring runs fold into repeated groups, runs that on
 has become optional groups, and texts become slots. Each slot of the wrapper (the path of
 block elements it stands under) gets statistics over all pages of the host; the slots of the
 article are kept: those under article or main elements, else under containers named as
-content, else slots whose text varies from page to page, holds prose and few links. Slots of
+content, else slots whose text varies from page to page, holds prose and few links, and stands in
+the container that has most of the host's prose. Names of elements count as far as they are known
+words; others, of which there may be as many as pages, are no part of a slot. Slots of
 menus, headers, footers, sidebars, notices, adverts, forms and comments never count, nor
 scripts, styles, comments of the markup and hidden elements.
 
@@ -39,6 +41,7 @@ BOILER_WORDS = frozenset(
 )
 ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu menubar".split())
 CONTENT_WORDS = frozenset("article articlebody story content post entry main maincontent".split())
+KNOWN_WORDS = BOILER_WORDS | CONTENT_WORDS
 #: Elements that an opening tag closes when they are open: the tag itself and its likes.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}}
 BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -49,7 +52,9 @@ HEADING = re.compile(r">h[1-6]\b[^>]*$")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:\"[^\"]*\"|'[^']*'|[^'\">])*)?/?)>|<[!?][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A tag that the page breaks off in; a `<` before anything but a name is text.
+_UNFINISHED = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?\Z")
 
 
 def _segment(tag: str, attrs: str) -> str:
@@ -71,7 +76,8 @@ def _segment(tag: str, attrs: str) -> str:
         mark = "!"
     elif not mark:
         mark = "*" if tag in ("article", "main") else "+" if words & CONTENT_WORDS and tag in ("div", "section", "td") else ""
-    return tag + ("." + ".".join(sorted(words)) if words else "") + mark
+    known = words & KNOWN_WORDS  # other names may be as many as there are pages
+    return tag + ("." + ".".join(sorted(known)) if known else "") + mark
 
 
 class Page:
@@ -159,7 +165,7 @@ class Page:
                 continue
             push(tag, _segment(tag, m[4]))
         if at < len(source):
-            text.append(re.sub(r"<[^<>]*\Z", "", source[at:]))
+            text.append(_UNFINISHED.sub("", source[at:]))
         flush()
         while stack:
             pop()
@@ -374,8 +380,24 @@ def choose(paths: list[tuple[str, int, int, int, int, int, bool]]) -> list[str]:
         if rooted := [p[0] for p in live if mark in p[0]]:
             return rooted
     prose = [p for p in live if not (p[6] and p[1] >= 3) and 2 * p[4] < p[5]]
-    dense = {p[0] for p in prose if p[3] >= 8 * p[2]}
-    return sorted(dense | ({p[0] for p in prose if HEADING.search(p[0])} if dense else set()))
+    dense = [p for p in prose if p[3] >= 8 * p[2]]
+    if not dense:
+        return []
+    # the container whose slots hold most of the prose is the article; its other slots and headings belong to it
+    mass: dict[str, int] = {}
+    for p in dense:
+        mass[_container(p[0])] = mass.get(_container(p[0]), 0) + p[5]
+    root = max(sorted(mass), key=mass.__getitem__)
+    inside = [p for p in prose if p[0].startswith(f"{root}>")]
+    return sorted({p[0] for p in dense if p in inside} | {p[0] for p in inside if HEADING.search(p[0])})
+
+
+def _container(path: str) -> str:
+    """The element that a slot's own element stands in; lists and tables stand in what holds them."""
+    parts = path.split(">")[:-1]
+    while parts and re.match(r"(?:ul|ol|li|dl|dd|dt|table|tbody|thead|tr|td|blockquote)\b", parts[-1]):
+        parts.pop()
+    return ">".join(parts)
 
 
 def articles(pages: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
