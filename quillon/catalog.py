@@ -448,8 +448,17 @@ def conformal_quantiles(spark, d):
 
 @query(sql(f"{_QUANTILES}, c AS (SELECT alpha, head, tail, truth, max(CASE WHEN r = truth AND p >= 1 - q_hat THEN 1.0 ELSE 0 END) AS hit, count(*) FILTER (p >= 1 - q_hat) AS size FROM pr, q WHERE split = 'test' GROUP BY ALL) SELECT alpha, round(avg(hit), 4) AS coverage, round(avg(size), 2) AS mean_size FROM c GROUP BY 1", "kg_entities", "kg_triples"))
 def conformal_metrics(spark, d):
-    p, q = _conformal(spark, d)
-    out = ranking.coverage(p.where("split = 'test'"), q)
+    t = graph.triples(spark, d)
+    f = features.standardised(graph.entities(spark, d)).persist()
+    score = ranking.translation_scorer(ranking.translation_vectors(t.where("split = 'train'"), f, spark.range(CLASSES).select(F.col("id").cast("int").alias("relation"))))
+
+    def probs(p):
+        e = np.exp((z := score(p)) - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    g = f.select("entity", "features")
+    ends = t.where("split <> 'train'").join(g.toDF("head", "fh"), "head").join(g.toDF("tail", "ft"), "tail").withColumnRenamed("relation", "label")
+    out = ranking.conformal_by(probs, *[ends.where(F.col("split") == x).select("fh", "ft", "label") for x in ("valid", "test")], _ALPHAS)
     return out.select("alpha", F.round("coverage", 4).alias("coverage"), F.round("mean_size", 2).alias("mean_size"))
 
 
@@ -539,6 +548,14 @@ def cpd_grid_search(spark, d):
     return ledger.best(cpd.fit_configs(p, g, CLASSES, rounds=1).join(F.broadcast(g), "config"), ["k", "penalty", "bias"], "valid_mrr", 5)
 
 
+@query(sql(f"{_factor_sql()}, p AS (SELECT head, tail, relation, arg_max(r, s) AS r FROM lo WHERE split = 'test' GROUP BY ALL) SELECT 'r' || r AS predicted, count(*) AS n, count(*) FILTER (r = relation) AS hits FROM p GROUP BY 1", "kg_entities", "kg_triples"))
+def cpd_predictions(spark, d):
+    """The names that the tensor model predicts for the test pairs, and how often they are right."""
+    names = spark.range(CLASSES).select(F.col("id").cast("int").alias("idx"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("relation"))
+    out = cpd.predict(_pairs(spark, d, ["test"]).select(F.concat(F.lit("r"), F.col("relation").cast("string")).alias("name"), "fh", "ft"), _factors(), names)
+    return out.groupBy("predicted").agg(F.count("*").alias("n"), F.count_if(F.col("name") == F.col("predicted")).alias("hits"))
+
+
 _KGE = {
     "distmult": ("sum(h.features[i + 1] * t.features[i + 1] * sin(5 * r + 3 * i))", 64),
     "complex": ("sum((h.features[i + 1] * t.features[i + 1] - h.features[i + 33] * t.features[i + 33]) * sin(5 * r + 3 * i) + (h.features[i + 1] * t.features[i + 33] + h.features[i + 33] * t.features[i + 1]) * cos(2 * r + 7 * i))", 32),
@@ -668,9 +685,25 @@ def ledger_report(spark, d):
     return out.orderBy("base_version", "model", "place", "method")
 
 
-@query("SELECT row_number() OVER (ORDER BY k, penalty, bias) - 1 AS config, k, penalty, bias FROM (SELECT unnest([50, 70, 100, 150, 200]) AS k), (SELECT unnest([1.0, 10.0, 100.0]::DOUBLE[]) AS penalty), (SELECT unnest([32, 48, 64]) AS bias)")
+@query(
+    sql(
+        f""", ax AS (SELECT me.method, mo.model, ba.base_version FROM (SELECT DISTINCT method FROM runs) me, (SELECT DISTINCT model FROM runs) mo, (SELECT DISTINCT {_BASE} AS base_version FROM runs) ba),
+        nu AS (SELECT *, row_number() OVER (ORDER BY method, model, base_version) - 1 AS config FROM ax), k AS (SELECT method, model, {_BASE} AS base_version, count(*) AS n FROM runs GROUP BY ALL)
+        SELECT config, method, model, base_version, coalesce(n, 0) AS runs FROM nu LEFT JOIN k USING (method, model, base_version)""",
+        "runs",
+    )
+)
 def grid_configs(spark, d):
-    return ledger.grid(spark, k=[50, 70, 100, 150, 200], penalty=[1.0, 10.0, 100.0], bias=[32, 48, 64]).select("config", F.col("k").cast("int").alias("k"), "penalty", F.col("bias").cast("int").alias("bias"))
+    """Every combination of the ledger's methods, models and base versions, numbered, and how often it was run."""
+    runs = graph.runs(spark, d).withColumn("base_version", splits.base_version("version"))
+    axes = {c: sorted(r[0] for r in runs.select(c).distinct().collect()) for c in ("method", "model", "base_version")}  # the axes of the grid
+    done = runs.groupBy(*axes).agg(F.count("*").alias("runs"))
+    return ledger.grid(spark, **axes).join(done, list(axes), "left").select("config", *axes, F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
+@query(sql(f", {_SUMMARY} SELECT method, model, aggregation, base_version, n_seeds, round_even(mean, 6) AS mrr_mean, round_even(std, 6) AS mrr_std FROM su WHERE base_version IN ('v0_ind', 'v2_ind')", "runs"))
+def ledger_summary_of_bases(spark, d):
+    return ledger.summary(graph.runs(spark, d), bases=["v0_ind", "v2_ind", "v9_ind"])
 
 
 @query(sql("SELECT method, model, round(avg(mrr), 6) AS mrr_mean, count(mrr) AS runs FROM runs GROUP BY ALL ORDER BY avg(mrr) DESC, method, model LIMIT 5", "runs"))

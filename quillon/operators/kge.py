@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .cpd import block_sum, blocked
 from .optim import Adam, Params, epoch
-from .ranking import coverage, quantiles
+from .ranking import conformal_by
 
 #: Adam settings of the trainer: learning rate, weight decay, gradient clip.
 RATE, DECAY, CLIP = 1e-3, 1e-5, 1.0
@@ -183,5 +183,10 @@ def probabilities(pairs: DataFrame, name: str, params: Params) -> DataFrame:
 
 def conformal(calibration: DataFrame, test: DataFrame, name: str, params: Params, alphas: list[float]) -> DataFrame:
     """alpha, coverage, mean_size of the conformal sets of test pairs(fh, ft, label); no rows if either side is empty."""
-    cal = probabilities(calibration.select("fh", "ft", "label"), name, params).select((1 - F.element_at("probs", F.col("label") + 1)).alias("score"))
-    return coverage(probabilities(test.select("fh", "ft", "label"), name, params), quantiles(cal, alphas))
+
+    def probs(f: pd.DataFrame) -> np.ndarray:
+        z = score(name, np.array(f["fh"].tolist()), np.array(f["ft"].tolist()), params)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    return conformal_by(probs, calibration.select("fh", "ft", "label"), test.select("fh", "ft", "label"), alphas)

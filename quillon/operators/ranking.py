@@ -73,6 +73,35 @@ def coverage(scored: DataFrame, q: DataFrame) -> DataFrame:
     return out.groupBy("alpha").agg(F.avg(F.array_contains("set", F.col("label")).cast("double")).alias("coverage"), F.avg(F.size("set").cast("double")).alias("mean_size"))
 
 
+def conformal_by(probabilities, calibration: DataFrame, test: DataFrame, alphas: list[float]) -> DataFrame:
+    """alpha, coverage, mean_size of the conformal sets of test(label, ...), with probabilities(frame), a matrix, worked out in Arrow batches.
+
+    Only the true class's score comes back from a calibration row, and only sums from the test rows. No
+    rows if either side is empty.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def own(frames):
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"score": 1 - probabilities(f)[np.arange(len(f)), f["label"].to_numpy(dtype=int)]})
+
+    known = quantiles(calibration.mapInPandas(own, "score double"), alphas).select("alpha", "q_hat").collect()  # one row an alpha
+
+    def sums(frames):
+        for f in frames:
+            if len(f):
+                p = probabilities(f)
+                true = p[np.arange(len(f)), f["label"].to_numpy(dtype=int)]
+                for q in known:
+                    least = -np.inf if q["q_hat"] is None else 1 - q["q_hat"]
+                    yield pd.DataFrame([(q["alpha"], len(f), int((true >= least).sum()), int((p >= least).sum()))], columns=["alpha", "n", "hits", "size"])
+
+    counts = test.mapInPandas(sums, "alpha double, n long, hits long, size long").groupBy("alpha").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "size")])
+    return counts.select("alpha", (F.col("hits") / F.col("n")).alias("coverage"), (F.col("size") / F.col("n")).alias("mean_size"))
+
+
 def accuracy(scored: DataFrame) -> DataFrame:
     return scored.agg(F.coalesce(F.avg((V.argmax("probs") == F.col("label")).cast("double")), F.lit(0.0)).alias("accuracy"))
 
@@ -80,21 +109,30 @@ def accuracy(scored: DataFrame) -> DataFrame:
 def translation_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """pairs(fh, ft, ...) with scores: minus the distance of tail - head to each class vector, in order of class; feature columns are dropped.
 
-    The class vectors (one row a relation) go to the tasks; pairs are scored in Arrow batches.
+    Pairs are scored in Arrow batches.
     """
-    import numpy as np
-
-    rows = vectors.orderBy("relation").collect()  # the class vocabulary
-    v = np.array([r["vector"] for r in rows], dtype=float)
     keep = [c for c in pairs.columns if c not in ("fh", "ft")]
-    shared = pairs.sparkSession.sparkContext.broadcast((v, (v**2).sum(axis=1)))
+    score = translation_scorer(vectors)
 
     def run(batches):
-        v, square = shared.value
         for p in batches:
             if len(p):
-                m = np.array(p["ft"].tolist(), dtype=float) - np.array(p["fh"].tolist(), dtype=float)
-                d = (m**2).sum(axis=1)[:, None] - 2 * m @ v.T + square
-                yield p[keep].assign(scores=list(-np.sqrt(np.maximum(d, 0))))
+                yield p[keep].assign(scores=list(score(p)))
 
     return pairs.mapInPandas(run, pairs.select(*keep)._jdf.schema().toDDL() + ", scores array<double>")
+
+
+def translation_scorer(vectors: DataFrame):
+    """A function of a frame (fh, ft, ...): its matrix of scores. The class vectors, one row a relation, go to the tasks."""
+    import numpy as np
+
+    rows = vectors.orderBy("relation").collect()  # the class vocabulary
+    v = np.array([r["vector"] for r in rows], dtype=float)
+    shared = vectors.sparkSession.sparkContext.broadcast((v, (v**2).sum(axis=1)))
+
+    def score(p):
+        v, square = shared.value
+        m = np.array(p["ft"].tolist(), dtype=float) - np.array(p["fh"].tolist(), dtype=float)
+        return -np.sqrt(np.maximum((m**2).sum(axis=1)[:, None] - 2 * m @ v.T + square, 0))
+
+    return score

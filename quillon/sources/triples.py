@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -114,8 +116,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(p)
 
 
-def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path, built and written first where there is none; a write that broke off is built again."""
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], **key: object) -> DataFrame:
+    """The table at path, built and written first where there is none; a write that broke off is built again.
+
+    key (plain values, such as a model's name and its parameters) tells tables of the same path apart.
+    """
+    if key:
+        path = f"{path}/{hashlib.sha256(json.dumps(key, sort_keys=True).encode()).hexdigest()[:24]}"
     if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

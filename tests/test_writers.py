@@ -63,3 +63,15 @@ def test_writing_one_seed_leaves_the_others(spark, tmp_path):
     S.write_splits(seed(7001, 2), out, by=["seed"])
     got = spark.read.option("sep", "\t").csv(out).groupBy("seed", "split").count().collect()
     assert sorted((r["seed"], r["split"], r["count"]) for r in got) == [(7001, "train", 1), (7001, "valid", 1), (7002, "train", 2), (7002, "valid", 1)]
+
+
+def test_cached_tables_of_one_path_are_told_apart(spark, tmp_path):
+    built = []
+
+    def build(n):
+        built.append(n)
+        return spark.range(n)
+
+    for n in (2, 3, 2):
+        assert S.cached(spark, str(tmp_path / "cache"), lambda n=n: build(n), model="m", n=n).count() == n
+    assert built == [2, 3]
