@@ -1,15 +1,13 @@
-"""Shared helpers: table access, scratch tables in the shared folder, connected components."""
+"""Shared helpers: table access, tables in the shared folder (stash), connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut as stash
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,43 +18,6 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write a frame as a table into the shared folder and read it back: cuts the lineage, survives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _drop_stashes() -> None:
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(p, True)
-        except Exception:
-            return  # the session has ended; the folder is scratch space
-
-
 def forest(left: list[int], right: list[int]) -> list[tuple[int, int]]:
     """Union-find over one batch of edges: (vertex, root) for every vertex that is not its own root."""
     parent: dict[int, int] = {}
