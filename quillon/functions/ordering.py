@@ -13,11 +13,11 @@ def with_position(rows: DataFrame, order: list, name: str) -> DataFrame:
     """rows with their 0-based place in the order of the given columns.
 
     Rows are range-partitioned and sorted; places within a partition are shifted by the sizes
-    of the partitions before it (one row for each partition, broadcast). The sorted rows are
-    written to the checkpoint folder, as both steps must see the same partitions even after
-    executors are lost.
+    of the partitions before it (one row for each partition, broadcast). The rows are written
+    before they are sorted, as the ranges are sampled from them, and after, as both steps must see
+    the same partitions even after executors are lost.
     """
-    ordered = cut(rows.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    ordered = cut(cut(rows).orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
     part, place = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
     sizes = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
