@@ -3,7 +3,7 @@
 Files of tab-separated lines are read by ranges of bytes; a line belongs to the range in which it
 begins, and `offset`, the place of its first byte, orders the lines of a file. Writers put their rows
 into a staging folder; only when all tasks have ended are the files moved to their place, and if any task
-fails they go. Paths are those that pyarrow resolves (a folder, a file, or a glob of them; file:, hdfs:, s3:).
+fails they go; what a task that is killed meanwhile leaves there is no data to any reader. Paths are those that pyarrow resolves (a folder, a file, or a glob of them; file:, hdfs:, s3:).
 """
 
 from __future__ import annotations
