@@ -96,3 +96,14 @@ def test_sampled_features_rows_and_edges(spark):
 def test_no_training_rows(spark):
     x, y, split = sample(20, 5)
     assert B.fit(frame(spark, x, y, split).where("split <> 'train'"), 3)[1] is None
+
+
+def test_lighter_children_give_the_sums_of_both():
+    rng = np.random.default_rng(6)
+    bins, node, g, h = rng.integers(0, 4, (3, 200)).astype(np.uint8), rng.integers(3, 7, 200), rng.standard_normal(200), rng.random(200)
+    own = np.arange(3)
+    n, hist = B.histogram(bins, g, h, node, np.array([3, 6]), own, 4)
+    up, top = B.histogram(bins, g, h, (node - 1) // 2, np.array([1, 2]), own, 4)
+    m, other = B.histogram(bins, g, h, node, np.array([4, 5]), own, 4)
+    assert (up - n == m).all() and np.allclose(top - hist, other)
+    assert not B.histogram(bins, g, h, node, np.array([40]), own, 4)[0].any()
