@@ -8,7 +8,7 @@ from quillon.plans import graph
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["enclosing_subgraph_sizes"])
+@pytest.mark.parametrize("name", ["enclosing_subgraph_sizes", "drnl_labels"])
 def test_every_edge_is_a_pair(spark, name):
     rows = catalog.QUERIES[name](spark, SF).select("pair").distinct().count()
     assert rows == graph.coded_edges(spark, SF).count() > 1000
