@@ -3,6 +3,7 @@
 import pytest
 
 from quillon import catalog
+from quillon.operators import cpd
 from quillon.plans import graph
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +13,23 @@ SF = "/root/testdata/sf0.001"
 def test_every_edge_is_a_pair(spark, name):
     rows = catalog.QUERIES[name](spark, SF).select("pair").distinct().count()
     assert rows == graph.coded_edges(spark, SF).count() > 1000
+
+
+class Seen(Exception):
+    pass
+
+
+def seen(spark, monkeypatch, module, function, name) -> tuple[tuple, dict]:
+    """What the query gives the function."""
+
+    def stop(*args, **kwargs):
+        raise Seen(args, kwargs)
+
+    monkeypatch.setattr(module, function, stop)
+    with pytest.raises(Seen) as got:
+        catalog.QUERIES[name](spark, SF)
+    return got.value.args
+
+
+def test_the_grid_trains_fifty_rounds(spark, monkeypatch):
+    assert seen(spark, monkeypatch, cpd, "fit_configs", "cpd_grid_search")[1]["rounds"] == 50
