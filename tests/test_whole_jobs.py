@@ -3,7 +3,7 @@
 import pytest
 
 from quillon import catalog
-from quillon.operators import cpd
+from quillon.operators import boosting, cpd
 from quillon.plans import graph
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,9 @@ def seen(spark, monkeypatch, module, function, name) -> tuple[tuple, dict]:
 
 def test_the_grid_trains_fifty_rounds(spark, monkeypatch):
     assert seen(spark, monkeypatch, cpd, "fit_configs", "cpd_grid_search")[1]["rounds"] == 50
+
+
+@pytest.mark.parametrize("how", ["concat", "subtract"])
+def test_boosting_stops_by_validation_loss(spark, monkeypatch, how):
+    (_, _, settings), _ = seen(spark, monkeypatch, boosting, "fit", f"gbt_{how}_metrics")
+    assert (settings.rounds, settings.patience) == (300, 10)
