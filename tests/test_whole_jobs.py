@@ -3,7 +3,7 @@
 import pytest
 
 from quillon import catalog
-from quillon.operators import boosting, cpd
+from quillon.operators import boosting, cpd, projector
 from quillon.plans import graph
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,8 @@ def test_the_grid_trains_fifty_rounds(spark, monkeypatch):
 def test_boosting_stops_by_validation_loss(spark, monkeypatch, how):
     (_, _, settings), _ = seen(spark, monkeypatch, boosting, "fit", f"gbt_{how}_metrics")
     assert (settings.rounds, settings.patience) == (300, 10)
+
+
+def test_the_projector_trains_as_surveyed(spark, monkeypatch):
+    got = seen(spark, monkeypatch, projector, "fit", "mlp_projector_training")[1]
+    assert {k: got[k] for k in ("out", "hidden", "epochs", "batch", "dropout")} == {"out": 512, "hidden": 512, "epochs": 20, "batch": 4096, "dropout": 0.3}
